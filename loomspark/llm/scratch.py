@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,8 +55,14 @@ class Scratch:
         atexit.register(self._at_exit)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back. The shuffle files behind it go as soon as it is written."""
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
