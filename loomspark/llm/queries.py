@@ -34,6 +34,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_fm
 
@@ -41,11 +47,30 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: The vocabulary file that op10 and the pipeline read.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES_MODEL) -> DataFrame:
+    from .pieces import encoding_digests
+
+    return encoding_digests(_table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: A-Z in lower case only, as the contracts say; DuckDB's lower() would change other letters too.
