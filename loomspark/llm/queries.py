@@ -34,12 +34,30 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ppm import score
 
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages")).drop("score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_fm
 
@@ -67,7 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
@@ -98,4 +119,22 @@ comp AS (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY 1)
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": f"""WITH RECURSIVE {shingle_components_sql("documents", 3, 85)}
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)""",
+    "op4_embedding_near_dedup": """WITH RECURSIVE
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(e, lambda x: x != 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id != b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.seen = l.u),
+comp AS (SELECT node AS vec_id, min(seen) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)""",
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS rest FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest, rest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(rest, '^[^/?#]*(.*)$', 1, 's') AS url_key,
+  strftime(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM d LEFT JOIN f USING (payload_digest)""",
 }
