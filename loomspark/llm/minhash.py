@@ -1,17 +1,18 @@
 """Near-duplicate documents by banded MinHash, odd sketches and exact verification.
 
-1. One Arrow pass makes, for each text, the size and a 128-bit hash of its set of word shingles, ``SAMPLES`` MinHash
-   samples folded into ``BANDS`` band keys, and an odd sketch: a parity bitmap of ``SKETCH_BITS`` bits in which
-   sample i flips the bit that a hash of (i, sample) names (Mitzenmacher, Pagh and Pham, 2014). Two sketches
-   differ in few bits just when nearly all samples agree, so the population count of their XOR tells high
-   similarities apart far better than the number of equal bands does.
+1. One Arrow pass makes, for each text, the size and a 128-bit hash of its set of word shingles, BANDS keys of ROWS
+   MinHash samples each, and an odd sketch: one more MinHash sample from each of BINS bins of the hash range is
+   folded into a parity bitmap, where it flips the bit that its hash names (Mitzenmacher, Pagh and Pham, 2014).
+   The XOR of two sketches holds only what the samples differ in, so its population count estimates high
+   similarities to about 0.01, which the number of equal bands can't.
 2. Texts with equal sets become one class, so a group of exact copies costs one row from here on.
 3. Classes that share a band key are candidates. Candidate pairs pass the sketch test and are then confirmed
    on the full sets. Pairs aren't listed bucket by bucket: star rounds link each bucket to one centre, confirmed
    links merge components, and only members of different components meet again. The last round tests all
    pairs of a bucket across components, so nothing is lost whatever the centres were.
 
-With 32 bands of 4 samples a pair of similarity 0.85 is missed with probability 5e-11, one of 0.8 with 5e-8.
+With 32 bands of 5 samples a pair of similarity 0.85 shares no band with probability 7e-9, one of 0.8 with 3e-6; a pair at
+the limit fails the sketch test with probability 1e-4 or less.
 """
 
 from __future__ import annotations
@@ -20,52 +21,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
 from .textkernels import U64, mix, seeds, shingle_sets, slices, word_hashes
 
-BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 256
+BANDS, ROWS = 32, 5
+BINS = 2048
+SKETCH_LONGS = 16
+SKETCH_BITS = 64 * SKETCH_LONGS
+#: Standard errors that a pair of exactly the least similarity may lie beyond the expected count.
+SIGMAS = 4.0
 #: Star rounds before all pairs across components are tested; more rounds only save work.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
-_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+_SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
 
 
-def most_differing_bits(similarity: float, sigmas: float = 5.0) -> int:
-    """XOR bits that a pair of this similarity stays within, ``sigmas`` standard deviations beyond the mean.
+def most_differing_bits(n: Column, m: Column, similarity: float) -> Column:
+    """The XOR count that sketches of sets of n and m shingles stay within if their similarity is at least ``similarity``.
 
-    A fraction 1 - J of the samples differ, each such sample flips two bits, and u flips of n bits leave
-    n / 2 * (1 - exp(-2 * u / n)) ones on average.
+    Of the bins that the union fills, a share 1 - J differ; such a bin flips a bit for each set that has samples in
+    it. Sampling adds noise only where bins hold several shingles; u flips leave n / 2 (1 - exp(-2 u / n)) ones.
     """
-    differ = SAMPLES * (1 - similarity) + sigmas * np.sqrt(SAMPLES * similarity * (1 - similarity))
-    ones = SKETCH_BITS / 2 * (1 - np.exp(-4 * min(differ, SAMPLES) / SKETCH_BITS))
-    return int(np.ceil(ones + sigmas * np.sqrt(SKETCH_BITS) / 4))
+    union = (n + m) / (1 + similarity)
+    filled = BINS * (1 - F.exp(-union / BINS))
+    differing = filled * (1 - similarity)
+    busy = 1 - F.exp(-(n + m) / (2 * BINS))
+    flips = differing * (1 + busy)
+    noise = filled * similarity * (1 - similarity) * F.greatest(F.lit(0.0), 1 - filled / union) * (1 + busy) * (1 + busy) + differing * busy * (1 - busy)
+    most = flips + SIGMAS * F.sqrt(noise)
+    x = 4 * most / SKETCH_BITS
+    parity = SKETCH_BITS / 4 * (1 - F.exp(-x) * (1 + x))
+    return SKETCH_BITS / 2 * (1 - F.exp(-2 * most / SKETCH_BITS)) + SIGMAS * F.sqrt(F.greatest(F.lit(0.0), parity)) + 1
 
 
 def signatures_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set hashes n x 2, band keys n x BANDS, odd sketches n x 4) of sorted distinct shingle hashes, none of them empty."""
+    """(set hashes n x 2, band keys n x BANDS, odd sketches n x SKETCH_LONGS) of sorted distinct shingle hashes, none of them empty."""
     flat = np.concatenate(sets)
-    first = np.cumsum([0, *map(len, sets[:-1])])
+    sizes = np.array([len(s) for s in sets])
+    first = np.cumsum([0, *sizes[:-1]])
     with np.errstate(over="ignore"):
         both = np.stack([np.add.reduceat(mix(flat ^ s), first) for s in seeds(2, 11)], 1)
-        factors = seeds(SAMPLES, 3) | U64(1)
-        samples = np.empty((len(sets), SAMPLES), U64)
-        for i, a in enumerate(factors):
-            samples[:, i] = np.minimum.reduceat(flat * a, first)
         bands = np.zeros((len(sets), BANDS), U64)
-        for r in range(ROWS):
-            bands = mix(bands + samples[:, r::ROWS])
+        for i, a in enumerate(seeds(BANDS * ROWS, 3) | U64(1)):
+            bands[:, i % BANDS] = mix(bands[:, i % BANDS] + np.minimum.reduceat(flat * a, first))
         bands = mix(bands + np.arange(1, BANDS + 1, dtype=U64)[None, :])
-        flips = mix(samples + seeds(SAMPLES, 5)[None, :]) % U64(SKETCH_BITS)
-    sketch, row = np.zeros((len(sets), SKETCH_BITS // 64), U64), np.arange(len(sets))
-    for i in range(SAMPLES):
-        sketch[row, (flips[:, i] >> U64(6)).astype(np.int64)] ^= U64(1) << (flips[:, i] & U64(63))
-    return both, bands, sketch
+        owner, bin_ = np.repeat(np.arange(len(sets)), sizes), (flat >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        least = np.ones(len(flat), bool)  # sets are sorted, so the first shingle of a bin is its sample
+        least[1:] = (bin_[1:] != bin_[:-1]) | (owner[1:] != owner[:-1])
+        flip = owner[least] * SKETCH_BITS + (mix(flat[least] + U64(5)) % U64(SKETCH_BITS)).astype(np.int64)
+    ones = (np.bincount(flip, minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8)
+    return both, bands, np.packbits(ones).view(U64).reshape(len(sets), SKETCH_LONGS)
 
 
 def _signatures(k: int):
@@ -78,7 +88,7 @@ def _signatures(k: int):
                     sets = list(shingle_sets(words, first, k))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                both, sketch = np.zeros((b - a, 2), U64), np.zeros((b - a, 4), U64)
+                both, sketch = np.zeros((b - a, 2), U64), np.zeros((b - a, SKETCH_LONGS), U64)
                 lists = np.zeros(b - a + 1, np.int32)
                 lists[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
                 bands = np.zeros((0, BANDS), U64)
@@ -86,8 +96,8 @@ def _signatures(k: int):
                     both[full], bands, sketch[full] = signatures_of([sets[i] for i in full])
                 signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes), signed(both[:, 0]), signed(both[:, 1]), pa.ListArray.from_arrays(pa.array(lists), signed(bands.reshape(-1))), *(signed(sketch[:, i]) for i in range(4))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "s0", "s1", "s2", "s3"],
+                    [ids.slice(a, b - a), pa.array(sizes), signed(both[:, 0]), signed(both[:, 1]), pa.ListArray.from_arrays(pa.array(lists), signed(bands.reshape(-1))), *(signed(sketch[:, i]) for i in range(SKETCH_LONGS))],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *_SKETCH],
                 )
 
     return run
@@ -107,10 +117,6 @@ def _sets(k: int):
     return run
 
 
-def _candidate_columns(side: str) -> list:
-    return [F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"), *(F.col(f"s{i}").alias(f"{side}_s{i}") for i in range(4))]
-
-
 def near_duplicates(docs: DataFrame, *, words: int = 5, least_percent: int = 80) -> DataFrame:
     """Components of documents whose sets of ``words``-word shingles have a Jaccard similarity of ``least_percent``/100 or more.
 
@@ -129,30 +135,56 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, least_percent: int = 80)
 
     # Classes of equal sets, named by their least doc_id.
     full = signatures.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "s0", "s1", "s2", "s3"), "doc_id").alias("x"))
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", *_SKETCH), "doc_id").alias("x"))
     classes = scratch.write(classes.select("node", "set_a", "set_b", "n_shingles", "x.*"), "classes")
     members = full.join(classes.select("set_a", "set_b", "n_shingles", "node"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "node").distinct()
     same_set = members.where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     # Buckets with two classes at least.
-    keys = classes.select("node", F.explode("bands").alias("key"))
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    buckets = keys.join(shared, "key").distinct()
-    buckets = scratch.write(buckets.join(classes.select("node", "s0", "s1", "s2", "s3"), "node"), "buckets")
-    pool = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.write(docs.join(pool, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
+    buckets = scratch.write(keys.join(shared, "key").select("key", "band", "node").distinct(), "buckets")
+    pool = buckets.select("node").distinct()
+    marks = scratch.write(classes.join(pool, "node", "left_semi").select("node", "n_shingles", "bands", *_SKETCH), "marks")
+    sets = scratch.write(docs.join(pool.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
 
-    links = _links(scratch, buckets, sets, least_percent)
+    links = _links(scratch, buckets, marks, sets, least_percent)
     components = connected_components(links.unionByName(same_set), scratch)
+    scratch.drop(classes, buckets, marks, sets)
     nodes = signatures.select("doc_id", "n_shingles").join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return nodes.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _links(scratch: Scratch, buckets: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, words: int = 5, least_percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id; all columns stay.
+
+    Rows without a doc_id stay. Of rows that repeat a doc_id and its text one stays.
+    """
+    gone = near_duplicates(docs, words=words, least_percent=least_percent).where("not kept").select("doc_id").distinct()
+    gone = Scratch(docs.sparkSession).write(gone, "gone")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    out = docs.join(gone, "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return out.select(*docs.columns)
+
+
+def _side(marks: DataFrame, side: str, *more: str) -> DataFrame:
+    return marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", *more, *_SKETCH)))
+
+
+def _alike(similarity: float) -> Column:
+    """Whether the sketches of u and v may belong to a pair of this similarity."""
+    ones = F.bit_count(F.col("u_s0").bitwiseXOR(F.col("v_s0")))
+    for s in _SKETCH[1:]:
+        ones = ones + F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}")))
+    return ones <= most_differing_bits(F.col("u_n_shingles"), F.col("v_n_shingles"), similarity)
+
+
+def _links(scratch: Scratch, buckets: DataFrame, marks: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
     """(u, v) confirmed links that connect all classes which any chain of links between members of the buckets connects."""
-    most_bits = most_differing_bits(least_percent / 100)
-    differing = sum((F.bit_count(F.col(f"u_s{i}").bitwiseXOR(F.col(f"v_s{i}"))) for i in range(1, 4)), F.bit_count(F.col("u_s0").bitwiseXOR(F.col("v_s0"))))
     shingles = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"{side}_set"))
     found: DataFrame | None = None
     tried: DataFrame | None = None
@@ -168,20 +200,29 @@ def _links(scratch: Scratch, buckets: DataFrame, sets: DataFrame, least_percent:
         if turn < STAR_ROUNDS:
             # One centre for each bucket: the least node first, then a new pseudo-random one each round.
             order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            centres = rows.groupBy("key").agg(F.min_by(F.struct(*_candidate_columns("u")), order).alias("c")).select("key", "c.*")
-            pairs = rows.select("key", *_candidate_columns("v")).join(centres, "key")
+            centres = rows.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("u"), F.col("comp").alias("u_comp")), order).alias("c")).select("key", "c.*")
+            pairs = rows.join(centres, "key").where("comp != u_comp").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            pairs = pairs.join(_side(marks, "u"), "u").join(_side(marks, "v"), "v").where(_alike(least_percent / 100)).select("u", "v")
         else:
-            # Everything outside the largest component of a bucket meets every member of other components.
+            # Everything outside the largest component of a bucket meets every member of other components; a pair
+            # is taken in the first band that it shares.
             sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-            rest = rows.join(main, "key").where("comp != main").select("key", *_candidate_columns("u"))
-            pairs = rest.join(rows.select("key", *_candidate_columns("v")), "key")
-        pairs = pairs.where("u_comp != v_comp").where(differing <= most_bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            rows = scratch.write(rows, "open")
+            rest = rows.join(main, "key").where("comp != main").select("key", "band", F.col("node").alias("u"), F.col("comp").alias("u_comp")).join(_side(marks, "u", "bands"), "u")
+            every = rows.select("key", F.col("node").alias("v"), F.col("comp").alias("v_comp")).join(_side(marks, "v", "bands"), "v")
+            first_shared = F.array_position(F.zip_with("u_bands", "v_bands", lambda a, b: a == b), True) - 1
+            pairs = rest.join(every, "key").where(F.col("u_comp") != F.col("v_comp")).where(_alike(least_percent / 100)).where(first_shared == F.col("band"))
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
-            if turn in (0, STAR_ROUNDS):  # nothing shares a bucket, or nothing is left to test
+            if turn in (0, STAR_ROUNDS) and found is None:  # nothing alike shares a bucket's centre
+                found = pairs
+            if turn == STAR_ROUNDS:
                 break
             turn = STAR_ROUNDS
             continue
@@ -194,4 +235,4 @@ def _links(scratch: Scratch, buckets: DataFrame, sets: DataFrame, least_percent:
         if turn < STAR_ROUNDS:
             comps = connected_components(found, scratch)
         turn += 1
-    return pairs if found is None else found
+    return found
