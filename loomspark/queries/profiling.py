@@ -1,2 +1,104 @@
+"""Profiles, warnings, keys, retyping, type inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import profile as p
+from .common import STAR, table
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def frame(name: str, duck_sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if duck_sql:
+            ORACLE_SQL[name] = duck_sql
+        return f
+
+    return put
+
+
+_EVENTS = {"event_id": "numeric", "ts": "temporal", "user_id": "numeric", "event_type": "text", "value": "numeric", "props": "text"}
+
+
+def _profile_sql(name: str, kinds: dict[str, str]) -> str:
+    number = "count(*) FILTER (WHERE TRY_CAST({c} AS DOUBLE) IS NOT NULL) / nullif(count({c}), 0)"
+    date = "count(*) FILTER (WHERE TRY_CAST({c} AS DATE) IS NOT NULL) / nullif(count({c}), 0)"
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{k}' AS kind, count(*) AS n_rows, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, "
+        f"CAST({number.format(c=c) if k == 'text' else 'NULL'} AS DOUBLE) AS number_share, CAST({date.format(c=c) if k == 'text' else 'NULL'} AS DOUBLE) AS date_share FROM {name}"
+        for c, k in kinds.items()
+    )
+
+
+@frame("profile_columns", _profile_sql("events", _EVENTS))
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.profile(table(spark, sf_dir, "events")).drop("min", "max", "top")
+
+
+@frame("profile_ranges", "SELECT 'o_orderkey' AS column_name, CAST(min(o_orderkey) AS VARCHAR) AS min, CAST(max(o_orderkey) AS VARCHAR) AS max FROM orders UNION ALL SELECT 'o_custkey', CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderdate', CAST(min(o_orderdate) AS VARCHAR), CAST(max(o_orderdate) AS VARCHAR) FROM orders")
+def profile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select("column_name", "min", "max")
+
+
+@frame("profile_top_values", "SELECT column_name, value, n FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS r FROM (SELECT 'p_brand' AS column_name, p_brand AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2) t) u WHERE r <= 50")
+def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = p.profile(table(spark, sf_dir, "part").select("p_brand", "p_type"))
+    return got.select("column_name", F.explode("top").alias("t")).select("column_name", "t.value", "t.n")
+
+
+@frame("profile_warnings", "SELECT * FROM (VALUES ('amount', 'numbers as text', 'DOUBLE'), ('placed', 'dates as text', NULL), ('empty', 'all null', NULL), ('maybe', 'half or more null', NULL), ('order_id', 'repeated key', NULL)) t(column_name, what, fix)")
+def profile_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").limit(1000)
+    odd = rows.select(
+        F.floor(F.col("o_orderkey") / 2).alias("order_id"), F.col("o_totalprice").cast("string").alias("amount"),
+        F.when(F.col("o_orderkey") == rows.agg(F.min("o_orderkey")).first()[0], "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("placed"),
+        F.lit(None).cast("string").alias("empty"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("maybe"),
+    )
+    odd = odd.withColumn("maybe", F.when(F.col("order_id") % 4 == 0, F.col("maybe")))
+    got = p.warnings(p.profile(odd).collect())
+    return spark.createDataFrame([(w.column, w.what, w.fix) for w in got], "column_name string, what string, fix string")
+
+
+@frame("key_columns", "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey'), ('orders', 'o_orderkey'), ('lineitem', NULL), ('events', 'event_id')) t(name, key)")
+def key_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for t in STAR:
+        df = table(spark, sf_dir, t)
+        whole = [c for c, kind in df.dtypes if kind in ("int", "bigint")]
+        found.append((t, p.key_column(sorted(p.profile(df.select(*whole)).collect(), key=lambda r: whole.index(r["column_name"])))))
+    return spark.createDataFrame(found, "name string, key string")
+
+
+@frame("strict_retype", "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS DATE) AS ts FROM events")
+def strict_retype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.retype(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), p.parse_retypes("user_id=VARCHAR, ts=DATE"))
+
+
+@frame("text_candidates", "SELECT * FROM (VALUES ('text'), ('lang'), ('source')) t(column_name)")
+def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p.profile(table(spark, sf_dir, "documents")).collect()
+    return spark.createDataFrame([(c,) for c in p.text_candidates(rows)], "column_name string")
+
+
+@frame("find_tables", "SELECT 'orders' AS name")
+def find_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = {t: p.card(t, table(spark, sf_dir, t).columns) for t in STAR} | {f"filler_{i}": f"filler number {i}" for i in range(30)}
+    return spark.createDataFrame([(t,) for t in p.rank_tables("total price of orders by o_orderdate", cards)[:1]], "name string")
+
+
+@frame("infer_types", "SELECT * FROM (VALUES ('whole', 'BIGINT'), ('mixed', 'DOUBLE'), ('day', 'DATE'), ('moment', 'TIMESTAMP'), ('flag', 'BOOLEAN'), ('words', 'VARCHAR'), ('nothing', 'VARCHAR')) t(column_name, type)")
+def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.infer import infer_types as infer
+
+    o = table(spark, sf_dir, "orders").limit(500)
+    text = o.select(
+        F.col("o_orderkey").cast("string").alias("whole"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(F.col("o_totalprice").cast("string")).alias("mixed"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("moment"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("False").alias("flag"),
+        F.when(F.col("o_orderkey") % 9 == 0, "none").otherwise(F.col("o_orderkey").cast("string")).alias("words"), F.lit("").alias("nothing"),
+    )
+    return spark.createDataFrame(list(infer(text).items()), "column_name string, type string")
