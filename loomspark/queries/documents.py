@@ -1,2 +1,91 @@
+"""Sections, chunks, captions, term counts, labelling."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import terms
+from ..operators import chunking, labelling
+from ..sources import documents as parsers
+from .common import table
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def frame(name: str, duck_sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if duck_sql:
+            ORACLE_SQL[name] = duck_sql
+        return f
+
+    return put
+
+
+@frame("html_sections")
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.sections(table(spark, sf_dir, "pages").withColumn("name", F.lit("page.html")), "page_id", "html", "name")
+
+
+_TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
+
+
+@frame(
+    "token_chunks",
+    f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 512 THEN [0] ELSE range(0, len(w), 448) END) AS i FROM t) "
+    "SELECT doc_id, CAST(i // 448 AS INTEGER) AS chunk_index, array_to_string(w[i + 1:i + 512], ' ') AS content, CAST(least(512, len(w) - i) AS INTEGER) AS token_count FROM s WHERE regexp_matches(array_to_string(w[i + 1:i + 512], ' '), '[\\p{L}\\p{N}]')",
+)
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: Terms in SQL: the parts of runs joined by - . _ / :, and joined runs without punctuation.
+TERMS_SQL = (
+    "(SELECT doc_id, unnest(list_concat(list_transform(flatten(list_transform(runs, lambda r: regexp_split_to_array(r, '[-._/:]+'))), lambda x: lower(x)), "
+    "list_transform(list_filter(runs, lambda r: regexp_matches(r, '[-._/:]')), lambda r: lower(regexp_replace(r, '[-._/:]+', '', 'g'))))) AS term "
+    r"FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[-._/:]+[\p{L}\p{N}]+)*') AS runs FROM documents) x)"
+)
+
+
+@frame("term_frequencies", f"SELECT doc_id, term, count(*) AS tf FROM {TERMS_SQL} t GROUP BY 1, 2")
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms.terms(F.col("text"))).alias("term"))
+    return listed.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@frame("caption_runs", "SELECT * FROM (VALUES (1, '0:00', 'a' || chr(10) || 'b'), (1, '0:30', 'c'), (2, '1:01:05', repeat('x', 700)), (2, '1:01:09', 'y')) t(file, locator, content)")
+def caption_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = [(1, 0.0, 2.0, "a"), (1, 3.0, 5.0, "b"), (1, 30.0, 31.0, "c"), (2, 3665.0, 3668.0, "x" * 700), (2, 3669.0, 3670.0, "y"), (2, 3671.0, 3672.0, " ")]
+    return chunking.merged_captions(spark.createDataFrame(cues, "file int, start double, end double, text string"), "file")
+
+
+@frame("label_keys", "SELECT 'doc_id' AS documents, 'event_id' AS events, 'conv_id' AS refused")
+def label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    try:
+        refused = labelling.pick_key(table(spark, sf_dir, "conversations").select("conv_id"))
+    except ValueError as e:
+        refused = str(e).split(": ")[1].split(" (")[0]
+    row = labelling.pick_key(table(spark, sf_dir, "documents")), labelling.pick_key(table(spark, sf_dir, "events")), refused
+    return spark.createDataFrame([row], "documents string, events string, refused string")
+
+
+def _lengths(texts: list[str]) -> list[dict]:
+    """A stand-in decision model: whether a text is long."""
+    return [{"long": float(len(t) > 2000)} for t in texts]
+
+
+@frame("label_incremental", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN -1.0 WHEN trim(text) = '' THEN NULL ELSE CAST(length(text) > 2000 AS INTEGER) * 1.0 END AS long, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN false ELSE length(text) > 20000 END AS truncated FROM documents")
+def label_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    there = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(-1.0).alias("long"), F.lit(False).alias("truncated"))
+    return labelling.incremental(docs, "doc_id", ["text"], [labelling.Question("long", "probability")], _lengths, there)
+
+
+@frame("pinned_documents", "SELECT * FROM (VALUES ('new'), ('old')) t(document_id)")
+def pinned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.retrieval import pinned
+
+    docs = spark.createDataFrame([("new", "x" * 400, 3, True), ("big", "x" * 4000, 2, True), ("old", "x" * 100, 1, True), ("loose", "x", 4, False)], "document_id string, content string, ingested_at int, pinned boolean")
+    return spark.createDataFrame([(d,) for d in pinned(docs, 200)], "document_id string")

@@ -1,2 +1,181 @@
+"""Induction of an ontology from tables, and the graph that it makes of them."""
+
+from __future__ import annotations
+
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import graph, ontology
+from ..operators.ontology import Class, Mapping, Ontology, Property, Relation
+from ..operators.profile import profile
+from .common import STAR, table
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
+_COLUMNS = {
+    "region": "r_name", "nation": "n_name n_regionkey", "customer": "c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_name s_nationkey s_acctbal", "part": "p_name p_brand p_type p_size p_retailprice", "orders": "o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "ts user_id event_type value props",
+}
+
+
+def frame(name: str, duck_sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if duck_sql:
+            ORACLE_SQL[name] = duck_sql
+        return f
+
+    return put
+
+
+def world() -> Ontology:
+    """Regions, nations and customers, with their tables."""
+    place = Class("place", properties=(Property("name"),))
+    customer = Class("customer", properties=(Property("name"), Property("balance", "number"), Property("segment", "enum")))
+    return Ontology(
+        {"place": place, "region": Class("region", "place"), "nation": Class("nation", "place"), "customer": customer},
+        {"has_region": Relation("has_region", "nation", "region"), "has_nation": Relation("has_nation", "customer", "nation")},
+        [
+            Mapping("region", "region", "r_regionkey", (("r_name", "name"),)), Mapping("nation", "nation", "n_nationkey", (("n_name", "name"),), (("n_regionkey", "has_region", "region"),)),
+            Mapping("customer", "customer", "c_custkey", (("c_name", "name"), ("c_acctbal", "balance"), ("c_mktsegment", "segment")), (("c_nationkey", "has_nation", "nation"),)),
+        ],
+    )
+
+
+def build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return graph.build({t: table(spark, sf_dir, t) for t in ("region", "nation", "customer")}, world())
+
+
+_NODES = "(SELECT 'region' AS class_id, CAST(r_regionkey AS VARCHAR) AS label, r_name AS name FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name FROM customer)"
+_EDGES = "(SELECT 'has_region' AS relation_id, 'nation' AS sc, CAST(n_nationkey AS VARCHAR) AS src, 'region' AS dc, CAST(n_regionkey AS VARCHAR) AS dst FROM nation UNION ALL SELECT 'has_nation', 'customer', CAST(c_custkey AS VARCHAR), 'nation', CAST(c_nationkey AS VARCHAR) FROM customer)"
+
+
+def _id(cls: str, label: str) -> str:
+    return f"sha256({cls} || chr(31) || {label})"
+
+
+def _overlap_sql() -> str:
+    parts = []
+    for t, (k, key) in product(_COLUMNS, KEYS.items()):
+        if key and k != t:
+            for c in _COLUMNS[t].split():
+                parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS key_table, (SELECT count(*) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL) a WHERE v IN (SELECT CAST({key} AS VARCHAR) FROM {k})) / (SELECT count(DISTINCT CAST({c} AS VARCHAR)) FROM {t}) AS overlap")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) o WHERE overlap >= 0.8"
+
+
+@frame("induce_key_overlap", _overlap_sql())
+def induce_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.key_overlaps({t: table(spark, sf_dir, t) for t in STAR}, KEYS)
+
+
+@frame("induce_types", "SELECT * FROM (VALUES ('o_orderkey', 'number'), ('o_custkey', 'number'), ('o_orderstatus', 'enum'), ('o_totalprice', 'number'), ('o_orderdate', 'date'), ('o_orderpriority', 'enum')) t(column_name, kind)")
+def induce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profile(table(spark, sf_dir, "orders")).collect()
+    return spark.createDataFrame([(r["column_name"], ontology.property_kind(r)) for r in rows], "column_name string, kind string")
+
+
+@frame("induce_classes", "SELECT * FROM (VALUES ('class', 'nation', '', '', 1.0), ('property', 'n_nationkey', 'nation', 'number', 1.0), ('property', 'n_name', 'nation', 'string', 0.9), ('property', 'n_regionkey', 'nation', 'number', 0.9), ('class', 'region', '', '', 1.0), ('property', 'r_regionkey', 'region', 'number', 1.0), ('property', 'r_name', 'region', 'string', 0.9)) t(kind, name, owner, detail, confidence)")
+def induce_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = {t: profile(table(spark, sf_dir, t)).collect() for t in ("nation", "region")}
+    got = ontology.induce_classes(profiles, KEYS)
+    return spark.createDataFrame([(c.kind, c.name, c.owner, c.detail, c.confidence) for c in got], "kind string, name string, owner string, detail string, confidence double")
+
+
+@frame("induce_relations", "SELECT * FROM (VALUES ('has_o_custkey', 'order', 'customer')) t(name, domain, range)")
+def induce_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ontology.key_overlaps({t: table(spark, sf_dir, t) for t in ("customer", "orders")}, KEYS).where("table_name = 'orders' and column_name = 'o_custkey'").collect()
+    return spark.createDataFrame([(c.name, c.owner, c.detail) for c in ontology.induce_relations(found)], "name string, domain string, range string")
+
+
+@frame("graph_nodes", f"SELECT {_id('class_id', 'label')} AS id, class_id, label, name FROM {_NODES} n")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(spark, sf_dir)[0].select("id", "class_id", "label", F.col("properties")["name"].alias("name"))
+
+
+@frame("graph_edges", f"SELECT relation_id, {_id('sc', 'src')} AS src, {_id('dc', 'dst')} AS dst FROM {_EDGES} e")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(spark, sf_dir)[1].select("relation_id", "src", "dst")
+
+
+@frame("graph_provenance", f"SELECT table_name, count(*) AS n FROM (SELECT class_id AS table_name FROM {_NODES} n UNION ALL SELECT sc FROM {_EDGES} e) x GROUP BY 1")
+def graph_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(spark, sf_dir)[2].groupBy("table_name").agg(F.count("*").alias("n"))
+
+
+@frame("graph_class_view", "SELECT CAST(c_custkey AS VARCHAR) AS label, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def graph_class_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.class_view(build(spark, sf_dir)[0], world(), "customer").select("label", "name", "balance", "segment")
+
+
+@frame("graph_class_listing", "SELECT class_id, label FROM (SELECT 'nation' AS class_id, CAST(n_nationkey AS VARCHAR) AS label FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region) x")
+def graph_class_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.class_listing(build(spark, sf_dir)[0], world(), "place")[0].select("class_id", "label")
+
+
+@frame("graph_entity_lookup", "SELECT 'nation' AS class_id, '7' AS label")
+def graph_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.lookup(build(spark, sf_dir)[0], "  7 ", cls=world().descendants("nation")).select("class_id", "label")
+
+
+@frame("graph_neighborhood", f"SELECT 'region' AS class_id, '1' AS label UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1")
+def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = build(spark, sf_dir)
+    start = graph.lookup(nodes, "1", cls={"region"}).first()["id"]
+    return graph.neighborhood(nodes, edges, start, hops=1)[0].select("class_id", "label")
+
+
+@frame("graph_path", "SELECT * FROM (VALUES (0, 'has_nation'), (1, 'has_region')) t(step, relation_id)")
+def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = build(spark, sf_dir)
+    start = graph.lookup(nodes, "1", cls={"customer"}).first()["id"]
+    nation = edges.where(F.col("src") == start).first()["dst"]
+    goal = edges.where(F.col("src") == nation).first()["dst"]
+    path = graph.shortest_path(edges, start, goal)
+    by = {r["id"]: r["relation_id"] for r in edges.where(F.col("id").isin([e for e, _, _ in path])).collect()}
+    return spark.createDataFrame([(i, by[e]) for i, (e, _, _) in enumerate(path)], "step int, relation_id string")
+
+
+@frame("graph_revalidate", "SELECT 'edge' AS what, 'has_nation' AS name, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'node', 'customer', (SELECT count(*) FROM customer)")
+def graph_revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = build(spark, sf_dir)
+    o = world()
+    del o.classes["customer"]
+    return graph.revalidate(nodes, edges, o)[2]
+
+
+@frame("graph_status", f"SELECT 'class' AS what, class_id AS name, count(*) AS n FROM {_NODES} a GROUP BY 2 UNION ALL SELECT 'relation', relation_id, count(*) FROM {_EDGES} b GROUP BY 2")
+def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = build(spark, sf_dir)
+    return graph.status(nodes, edges)
+
+
+@frame("graph_fingerprint", "SELECT true AS stable, true AS sees_change")
+def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "nation")
+    one, two, three = (graph.fingerprint(x, "nation").first() for x in (df, df.repartition(4).orderBy("n_name"), df.where("n_nationkey > 0")))
+    return spark.createDataFrame([(one == two, one != three)], "stable boolean, sees_change boolean")
+
+
+@frame("graph_merge", f"SELECT (SELECT count(*) FROM {_NODES} a) - 1 AS nodes, (SELECT count(*) FROM {_EDGES} b) AS edges, (SELECT count(*) FROM customer WHERE c_nationkey IN (1, 2)) AS customers")
+def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, seen = build(spark, sf_dir)
+    kept, gone = (graph.lookup(nodes, x, cls={"nation"}).first()["id"] for x in ("1", "2"))
+    merges = spark.createDataFrame([(gone, kept)], "gone string, kept string")
+    new_nodes, new_edges, _ = graph.merge_nodes(nodes, edges, seen, merges)
+    counts = new_nodes.agg(F.count("*").alias("nodes")), new_edges.agg(F.count("*").alias("edges")), new_edges.where((F.col("dst") == kept) & (F.col("relation_id") == "has_nation")).agg(F.count("*").alias("customers"))
+    row = tuple(c.first()[0] for c in counts)
+    return spark.createDataFrame([row], "nodes long, edges long, customers long")
+
+
+ORACLE_SQL["graph_merge"] = (
+    f"SELECT (SELECT count(*) FROM {_NODES} a) - 1 AS nodes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM (SELECT DISTINCT CASE n_nationkey WHEN 2 THEN 1 ELSE n_nationkey END AS n, n_regionkey FROM nation) x) AS edges, (SELECT count(*) FROM customer WHERE c_nationkey IN (1, 2)) AS customers"
+)
+
+
+@frame("merge_candidates", "SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.7")
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("class_id"), "embedding", F.lit(False).alias("keyed"))
+    return graph.merge_candidates(e, distance=0.7).withColumn("distance", F.round("distance", 6))
