@@ -24,7 +24,7 @@ READ, WRITE, INVALID = "read", "write", "invalid"
 #: Commands that only tell: plan classes of the parser.
 _TELLING = ("DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeTableCommand", "ShowTables", "ShowColumns", "ShowViews", "ShowFunctions", "ExplainCommand")
 #: Statements that no caller may run, whatever its rights.
-_REFUSED = ("SetCommand", "ResetCommand", "AddJarsCommand", "AddFilesCommand", "AddArchivesCommand", "SetCatalogCommand", "SetNamespaceCommand", "LoadData", "CacheTable", "UncacheTable", "CreateFunction", "RefreshFunction", "CreateView", "CreateTempViewUsing", "InsertIntoDir")
+_REFUSED = ("SetCommand", "ResetCommand", "AddJarsCommand", "AddFilesCommand", "AddArchivesCommand", "SetCatalogCommand", "SetNamespaceCommand", "LoadData", "CacheTable", "UncacheTable", "CreateFunction", "RefreshFunction", "CreateView", "CreateViewCommand", "CreateTempViewUsing", "InsertIntoDir")
 #: Words that read although they aren't Spark statements.
 _DIALECT_READS = ("SUMMARIZE", "PIVOT", "FROM")
 
@@ -59,6 +59,8 @@ def walk(node) -> Iterator:
             yield from walk(e)
     if "PlanExpression" in kinds:
         yield from walk(node.plan())
+    if _kind(node) == "InsertIntoStatement":  # its target is no child
+        yield from walk(node.table())
     if _kind(node) == "UnresolvedWith":
         for pair in _items(node.cteRelations()):
             yield from walk(pair._2())

@@ -85,6 +85,11 @@ class _Html(HTMLParser):
         if text:
             self.lines.append(text)
 
+    def close_cell(self) -> None:
+        if self.cell is not None and self.rows and self.rows[-1]:
+            self.rows[-1][-1] = "".join(self.cell)
+        self.cell = None
+
     def section(self) -> None:
         self.line()
         if self.lines:
@@ -111,8 +116,10 @@ class _Html(HTMLParser):
                 self.rows = []
             self.tables += 1
         elif tag == "tr" and self.tables:
+            self.close_cell()
             self.rows.append([])
         elif tag in ("td", "th") and self.tables:
+            self.close_cell()
             if not self.rows:
                 self.rows.append([])
             self.cell = []
@@ -131,10 +138,10 @@ class _Html(HTMLParser):
                 while self.skip and self.skip.pop() != tag:
                     pass
             return
-        if tag in ("td", "th") and self.cell is not None and self.rows and self.rows[-1]:
-            self.rows[-1][-1] = "".join(self.cell)
-            self.cell = None
+        if tag in ("td", "th", "tr") and self.tables:
+            self.close_cell()
         elif tag == "table" and self.tables:
+            self.close_cell()
             self.tables -= 1
             if not self.tables:
                 text = table_text(self.rows)
