@@ -11,8 +11,9 @@ the log ratio at the longest seen gram is the sum of what each seen gram adds ov
 inner join of the grams at every place with the table of additions and one sum for each URL; no place needs a group
 of its own.
 
-The grams of training URLs are counted once for each distinct gram and class, with partial sums before the shuffle. Spark
-broadcasts the table where its size allows, and else joins by shuffle with hot grams split by adaptive execution.
+The grams of training URLs are counted once for each distinct gram and class, with partial sums before the shuffle. The table of
+additions is counted: up to ``BROADCAST_GRAMS`` rows are broadcast, more are joined by shuffle, where adaptive execution splits hot
+grams. Only a number stands for a URL in the rows of its grams.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .scratch import Scratch
 LONGEST = 5
 MASS = 4.0
 ALPHABET = 256
+#: Rows of the table of additions that are broadcast, at most; about 100 bytes each.
+BROADCAST_GRAMS = 500_000
 #: Stand before and after a URL; neither is allowed in one.
 _START, _END = "\x02", "\x03"
 
@@ -116,13 +119,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     parts = parts.withColumn("rule", rule).withColumn("listed", listed)
     # Equal hosts and paths are counted and scored once.
     distinct = parts.groupBy("host", "path", "listed").agg(F.count("*").alias("times")).withColumn("chars", _text())
-    distinct = scratch.write(distinct, "urls")
+    distinct = scratch.write(distinct.withColumn("url_id", F.monotonically_increasing_id()), "urls")
     classes = {x["listed"]: x["n"] for x in distinct.where("listed is not null").groupBy("listed").agg(F.sum("times").alias("n")).collect()}
     if len(classes) < 2:
         return parts.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
     additions = scratch.write(_additions(distinct.where("listed is not null"), scratch), "additions")
-    scores = _grams(distinct, "host", "path", "chars").join(additions, "gram").groupBy("host", "path").agg((F.sum("added") / F.max(F.length("chars") - 1)).alias("score"))
-    scored = scratch.write(distinct.join(scores, ["host", "path"], "left").select("host", "path", "listed", "times", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
+    looked_up = F.broadcast(additions) if additions.count() <= BROADCAST_GRAMS else additions
+    sums = _grams(distinct, "url_id").join(looked_up, "gram").groupBy("url_id").agg(F.sum("added").alias("total"))
+    score = F.coalesce(F.col("total") / (F.length("chars") - 1), F.lit(0.0))
+    scored = scratch.write(distinct.join(sums, "url_id", "left").select("host", "path", "listed", "times", score.alias("score")), "scores")
     mean = F.sum(F.col("score") * F.col("times")) / F.sum("times")
     square = F.sum(F.col("score") * F.col("score") * F.col("times")) / F.sum("times")
     spread = {x["listed"]: (x["m"], max(x["v"], 0.0) ** 0.5) for x in scored.where("listed is not null").groupBy("listed").agg(mean.alias("m"), (square - mean * mean).alias("v")).collect()}
