@@ -135,7 +135,6 @@ class Scanner:
         with np.errstate(over="ignore"):
             words, _, _, first = word_hashes(data, offsets)
             by_size = {SHINGLE: shingle_hashes(words, SHINGLE)} | {n: shingle_hashes(words, n) for n in self.short}
-            # Documents with fewer words than a shingle are one shingle of their own.
             found = []
             places, owners, sizes = [], [], []
             for n, every in by_size.items():
@@ -149,10 +148,12 @@ class Scanner:
             if not places:
                 return []
             place, item, size = map(np.concatenate, (places, owners, sizes))
+            if not len(place):
+                return []
             text = np.searchsorted(first, place, "right") - 1
             order = np.lexsort((place, item, text))
             place, item, text, size = place[order], item[order], text[order], size[order]
-            group = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(place) else np.zeros(0, int)
+            group = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
             for a, b in zip(group, np.append(group[1:], len(place)), strict=True):
                 best = self._best(by_size[size[a]], int(first[text[a]]), int(first[text[a] + 1]), place[a:b], int(item[a]), int(size[a]))
                 if best:
