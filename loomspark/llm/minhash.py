@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .scratch import Scratch
@@ -36,6 +37,7 @@ SKETCH_BITS = 64 * SKETCH_LONGS
 SIGMAS = 4.0
 #: Star rounds before all pairs across components are tested; more rounds only save work.
 STAR_ROUNDS = 3
+STAR_CENTRES = 2
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
@@ -201,7 +203,10 @@ def _links(scratch: Scratch, buckets: DataFrame, marks: DataFrame, sets: DataFra
             # One centre for each bucket: the least node first, then a new pseudo-random one each round.
             order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
             centres = rows.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("u"), F.col("comp").alias("u_comp")), order).alias("c")).select("key", "c.*")
-            pairs = rows.join(centres, "key").where("comp != u_comp").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+            # A node meets the centres that it shares most buckets with, so a round tests a few pairs a node.
+            near = rows.join(centres, "key").where("comp != u_comp").groupBy("node", "u").agg(F.count("*").alias("shared"))
+            near = near.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "u"))).where(F.col("r") <= STAR_CENTRES)
+            pairs = near.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["u", "v"], "left_anti")
             pairs = pairs.join(_side(marks, "u"), "u").join(_side(marks, "v"), "v").where(_alike(least_percent / 100)).select("u", "v")
