@@ -116,7 +116,56 @@ reach AS (SELECT doc_id AS node, doc_id AS seen FROM sets UNION SELECT r.node, b
 comp AS (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY 1)"""
 
 
+def leaks_sql(words: int = 5, least: float = 0.8) -> str:
+    """Best windows of items in documents, for items of ``words`` words or more."""
+    gram = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(words))
+    return f"""WITH
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), b AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+dg AS (SELECT doc_id, len(w) AS n, i, {gram} AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM d) x),
+bg AS (SELECT item_id, len(w) AS n, {gram} AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM b) x),
+bc AS (SELECT item_id, n, s, count(*) AS c FROM bg GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, dg.i AS i, s, c, dg.n AS dn, least(bc.n, dg.n) AS nw, bc.n - {words - 1} AS mi FROM dg JOIN bc USING (s)),
+starts AS (SELECT DISTINCT doc_id, item_id, nw, mi, x AS pos FROM (SELECT *, unnest(range(greatest(1, i - nw + {words}), least(i, dn - nw + 1) + 1)) AS x FROM hits) y),
+bags AS (SELECT t.doc_id, t.item_id, t.nw, t.mi, t.pos, h.s, least(count(*), any_value(h.c)) AS both_n
+  FROM starts t JOIN hits h ON t.doc_id = h.doc_id AND t.item_id = h.item_id AND h.i BETWEEN t.pos AND t.pos + t.nw - {words} GROUP BY ALL),
+sims AS (SELECT doc_id, item_id, nw, pos, sum(both_n) / (nw - {words - 1} + mi - sum(both_n)) AS similarity FROM bags GROUP BY doc_id, item_id, nw, mi, pos)
+SELECT doc_id, item_id, similarity, pos - 1 AS start_word, nw AS n_words FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, pos) AS r FROM sims WHERE similarity >= {least}) x WHERE r = 1"""
+
+
+def url_sql() -> str:
+    """The URL filter with its models, level by level."""
+    from .url_filter import ALPHABET, LONGEST, MASS, RULES
+
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True)) + " END"
+    listed = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True)) + " END"
+    levels = [f"l1 AS (SELECT gram, (a + {MASS / ALPHABET}) / (ca + {MASS}) AS pa, (r + {MASS / ALPHABET}) / (cr + {MASS}) AS pr, 0.0 AS below FROM c WHERE k = 1)"]
+    for k in range(2, LONGEST + 1):
+        levels.append(f"l{k} AS (SELECT c.gram, (a + {MASS} * pa) / (ca + {MASS}) AS pa, (r + {MASS} * pr) / (cr + {MASS}) AS pr, ln(pa / pr) AS below FROM c JOIN l{k - 1} m ON m.gram = substr(c.gram, 2) WHERE k = {k})")
+    levels[1:] = [x.replace("(a + 4.0 * pa)", "(c.a + 4.0 * m.pa)").replace("(r + 4.0 * pr)", "(c.r + 4.0 * m.pr)").replace("ln(pa / pr)", "ln(m.pa / m.pr)") for x in levels[1:]]
+    added = " UNION ALL ".join(f"SELECT gram, ln(pa / pr) - below AS added FROM l{k}" for k in range(1, LONGEST + 1))
+    grams = f"(SELECT *, substr(chars, i - k + 1, k) AS gram FROM (SELECT *, unnest(range(1, least(i, {LONGEST}) + 1)) AS k FROM (SELECT *, unnest(range(2, length(chars) + 1)) AS i FROM {{0}}) x) y)"
+    return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+j AS (SELECT *, {rule} AS rule, {listed} AS listed FROM p),
+d AS (SELECT host, path, listed, count(*) AS times, chr(2) || host || path || chr(3) AS chars FROM j GROUP BY ALL),
+n AS (SELECT gram, length(gram) AS k, count(*) FILTER (WHERE listed = 'allow') AS a, count(*) FILTER (WHERE listed = 'block') AS r FROM {grams.format("d")} g WHERE listed IS NOT NULL GROUP BY 1),
+ctx AS (SELECT substr(gram, 1, k - 1) AS context, k, sum(a) AS ca, sum(r) AS cr FROM n GROUP BY 1, 2),
+c AS (SELECT n.*, ca, cr FROM n JOIN ctx ON ctx.context = substr(n.gram, 1, n.k - 1) AND ctx.k = n.k),
+{", ".join(levels)},
+inc AS ({added}),
+s AS (SELECT host, path, listed, times, sum(added) / (length(chars) - 1) AS score FROM {grams.format("d")} g JOIN inc USING (gram) GROUP BY host, path, listed, times, chars),
+m AS (SELECT listed, sum(score * times) / sum(times) AS mean, sqrt(greatest(0, sum(score * score * times) / sum(times) - (sum(score * times) / sum(times)) ** 2)) AS sd FROM s WHERE listed IS NOT NULL GROUP BY 1),
+t AS (SELECT (a.mean * r.sd + r.mean * a.sd) / (a.sd + r.sd) AS threshold FROM m a, m r WHERE a.listed = 'allow' AND r.listed = 'block')
+SELECT page_id, j.host, j.path, rule, coalesce(j.listed, CASE WHEN s.score < (SELECT threshold FROM t) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN s ON j.host = s.host AND j.path = s.path AND s.listed IS NULL"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": url_sql(),
+    "op9_decontamination": leaks_sql(),
     "op3_minhash_near_dedup": f"""WITH RECURSIVE {shingle_components_sql("documents", 3, 85)}
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)""",
     "op4_embedding_near_dedup": """WITH RECURSIVE

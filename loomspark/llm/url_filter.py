@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
     pages: page_id, url; other columns are left aside. Returns one row per row of pages: page_id, host, path, rule (its
     host and path, or null), verdict (allow or block) and score (log ratio a character under the models; null where a
-    rule decides). The models learn from the URLs that rules decide, host and path only. A URL that no rule fits is
+    rule decides). The models learn from the URLs that rules decide, each host and path once. A URL that no rule fits is
     blocked if its score is below the threshold, which lies between the two classes' mean training scores, nearer to the class
     with the smaller deviation.
     Defined cases: a null URL or one without ``://`` has an empty host and path, which no rule fits, and is judged by the models
