@@ -38,21 +38,32 @@ class Index:
     languages: tuple[str, ...] = ()
 
 
-def build_index(chunks: DataFrame, *, content: str = "content", heading: str | None = None, language: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunks with token_count, postings) of chunks with chunk_id. With a language column words are stemmed in that language."""
+def _counted(chunks: DataFrame, content: str, heading: str | None, language: str | None) -> DataFrame:
+    """chunk_id, term, tf. With a language column words are stemmed in that language."""
     text = terms(F.col(content)) if heading is None else F.concat(terms(F.col(content)), terms(F.col(heading)))
     listed = chunks.select("chunk_id", F.explode(text).alias("term"), *([F.col(language).alias("language")] if language else []))
-    if language:
-        counted = listed.groupBy("chunk_id", "term", "language").agg(F.count("*").alias("tf"))
-        counted = counted.withColumn("term", stemmed_udf()("term", "language")).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"))
-    else:
-        counted = listed.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    if not language:
+        return listed.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    counted = listed.groupBy("chunk_id", "term", "language").agg(F.count("*").alias("tf"))
+    return counted.withColumn("term", stemmed_udf()("term", "language")).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"))
+
+
+def _tables(chunks: DataFrame, counted: DataFrame, frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
     lengths = counted.groupBy("chunk_id").agg(F.sum("tf").alias("token_count"))
-    frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
     postings = counted.join(frequency, "term").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     return chunks.join(lengths, "chunk_id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0))), postings
 
 
+def _frequency(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def build_index(chunks: DataFrame, *, content: str = "content", heading: str | None = None, language: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks with token_count, postings) of chunks with chunk_id."""
+    counted = _counted(chunks, content, heading, language)
+    return _tables(chunks, counted, _frequency(counted))
+
+
 def index(chunks: DataFrame, **options) -> Index:
     """An index that is computed as it is used."""
     with_counts, postings = build_index(chunks, **options)
@@ -64,14 +75,21 @@ def _languages(chunks: DataFrame, column: str | None) -> tuple[str, ...]:
     return tuple(sorted(r[0] for r in chunks.select(column).distinct().limit(64).collect() if r[0])) if column else ()
 
 
-def write_index(chunks: DataFrame, path: str, **options) -> None:
-    """Write an index below path: postings by bucket, sorted by term."""
-    with_counts, postings = build_index(chunks, **options)
-    with_counts.write.mode("overwrite").parquet(f"{path}/chunks")
-    postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+def write_index(chunks: DataFrame, path: str, *, content: str = "content", heading: str | None = None, language: str | None = None) -> None:
+    """Write an index below path: postings by bucket, sorted by term.
+
+    The counts are written first, so texts are read once. Document frequencies are a table of their own, so that the join on the term is
+    between plain shuffles, whose hot terms adaptive execution splits; and a bucket with a hot term is rebalanced over several files.
+    """
     spark = chunks.sparkSession
+    _counted(chunks, content, heading, language).write.mode("overwrite").parquet(f"{path}/counted")
+    counted = spark.read.parquet(f"{path}/counted")
+    _frequency(counted).write.mode("overwrite").parquet(f"{path}/frequency")
+    with_counts, postings = _tables(chunks, counted, spark.read.parquet(f"{path}/frequency"))
+    with_counts.write.mode("overwrite").parquet(f"{path}/chunks")
+    postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     found = spark.read.parquet(f"{path}/chunks").where("token_count > 0").agg(F.count("*").alias("n"), F.coalesce(F.avg("token_count"), F.lit(0.0)).alias("mean"))
-    found.withColumn("languages", F.array(*map(F.lit, _languages(chunks, options.get("language")))).cast("array<string>")).write.mode("overwrite").parquet(f"{path}/size")
+    found.withColumn("languages", F.array(*map(F.lit, _languages(chunks, language))).cast("array<string>")).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
