@@ -14,8 +14,8 @@ least hash. Up to WIDTH windows on end share one anchor, so the first passes mov
 4. digit: all SPAN bytes of each window that is left.
 
 Digits are compared as 64-bit hashes, each pass within the groups of the passes before. Every pass is a counting
-aggregation followed by an equi-join, which adaptive execution splits where one digit holds very many suffixes; a
-group is never gathered in a task.
+aggregation, written, followed by an equi-join. As the counts are a table of their own, both sides of the join are plain
+shuffles, which adaptive execution splits where one digit holds very many suffixes; a group is never gathered in a task.
 """
 
 from __future__ import annotations
@@ -183,34 +183,34 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, r, spans array<struct<a int, b int>>): windows that start at a ... b - 1 occur elsewhere too. Rows without any are missing."""
     texts = _keyed(docs.select("doc_id", "text")).select("d", "r", "text")
     runs = scratch.write(texts.mapInArrow(_runs, "d long, r long, s int, n int, h long, f long"), "runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     alive = scratch.write(runs.join(shared, "h"), "alive")
-    scratch.drop(runs)
+    scratch.drop(runs, shared)
 
     classes = scratch.write(alive.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("d", "r", "s", "n")).alias("x")), "classes")
     whole = alive.join(classes.where("c > 1").select("h", "f"), ["h", "f"]).select("d", "r", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
     whole = scratch.write(whole, "whole")
     scratch.drop(alive)
 
-    mixed = classes.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("h")
+    mixed = scratch.write(classes.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("h"), "mixed")
     open_runs = classes.join(mixed, "h").select("x.*", "h", (F.col("c") == 1).alias("once"))
     by_row = open_runs.groupBy("d", "r").agg(F.collect_list(F.struct("s", "n", "h", "once")).alias("runs"))
     cut = texts.join(by_row.hint("shuffle_hash"), ["d", "r"]).select("d", "r", "text", "runs")
     cut = scratch.write(cut.mapInArrow(_cut_runs, "d long, r long, s int, n int, h long, once boolean, bytes binary"), "cut")
-    scratch.drop(classes)
+    scratch.drop(classes, mixed)
 
     blocks = scratch.write(cut.mapInArrow(_blocks, "k long, d long, r long, s int, once boolean, lo int, hi int"), "blocks")
-    met = blocks.groupBy("k").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("k")
+    met = scratch.write(blocks.groupBy("k").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("k"), "met")
     left = blocks.join(met, "k").groupBy("d", "r", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
     windows = cut.join(left, ["d", "r", "s"]).select("d", "r", "s", "h", "once", "bytes", "blocks")
     windows = scratch.write(windows.mapInArrow(_windows, "w long, d long, r long, s int, once boolean"), "windows")
-    scratch.drop(cut, blocks)
+    scratch.drop(cut, blocks, met)
 
-    again = windows.groupBy("w").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("w")
+    again = scratch.write(windows.groupBy("w").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("w"), "again")
     single = windows.where("once").join(again, "w").select("d", "r", F.col("s").alias("a"), (F.col("s") + 1).alias("b"))
     spans = whole.unionByName(single).groupBy("d", "r").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = scratch.write(spans, "spans")
-    scratch.drop(whole, windows)
+    scratch.drop(whole, windows, again)
     return spans
 
 
