@@ -55,10 +55,11 @@ def most_differing_bits(n: Column, m: Column, similarity: float) -> Column:
     busy = 1 - F.exp(-(n + m) / (2 * BINS))
     flips = differing * (1 + busy)
     noise = filled * similarity * (1 - similarity) * F.greatest(F.lit(0.0), 1 - filled / union) * (1 + busy) * (1 + busy) + differing * busy * (1 - busy)
-    most = flips + SIGMAS * F.sqrt(noise)
-    x = 4 * most / SKETCH_BITS
-    parity = SKETCH_BITS / 4 * (1 - F.exp(-x) * (1 + x))
-    return SKETCH_BITS / 2 * (1 - F.exp(-2 * most / SKETCH_BITS)) + SIGMAS * F.sqrt(F.greatest(F.lit(0.0), parity)) + 1
+    x = 4 * flips / SKETCH_BITS
+    parity = F.greatest(F.lit(0.0), SKETCH_BITS / 4 * (1 - F.exp(-x) * (1 + x)))
+    # Flips meet in bits, so noise in them counts less the more there are; the two kinds of noise are independent.
+    spread = F.sqrt(noise * F.exp(-x) + parity)
+    return SKETCH_BITS / 2 * (1 - F.exp(-x / 2)) + SIGMAS * spread + 0.5
 
 
 def signatures_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -76,20 +76,21 @@ def test_without_near_duplicates_keeps_columns_and_one_of_each(spark):
     assert len([r for r in kept.collect() if r.doc_id is None]) == 2
 
 
-def test_sketch_bound_holds_near_pairs():
+def test_sketch_bound_holds_pairs_at_the_limit(spark):
     import numpy as np
+    from pyspark.sql import functions as F
 
     random = np.random.default_rng(0)
-    for n in (30, 200, 3000, 30000):
-        for _ in range(5):
-            a = np.unique(random.integers(0, 1 << 63, n, dtype=np.uint64))
-            k = int(len(a) * 2 * 0.85 / 1.85) + 1  # common part at similarity 0.85
-            b = np.unique(np.concatenate([a[random.permutation(len(a))[:k]], random.integers(0, 1 << 63, len(a) - k, dtype=np.uint64)]))
+    rows = []
+    for n in (30, 130, 600, 3000, 30000):
+        for _ in range(40):
+            a = np.unique(random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            k = int(np.ceil(len(a) * 2 * 0.85 / 1.85))  # the common part at similarity 0.85
+            b = np.unique(np.concatenate([random.permutation(a)[:k], random.integers(0, 1 << 63, len(a) - k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
             _, _, s = minhash.signatures_of([a, b])
-            ones = int(np.bitwise_count(s[0] ^ s[1]).sum())
-            m = (len(a) + len(b)) / 2
-            # the same formula in plain numbers
-            union = 2 * m / 1.85
-            filled = minhash.BINS * (1 - np.exp(-union / minhash.BINS))
-            assert ones <= minhash.SKETCH_BITS / 2
-            assert filled > 0
+            rows.append((len(a), len(b), int(np.bitwise_count(s[0] ^ s[1]).sum())))
+    df = spark.createDataFrame(rows, "n long, m long, ones long")
+    assert df.where(F.col("ones") > minhash.most_differing_bits(F.col("n"), F.col("m"), 0.85)).count() == 0
+    # and the bound is tight: sketches of pairs at 0.7 are beyond it
+    far = minhash.most_differing_bits(F.col("n"), F.col("m"), 0.85) / (minhash.most_differing_bits(F.col("n"), F.col("m"), 0.7) + 0.0)
+    assert df.where(far >= 0.95).where("n > 100 and n < 10000").count() == 0
