@@ -87,3 +87,20 @@ def test_nothing_to_learn_from(spark):
     got = ppm.score(docs(spark, [(i, "abc def") for i in ids])).collect()
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.base_score) and math.isclose(r.score, -8 * math.log10(256), rel_tol=1e-5) for r in got)
     assert ppm.score(docs(spark, []).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("frequent", [1 << 21, 50])
+def test_rare_contexts_are_kept(spark, monkeypatch, frequent):
+    monkeypatch.setattr(ppm, "FREQUENT_GRAMS", frequent)
+    rows = [*odd_texts(), *((400 + i, f"a passage that stands once: {prose(7000 + i, 40, 5000)}") for i in range(20))]
+    train = [(t or "").encode() for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    counted = brute_levels(train)
+    assert sum(counted[0].values()) > 4 << 16  # a context that occurs once or twice is below 1/65,536
+    table = [sorted((int.from_bytes(ctx, "big"), s, n) for (ctx, s), n in c.items()) for c in counted]
+    model = ppm.Ppm([(np.array([x for x, _, _ in t], np.uint64), np.array([s for _, s, _ in t]), np.array([n for _, _, n in t], float)) for t in table])
+    texts = [(t or "").encode() for _, t in rows]
+    want = model.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    got = ppm.score(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.held_out for r in got} == {True, False}
+    for a, b in zip(sorted((str(r.doc_id), r.score) for r in got), sorted((str(i), float(x)) for (i, _), x in zip(rows, want, strict=True)), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5)
