@@ -72,7 +72,8 @@ def index(chunks: DataFrame, **options) -> Index:
 
 
 def _languages(chunks: DataFrame, column: str | None) -> tuple[str, ...]:
-    return tuple(sorted(r[0] for r in chunks.select(column).distinct().limit(64).collect() if r[0])) if column else ()
+    """The languages of chunks that have a stemmer; no others change a query's terms."""
+    return tuple(sorted(r[0] for r in chunks.select(column).where(F.col(column).isin(*STEMMERS)).distinct().collect())) if column else ()
 
 
 def write_index(chunks: DataFrame, path: str, *, content: str = "content", heading: str | None = None, language: str | None = None) -> None:

@@ -65,3 +65,9 @@ def test_batches_equal_single_searches(spark, chunks):
     got = r.vector_batch(chunks, wanted, top_k=3).collect()
     for n, q in wanted:
         assert [(x.chunk_id, round(x.score, 9)) for x in sorted((x for x in got if x.query_id == n), key=lambda x: x.rank)] == [(x.chunk_id, round(x.score, 9)) for x in r.vector(chunks, q, top_k=3).collect()]
+
+
+def test_many_languages_leave_the_stemmer_in(spark):
+    rows = [(f"c{i}", "running dogs", f"a{i:03}") for i in range(200)] + [("e", "running dogs", "english"), ("n", "running", None)]
+    many = spark.createDataFrame(rows, "chunk_id string, content string, lang string").repartition(5)
+    assert r.index(many, language="lang").languages == ("english",)
