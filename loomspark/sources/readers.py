@@ -27,7 +27,7 @@ class OneColumn(ValueError):
 
 
 def _head(spark: SparkSession, path: str, size: int = _HEAD) -> bytes:
-    """The first bytes of a file in any store that Spark reads."""
+    """The first bytes of a file in any store that Spark reads; all of them with size -1."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
@@ -100,7 +100,7 @@ def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame | None:
-    found = yaml_records(_head(spark, path, 64 << 20).decode("utf-8-sig"))
+    found = yaml_records(_head(spark, path, -1).decode("utf-8-sig"))
     return None if found is None else records(spark, found)
 
 

@@ -43,6 +43,12 @@ def test_yaml_records_or_text(spark, tmp_path):
     assert readers.yaml_records("a: 1\nb: 2") is None and readers.yaml_records("top:\n - {a: 1}") == [{"a": 1}]
 
 
+def test_long_yaml_is_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "yaml_records", lambda text: [{"size": len(text), "end": text[-9:].strip()}])
+    (tmp_path / "a.yaml").write_text("#" * (64 << 20) + "\n- {a: 2}\n")
+    assert rows(readers.read_yaml(spark, str(tmp_path / "a.yaml"))) == [((64 << 20) + 10, "- {a: 2}")]
+
+
 def workbook(path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(path, "w") as z:
