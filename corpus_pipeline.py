@@ -36,8 +36,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = PIECES_MODEL) -> DataFrame:
-    """doc_id, n_pieces and ids of each text that is left."""
-    return pieces.encode(docs, model).select("doc_id", F.size("ids").alias("n_pieces"), "ids")
+    """doc_id, n_pieces and ids of each text that is left, and round_trip: whether the ids decode to the text."""
+    return pieces.encode_and_back(docs, model).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [

@@ -492,6 +492,24 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(run, f"row {schema}, decoded string").select(*(F.col(f"row.`{c}`") for c in others), "decoded")
 
 
+def encode_and_back(docs: DataFrame, model: str) -> DataFrame:
+    """One row per row of docs: doc_id, ids and round_trip (whether the ids decode to the text). One worker does both, so the model is held once."""
+    shared = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column("text")):
+                ids, first = encoder.encode(data, offsets)
+                back, at = decoder.decode(ids, first)
+                same = np.array([np.array_equal(data[p:q], back[x:y]) for p, q, x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, pa.array(same)], names=["doc_id", "ids", "round_trip"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, round_trip boolean")
+
+
 def encoding_digests(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and
     round_trip (whether the ids decode to the text). Null and empty texts have no pieces and make the round trip."""

@@ -37,3 +37,13 @@ def test_stages_take_effect_on_what_the_one_before_kept(spark):
         docs, kept = spark.read.parquet(path), len(rows)
     assert kept > 0
     assert corpus_pipeline.run(spark, SF).count() == kept
+
+
+def test_encoding_makes_the_round_trip(spark):
+    from .helpers import docs, odd_texts
+
+    texts = docs(spark, odd_texts())
+    got = corpus_pipeline.encoding(spark, texts, SF).collect()
+    assert len(got) == len(odd_texts()) and all(r.round_trip is True for r in got)
+    want = corpus_pipeline.pieces.encode(texts, corpus_pipeline.PIECES_MODEL).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(r.doc_id), r.ids) for r in want)
