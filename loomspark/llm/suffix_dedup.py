@@ -13,9 +13,16 @@ least hash. Up to WIDTH windows on end share one anchor, so the first passes mov
 3. digit: for runs that occur once, the bytes that are common to STEP windows on end.
 4. digit: all SPAN bytes of each window that is left.
 
-Digits are compared as 64-bit hashes, each pass within the groups of the passes before. Every pass is a counting
-aggregation, written, followed by an equi-join. As the counts are a table of their own, both sides of the join are plain
-shuffles, which adaptive execution splits where one digit holds very many suffixes; a group is never gathered in a task.
+Digits are compared as hashes, each pass within the groups of the passes before; those that decide, the second and the
+fourth, as two independent hashes of 64 bits, so that at 10**13 windows two different ones are taken for equal with
+probability 10**-12. Digits that only close groups have one hash: there a collision costs work, never a byte.
+
+Every pass is a counting aggregation, written, followed by an equi-join. As the counts are a table of their own, both sides
+of the join are plain shuffles, which adaptive execution splits where one digit holds very many suffixes; a group is never
+gathered in a task. Runs that make up at least 1/``FREQUENT`` of the runs are at most FREQUENT by their definition, so
+they are broadcast and looked up where the runs lie in the order of the text: a passage that a third of all documents
+share costs a row for each stretch of it, not one for each run. Rows with equal doc_id and text are one row from the
+start; as they repeat each other, nothing else has to be known of them.
 """
 
 from __future__ import annotations
@@ -34,7 +41,17 @@ from .textkernels import U64, column_bytes, mix, powers, prefix_hash, range_hash
 SPAN, GRAM = 200, 32
 WIDTH = SPAN - GRAM + 1
 STEP = 43
+#: Runs whose bytes make up 1/FREQUENT of all runs or more are broadcast.
+FREQUENT = 1 << 16
+#: Bytes of runs in one batch, about.
+_BATCH = 32 << 20
 _NO_ID = -(1 << 63)
+_ALL = (1 << 31) - 1
+
+
+def _second(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the second hash."""
+    return prefix_hash(seeds(256, 19)[data], 1)
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,15 +70,15 @@ def _gram_hashes(prefix: np.ndarray) -> np.ndarray:
     return mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: len(prefix) - GRAM])
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end window, gram hash, hash of the run's bytes) of the runs of windows that share an anchor.
+def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end window, gram hash, two hashes of the run's bytes) of the runs of windows that share an anchor.
 
     A window starts at a byte of data and lies within one text. Its anchor is the first gram with the least hash
     among its WIDTH grams.
     """
     n = len(data)
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, U64) for _ in range(3))
     prefix = prefix_hash(seeds(256, 7)[data])
     gram = _gram_hashes(prefix)
     least = _sliding_least(gram, WIDTH)
@@ -80,19 +97,40 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ok = inside[first]
     first, end = first[ok], end[ok]
     grams = least[first]
-    return first, end, grams, mix(range_hash(prefix, first, end - 1 + SPAN) ^ grams)
+    return first, end, grams, mix(range_hash(prefix, first, end - 1 + SPAN) ^ grams), range_hash(_second(data), first, end - 1 + SPAN, 1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, r, text -> one row for each run: d, r, s (first window), n (windows), h (gram), f (bytes of the run)."""
+    """d, r, text -> one row for each run, in the order of the text: d, r, s (first window), n (windows), h (gram), f and g (bytes of the run)."""
     for batch in batches:
         d, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, _, data, offsets in slices(batch.column(2)):
             with np.errstate(over="ignore"):
-                first, end, gram, run = anchor_runs(data, offsets)
+                first, end, *hashes = anchor_runs(data, offsets)
             row = np.searchsorted(offsets, first, "right") - 1
-            arrays = [d[a + row], r[a + row], (first - offsets[row]).astype(np.int32), (end - first).astype(np.int32), gram.view(np.int64), run.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["d", "r", "s", "n", "h", "f"])
+            arrays = [d[a + row], r[a + row], (first - offsets[row]).astype(np.int32), (end - first).astype(np.int32), *(x.view(np.int64) for x in hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["d", "r", "s", "n", "h", "f", "g"])
+
+
+def _stretches(f: np.ndarray, g: np.ndarray):
+    """Of runs in the order of the text, those whose hashes are among f (sorted) and g: d, r, a, b, with runs on end as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("f").to_numpy(), batch.column("g").to_numpy()
+            lo, hi = np.searchsorted(f, x), np.searchsorted(f, x, "right")
+            hit = np.zeros(len(x), bool)
+            for step in range(int((hi - lo).max(initial=0))):  # more than 1 only if two runs' first hashes are equal
+                at = lo + step
+                hit |= (at < hi) & (g[np.minimum(at, len(g) - 1)] == y)
+            d, r, s, n = (batch.column(c).to_numpy()[hit] for c in ("d", "r", "s", "n"))
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + n[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(d)) - 1 if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (d[at], r[at], s[at], s[last] + n[last])], names=["d", "r", "a", "b"])
+
+    return run
 
 
 def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +150,12 @@ def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = lists.flatten()
             s, n = x.field("s").to_numpy().astype(np.int64), x.field("n").to_numpy().astype(np.int64)
             row = np.repeat(np.arange(b - a), counts)
-            text, ends = _gather(data, offsets[row] + s, n - 1 + SPAN)
-            bytes_ = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
-            take = pa.array(a + row)
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("r").take(take), x.field("s"), x.field("n"), x.field("h"), x.field("once"), bytes_], names=["d", "r", "s", "n", "h", "once", "bytes"])
+            for i in range(0, len(s), _BATCH // (2 * SPAN)):
+                j = min(len(s), i + _BATCH // (2 * SPAN))
+                text, ends = _gather(data, offsets[row[i:j]] + s[i:j], n[i:j] - 1 + SPAN)
+                bytes_ = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
+                take, part = pa.array(a + row[i:j]), x.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("r").take(take), part.field("s"), part.field("n"), part.field("h"), part.field("once"), bytes_], names=["d", "r", "s", "n", "h", "once", "bytes"])
 
 
 def _anchors_in(data: np.ndarray, offsets: np.ndarray, grams: np.ndarray, n: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -153,7 +193,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with their open blocks -> a row for each window: the hash of all its bytes."""
+    """Runs with their open blocks -> a row for each window: two hashes of all its bytes."""
     for batch in batches:
         for a, b, data, offsets in slices(batch.column("bytes")):
             lists = batch.column("blocks").slice(a, b - a)
@@ -168,10 +208,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 h = batch.column("h").to_numpy()[a:b].view(U64)
                 key = mix(range_hash(prefix_hash(seeds(256, 7)[data]), start, start + SPAN) ^ h[row])
+                second = range_hash(_second(data), start, start + SPAN, 1)
             once = batch.column("once").to_numpy(zero_copy_only=False)[a:b][row]
             take = pa.array(a + row)
             s = batch.column("s").to_numpy()[a:b][row] + window
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("d").take(take), batch.column("r").take(take), pa.array(s.astype(np.int32)), pa.array(once)], names=["w", "d", "r", "s", "once"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(second.view(np.int64)), batch.column("d").take(take), batch.column("r").take(take), pa.array(s.astype(np.int32)), pa.array(once)], names=["w", "v", "d", "r", "s", "once"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -180,34 +221,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(d, r, spans array<struct<a int, b int>>): windows that start at a ... b - 1 occur elsewhere too. Rows without any are missing."""
-    texts = _keyed(docs.select("doc_id", "text")).select("d", "r", "text")
-    runs = scratch.write(texts.mapInArrow(_runs, "d long, r long, s int, n int, h long, f long"), "runs")
+    """(d, r, spans array<struct<a int, b int>>), one row for each name: windows that start at a ... b - 1 occur elsewhere too. Rows without any are missing."""
+    named = _keyed(docs.select("doc_id", "text")).select("d", "r", "text")
+    # Of rows with one name the first stands for all of them; each is wholly repeated by the others.
+    equal = scratch.write(named.groupBy("d", "r").agg(F.count("*").alias("c")).where("c > 1").select("d", "r"), "equal")
+    texts, names = named, ["d", "r"]
+    if not equal.isEmpty():
+        texts = named.join(equal, names, "left_anti").unionByName(named.join(equal, names, "left_semi").groupBy(*names).agg(F.first("text").alias("text")))
+    copies = equal.select("d", "r", F.lit(0).alias("a"), F.lit(_ALL).alias("b"))
+
+    runs = scratch.write(texts.mapInArrow(_runs, "d long, r long, s int, n int, h long, f long, g long"), "runs")
+    total = runs.count()
     shared = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
-    alive = scratch.write(runs.join(shared, "h"), "alive")
-    scratch.drop(runs, shared)
-
-    classes = scratch.write(alive.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("d", "r", "s", "n")).alias("x")), "classes")
-    whole = alive.join(classes.where("c > 1").select("h", "f"), ["h", "f"]).select("d", "r", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
-    whole = scratch.write(whole, "whole")
-    scratch.drop(alive)
+    alive = scratch.write(runs.join(shared, "h", "left_semi"), "alive")
+    scratch.drop(shared)
+
+    bytes_ = ["h", "f", "g"]
+    classes = scratch.write(alive.groupBy(*bytes_).agg(F.count("*").alias("c"), F.min(F.struct("d", "r", "s", "n")).alias("x")), "classes")
+    often = F.col("c") * FREQUENT >= total
+    frequent = classes.where("c > 1").where(often).select("f", "g").orderBy("f").toArrow()
+    keys = [frequent[k].to_numpy() for k in ("f", "g")]
+    whole = runs.select("d", "r", "s", "n", "f", "g").mapInArrow(_stretches(*keys), "d long, r long, a int, b int")
+    rare = alive.join(classes.where("c > 1").where(~often).select(*bytes_), bytes_, "left_semi").select("d", "r", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
+    whole = scratch.write(whole.unionByName(rare).unionByName(copies), "whole")
+    scratch.drop(alive, runs)
 
     mixed = scratch.write(classes.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("h"), "mixed")
     open_runs = classes.join(mixed, "h").select("x.*", "h", (F.col("c") == 1).alias("once"))
     by_row = open_runs.groupBy("d", "r").agg(F.collect_list(F.struct("s", "n", "h", "once")).alias("runs"))
     cut = texts.join(by_row.hint("shuffle_hash"), ["d", "r"]).select("d", "r", "text", "runs")
     cut = scratch.write(cut.mapInArrow(_cut_runs, "d long, r long, s int, n int, h long, once boolean, bytes binary"), "cut")
-    scratch.drop(classes, mixed)
+    scratch.drop(classes, mixed, equal)
 
     blocks = scratch.write(cut.mapInArrow(_blocks, "k long, d long, r long, s int, once boolean, lo int, hi int"), "blocks")
     met = scratch.write(blocks.groupBy("k").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("k"), "met")
-    left = blocks.join(met, "k").groupBy("d", "r", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
+    left = blocks.join(met, "k", "left_semi").groupBy("d", "r", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
     windows = cut.join(left, ["d", "r", "s"]).select("d", "r", "s", "h", "once", "bytes", "blocks")
-    windows = scratch.write(windows.mapInArrow(_windows, "w long, d long, r long, s int, once boolean"), "windows")
+    windows = scratch.write(windows.mapInArrow(_windows, "w long, v long, d long, r long, s int, once boolean"), "windows")
     scratch.drop(cut, blocks, met)
 
-    again = scratch.write(windows.groupBy("w").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("w"), "again")
-    single = windows.where("once").join(again, "w").select("d", "r", F.col("s").alias("a"), (F.col("s") + 1).alias("b"))
+    again = scratch.write(windows.groupBy("w", "v").agg(F.count("*").alias("c"), F.max("once").alias("some")).where("c > 1 and some").select("w", "v"), "again")
+    single = windows.where("once").join(again, ["w", "v"], "left_semi").select("d", "r", F.col("s").alias("a"), (F.col("s") + 1).alias("b"))
     spans = whole.unionByName(single).groupBy("d", "r").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = scratch.write(spans, "spans")
     scratch.drop(whole, windows, again)
@@ -234,7 +288,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], b
     a, b = (lists.values.field(c).to_numpy() for c in ("a", "b"))
     for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         text = data[x:y].tobytes()
-        gone = covered(a[at[i] : at[i + 1]], b[at[i] : at[i + 1]]) if at[i + 1] > at[i] else []
+        gone = [(p, min(q, y - x)) for p, q in covered(a[at[i] : at[i + 1]], b[at[i] : at[i + 1]])] if at[i + 1] > at[i] and y - x >= SPAN else []
         place, parts = 0, []
         for p, q in gone:
             parts.append(text[place:p])
@@ -273,6 +327,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Where a cut splits a UTF-8 character, the rest of that character goes too. A text that is repeated as a whole becomes
     empty; its row stays.
+    Defined cases: a null text stays null; texts shorter than SPAN bytes, empty and blank ones stay as they are; rows that
+    repeat a doc_id and its text lose the whole text if that has SPAN bytes, whatever their other columns hold; a null
+    doc_id stays null; an empty table gives an empty one; a column named like one used inside stays as it is.
     """
     names = docs.columns
     inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")

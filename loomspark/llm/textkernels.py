@@ -45,33 +45,35 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_POWERS: dict[str, np.ndarray] = {}
-_P = 0xD6E8FEB86659FD93  # odd, so that it has an inverse mod 2**64
-_P_INVERSE = pow(_P, -1, 1 << 64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Two multipliers for two independent hashes; odd, so that they have an inverse mod 2**64.
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_P = _BASES[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i mod 2**64 for i < n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE + 4096)
-        for name, base in (("up", _P), ("down", _P_INVERSE)):
-            a = np.full(size, base, dtype=U64)
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        made = []
+        for p in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
+            a = np.full(max(n, SLICE + 4096), p, dtype=U64)
             a[0] = 1
-            _POWERS[name] = np.cumprod(a, dtype=U64)
-    return _POWERS["up"], _POWERS["down"]
+            made.append(np.cumprod(a, dtype=U64))
+        _POWERS[base] = made[0], made[1]
+    return _POWERS[base]
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
+def prefix_hash(values: np.ndarray, base: int = 0) -> np.ndarray:
     """Prefix sums of values[i] * P**i, one longer than values."""
-    up, _ = powers(len(values) + 1)
+    up, _ = powers(len(values) + 1, base)
     out = np.zeros(len(values) + 1, dtype=U64)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
     """Hash of each [start, end), equal for equal contents at any place."""
-    _, down = powers(len(prefix))
+    _, down = powers(len(prefix), base)
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * _BASE)
 
 

@@ -1,7 +1,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from loomspark.llm import suffix_dedup as s
+from loomspark.llm.scratch import Scratch
 
 from .helpers import docs, odd_texts, prose
 
@@ -26,10 +30,43 @@ def got(df):
 
 
 def test_odd_rows_against_brute_force(spark):
-    rows = [(i, t if t is None or len(t) < 9000 else t[:9000]) for i, t in odd_texts()]
+    rows = odd_texts()
+    assert max(len(t or "") for _, t in rows) > 100_000
     assert got(docs(spark, rows)) == brute(rows)
 
 
+def test_rare_runs_go_the_same_way_as_frequent_ones(spark, monkeypatch):
+    passages = [prose(900 + k, 90) for k in range(3)]
+    rows = [(i, f"{prose(500 + i, 30)} {passages[i % 3]} {prose(600 + i, 10)} {passages[0] if i < 12 else ''}") for i in range(30)]
+    rows += [(2, rows[2][1]), (None, "null " * 60), (None, "null " * 60)]
+    want = brute(rows)
+    for frequent in (1, 8, 1 << 16):  # none, the passage of all, every run
+        monkeypatch.setattr(s, "FREQUENT", frequent)
+        assert got(docs(spark, rows)) == want
+
+
+def test_equal_rows_and_hot_passages_grow_in_proportion(spark):
+    """Entries of the lists that are joined to the rows: a fixed number for each copy and for each document with a hot passage."""
+    hot, text = prose(77, 300), prose(78, 2000)
+
+    def entries(n):
+        rows = [(7, text)] * n + [(100 + i, f"{prose(1000 + i, 12)} {hot} {prose(5000 + i, 12)}") for i in range(n)]
+        d = docs(spark, rows)
+        joined = s._with_spans(d.select("doc_id", "text"), Scratch(spark)).selectExpr("coalesce(size(spans), 0) AS n")
+        return joined.selectExpr("sum(n)").first()[0]
+
+    a, b, c = entries(50), entries(100), entries(200)
+    assert b < 2.3 * a and c < 2.3 * b
+
+
+def test_two_hashes_decide(spark):
+    """Windows whose first hashes are equal but not the second ones aren't taken for equal."""
+    f, g = np.array([5, 5, 9]), np.array([1, 2, 3])
+    batch = pa.RecordBatch.from_pydict({"d": [1, 1, 1, 2], "r": [0, 0, 0, 0], "s": pa.array([0, 10, 20, 0], pa.int32()), "n": pa.array([10, 10, 5, 4], pa.int32()), "f": [5, 5, 5, 9], "g": [2, 1, 7, 4]})
+    out = [b.to_pydict() for b in s._stretches(f, g)(iter([batch]))][0]
+    assert (out["d"], out["a"], out["b"]) == ([1], [0], [20])
+
+
 def test_passages_at_all_places(spark):
     """Shared passages of 199 to 260 bytes at the start, middle and end, some next to others, some within one document."""
     passages = [prose(70 + k, 80)[: 199 + 8 * k] for k in range(8)]
