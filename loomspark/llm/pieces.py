@@ -40,6 +40,8 @@ _B = 0x2545F4914F6CDD1D
 _NONE = np.iinfo(np.int64).max
 #: Distinct segments that a task remembers; beyond, it starts anew.
 _REMEMBERED = 400_000
+#: Bytes of texts that are encoded together, about: many, as their distinct segments are solved together.
+SLICE = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -461,7 +463,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text")):
+            for a, b, data, offsets in slices(batch.column("text"), SLICE):
                 ids, first = encoder.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), lists], names=["row", "ids"])
@@ -499,7 +501,7 @@ def encode_and_back(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text")):
+            for a, b, data, offsets in slices(batch.column("text"), SLICE):
                 ids, first = encoder.encode(data, offsets)
                 back, at = decoder.decode(ids, first)
                 same = np.array([np.array_equal(data[p:q], back[x:y]) for p, q, x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
@@ -520,7 +522,7 @@ def encoding_digests(docs: DataFrame, model: str) -> DataFrame:
         is_byte = np.zeros(len(decoder.size), bool)
         is_byte[encoder.t.byte_ids[encoder.t.byte_ids >= 0]] = True
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text")):
+            for a, b, data, offsets in slices(batch.column("text"), SLICE):
                 ids, first = encoder.encode(data, offsets)
                 back, at = decoder.decode(ids, first)
                 raw, ends, starts = ids.astype("<i4").tobytes(), first[1:].tolist(), first[:-1].tolist()

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkernels import U64, slices, word_hashes
@@ -89,9 +89,9 @@ def features(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tupl
     return bucket, share, owner, stats
 
 
-def _inputs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+def _inputs(batch: pa.RecordBatch, text: pa.Array | None = None) -> Iterator[tuple[int, int, tuple]]:
     chars = batch.column("n_chars").to_numpy(zero_copy_only=False).astype(np.float64)
-    for a, b, data, offsets in slices(batch.column("text")):
+    for a, b, data, offsets in slices(batch.column("text") if text is None else text):
         yield a, b, features(data, offsets, np.nan_to_num(chars[a:b]))
 
 
@@ -159,9 +159,13 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np
     return model
 
 
+def _chars(docs: DataFrame) -> Column:
+    length = F.length("text").cast("double")
+    return F.coalesce(F.col("n_chars").cast("double") if "n_chars" in docs.columns else length, length, F.lit(0.0))
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
-    chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.length("text").cast("double")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(chars, F.length("text").cast("double"), F.lit(0.0)).alias("n_chars"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _chars(docs).alias("n_chars"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> QualityModel:
@@ -190,8 +194,8 @@ def score(docs: DataFrame, model: QualityModel, *, folds: int = 3, held_out: int
     """
     shared = docs.sparkSession.sparkContext.broadcast(QualityModel(model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32), model.mean, model.spread))
 
-    def scores(batch: pa.RecordBatch) -> np.ndarray:
-        out = [_raw_scores(shared.value, *x)[0] for _, _, x in _inputs(batch)]
+    def scores(batch: pa.RecordBatch, text: pa.Array | None = None) -> np.ndarray:
+        out = [_raw_scores(shared.value, *x)[0] for _, _, x in _inputs(batch, text)]
         return 1 / (1 + np.exp(-np.clip(np.concatenate([*out, np.zeros(0)]), -50, 50)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +205,11 @@ def score(docs: DataFrame, model: QualityModel, *, folds: int = 3, held_out: int
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column("row").filter(pa.array(scores(batch) >= threshold))
-            yield pa.RecordBatch.from_arrays([row], names=["row"])
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row.filter(pa.array(scores(batch, row.field("text")) >= threshold))], names=["row"])
 
     if keep:
-        rows = docs.select(F.struct(*docs.columns).alias("row"), "text", *_prepared(docs).columns[2:]) if "n_chars" in docs.columns else docs.select(F.struct(*docs.columns).alias("row"), "text", F.length("text").alias("n_chars"))
-        rows = rows.withColumn("n_chars", F.coalesce(F.col("n_chars").cast("double"), F.length("text").cast("double"), F.lit(0.0)))
+        rows = docs.select(F.struct(*docs.columns).alias("row"), _chars(docs).alias("n_chars"))
         return rows.mapInArrow(select, f"row {docs.schema.simpleString()}").select(*(F.col(f"row.`{c}`") for c in docs.columns))
     rows = _prepared(docs).withColumn("held_out", remainder(F.col("doc_id"), folds) == held_out)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

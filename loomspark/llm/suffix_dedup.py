@@ -44,7 +44,7 @@ STEP = 43
 #: Runs whose bytes make up 1/FREQUENT of all runs or more are broadcast.
 FREQUENT = 1 << 16
 #: Bytes of runs in one batch, about.
-_BATCH = 32 << 20
+_BATCH = 4 << 20
 _NO_ID = -(1 << 63)
 _ALL = (1 << 31) - 1
 
@@ -215,14 +215,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(second.view(np.int64)), batch.column("d").take(take), batch.column("r").take(take), pa.array(s.astype(np.int32)), pa.array(once)], names=["w", "v", "d", "r", "s", "once"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _named(docs: DataFrame) -> DataFrame:
     """Rows named by d (doc_id) and r (a hash of the row); equal rows share a name and have equal results."""
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "r": F.xxhash64("doc_id", "text"), "text": F.coalesce("text", F.lit(""))})
+    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "r": F.xxhash64("doc_id", "text")})
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, r, spans array<struct<a int, b int>>), one row for each name: windows that start at a ... b - 1 occur elsewhere too. Rows without any are missing."""
-    named = _keyed(docs.select("doc_id", "text")).select("d", "r", "text")
+    named = _named(docs.select("doc_id", "text")).select("d", "r", F.coalesce("text", F.lit("")).alias("text"))
     # Of rows with one name the first stands for all of them; each is wholly repeated by the others.
     equal = scratch.write(named.groupBy("d", "r").agg(F.count("*").alias("c")).where("c > 1").select("d", "r"), "equal")
     texts, names = named, ["d", "r"]
@@ -277,7 +277,7 @@ def covered(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    return _keyed(docs).join(repeated_spans(docs, scratch).hint("shuffle_hash"), ["d", "r"], "left")
+    return _named(docs).join(repeated_spans(docs, scratch).hint("shuffle_hash"), ["d", "r"], "left")
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], bytes]]:
@@ -331,15 +331,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     repeat a doc_id and its text lose the whole text if that has SPAN bytes, whatever their other columns hold; a null
     doc_id stays null; an empty table gives an empty one; a column named like one used inside stays as it is.
     """
-    names = docs.columns
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = f"row {docs.schema.simpleString()}, kept string"
+    others = [c for c in docs.columns if c != "text"]
+    inner = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = f"row {docs.select(*others).schema.simpleString()}, had boolean, kept string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [rest.decode("utf-8", "ignore") for _, _, rest in _kept(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text").is_valid(), pa.array(texts, pa.string())], names=["row", "had", "kept"])
 
     joined = _with_spans(inner, Scratch(docs.sparkSession)).select("row", "text", "spans").mapInArrow(cut, schema)
-    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
-    return joined.select(*(new.get(c, F.col(f"row.`{c}`")) for c in names))
+    new = {"text": F.when(F.col("had"), F.col("kept")).alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    return joined.select(*(new.get(c, F.col(f"row.`{c}`")) for c in docs.columns))

@@ -2,18 +2,20 @@
 
 An Arrow string column is one byte buffer and one offset array, so words, shingles and n-grams of thousands of
 texts are found with a few array passes and no Python loop over rows. Texts are cut into slices of about
-``SLICE`` bytes, on row borders only, which keeps the temporary arrays small; a longer text is one slice.
+``SLICE`` bytes, on row borders only, which keeps the temporary arrays small; a longer text is one slice. What the
+arrays of a batch have taken goes back to the system when the batch is done, as a worker lives on between tasks.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -94,6 +96,18 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim, or something that does nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows with about ``most`` bytes each."""
     data, offsets = column_bytes(column)
@@ -103,6 +117,8 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.n
         end = min(max(end, row + 1), n)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    if len(data) > SLICE:
+        give_back()
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
