@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -84,6 +85,73 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(q.tolist(), i.tolist(), strict=True)) == want
 
 
+def changed(w, k, seed):
+    """w with k words replaced, far from each other."""
+    out, step = list(w), len(w) // k
+    for j in range(k):
+        out[j * step + seed % step] = f"new{seed}x{j}"
+    return out
+
+
+def test_recall_of_the_hamming_index_at_the_limit():
+    """Windows between 0.8 and 0.9 alike: the share that the search finds of those that brute force finds."""
+    items = [(k, prose(3000 + k, 120 + k % 80)) for k in range(150)]
+    texts = [" ".join(["before", *changed(t.split(), 1 + k % 3, k), "after", "it"]) for k, t in items]
+    scanner = decontam.Scanner(decontam.Items.of(items), 0.8)
+    data, offsets = pack(texts)
+    got = {(i, int(scanner.items.ids[x])) for i, x, *_ in scanner.scan(data, offsets)}
+    want, at_limit = set(), 0
+    for k, (_, t) in enumerate(items):
+        v, w = words(t), words(texts[k])
+        best = max(alike(w[s : s + len(v)], v) for s in range(len(w) - len(v) + 1))
+        if best >= 0.8:
+            want.add((k, k))
+            at_limit += best < 0.9
+    assert at_limit > 40 and got <= want | {(i, x) for i, x in got if i != x}
+    assert len(got & want) >= 0.99 * len(want)
+
+
+def alike(a, b):
+    a, b = bag(a), bag(b)
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def pack(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_overlaps_against_counting():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        text, own = r.integers(0, 9, 60).astype(np.uint64), np.sort(r.integers(0, 9, 12).astype(np.uint64))
+        starts = np.arange(49)
+        want = [sum((Counter(text[s : s + 12].tolist()) & Counter(own.tolist())).values()) for s in starts]
+        assert decontam.overlaps(np.arange(60), text, own, 12, starts).tolist() == want
+
+
+def test_very_long_items_take_little_memory():
+    """An item of 20,000 words, found with changes in a longer text: under 500 MB with the interpreter."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tests.llm.helpers import prose
+from tests.llm.test_decontam import changed, pack
+from loomspark.llm import decontam
+item = prose(1, 20000, 4000).split()
+s = decontam.Scanner(decontam.Items.of([(1, " ".join(item)), (2, prose(2, 9000, 4000))]), 0.8)
+data, offsets = pack([" ".join([prose(9, 300), *changed(item, 40, 3), prose(8, 5000)]), prose(2, 9000, 4000)])
+found = s.scan(data, offsets)
+assert [(x[0], x[1], x[3]) for x in found] == [(0, 0, 300), (1, 1, 0)], found
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500_000
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, timeout=300)
+
+
 def test_empty_tables(spark):
     rows, items = fixture()
     assert decontam.leaks(docs(spark, []).limit(0), frame(spark, items)).collect() == []
