@@ -147,20 +147,20 @@ def url_sql() -> str:
     levels[1:] = [x.replace("(a + 4.0 * pa)", "(c.a + 4.0 * m.pa)").replace("(r + 4.0 * pr)", "(c.r + 4.0 * m.pr)").replace("ln(pa / pr)", "ln(m.pa / m.pr)") for x in levels[1:]]
     added = " UNION ALL ".join(f"SELECT gram, ln(pa / pr) - below AS added FROM l{k}" for k in range(1, LONGEST + 1))
     grams = f"(SELECT *, substr(chars, i - k + 1, k) AS gram FROM (SELECT *, unnest(range(1, least(i, {LONGEST}) + 1)) AS k FROM (SELECT *, unnest(range(2, length(chars) + 1)) AS i FROM {{0}}) x) y)"
-    return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+    return f"""WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, chr(2) || coalesce(url, '') || chr(3) AS chars, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 j AS (SELECT *, {rule} AS rule, {listed} AS listed FROM p),
-d AS (SELECT host, path, listed, count(*) AS times, chr(2) || host || path || chr(3) AS chars FROM j GROUP BY ALL),
-n AS (SELECT gram, length(gram) AS k, count(*) FILTER (WHERE listed = 'allow') AS a, count(*) FILTER (WHERE listed = 'block') AS r FROM {grams.format("d")} g WHERE listed IS NOT NULL GROUP BY 1),
+d AS (SELECT chars, listed, count(*) AS times FROM j GROUP BY ALL),
+n AS (SELECT gram, length(gram) AS k, coalesce(sum(times) FILTER (WHERE listed = 'allow'), 0) AS a, coalesce(sum(times) FILTER (WHERE listed = 'block'), 0) AS r FROM {grams.format("d")} g WHERE listed IS NOT NULL GROUP BY 1),
 ctx AS (SELECT substr(gram, 1, k - 1) AS context, k, sum(a) AS ca, sum(r) AS cr FROM n GROUP BY 1, 2),
 c AS (SELECT n.*, ca, cr FROM n JOIN ctx ON ctx.context = substr(n.gram, 1, n.k - 1) AND ctx.k = n.k),
 {", ".join(levels)},
 inc AS ({added}),
-s AS (SELECT host, path, listed, times, sum(added) / (length(chars) - 1) AS score FROM {grams.format("d")} g JOIN inc USING (gram) GROUP BY host, path, listed, times, chars),
+s AS (SELECT chars, listed, times, sum(added) / (length(chars) - 1) AS score FROM {grams.format("d")} g JOIN inc USING (gram) GROUP BY chars, listed, times),
 m AS (SELECT listed, sum(score * times) / sum(times) AS mean, sqrt(greatest(0, sum(score * score * times) / sum(times) - (sum(score * times) / sum(times)) ** 2)) AS sd FROM s WHERE listed IS NOT NULL GROUP BY 1),
 t AS (SELECT (a.mean * r.sd + r.mean * a.sd) / (a.sd + r.sd) AS threshold FROM m a, m r WHERE a.listed = 'allow' AND r.listed = 'block')
 SELECT page_id, j.host, j.path, rule, coalesce(j.listed, CASE WHEN s.score < (SELECT threshold FROM t) THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN s ON j.host = s.host AND j.path = s.path AND s.listed IS NULL"""
+FROM j LEFT JOIN s ON j.chars = s.chars AND s.listed IS NULL"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI in ``spark.checkpoint.dir``; where that is unset (tests), one temporary folder for each process."""
+    """The URI in ``spark.checkpoint.dir``; where that is unset in local mode (tests), one temporary folder for each process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="loomspark-")
         atexit.register(_remove_local, _OWN["dir"])
@@ -46,8 +49,13 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tasks_for(spark: SparkSession, amount: int, most: int, least: int) -> int:
+    """Partitions for work of ``amount``: at most ``most`` of it in each, and if it is little, as many as keep all cores busy with ``least`` each."""
+    return max(1, -(-amount // most), min(-(-amount // least), 2 * spark.sparkContext.defaultParallelism))
+
+
 class Scratch:
-    """Tables of one run of an operator. ``drop`` frees one early; the rest go when the process ends."""
+    """Tables of one run of an operator. ``drop`` frees one early; the rest go when the process ends, as results are lazy and read them."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark

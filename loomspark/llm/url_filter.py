@@ -11,9 +11,10 @@ the log ratio at the longest seen gram is the sum of what each seen gram adds ov
 inner join of the grams at every place with the table of additions and one sum for each URL; no place needs a group
 of its own.
 
-The grams of training URLs are counted once for each distinct gram and class, with partial sums before the shuffle. The table of
+The models see the whole URL as it stands, scheme, query and fragment included, as often as it occurs; host and path are for
+the rules. The grams of a URL are listed once, however often it occurs, and counted with partial sums before the shuffle. The table of
 additions is counted: up to ``BROADCAST_GRAMS`` rows are broadcast, more are joined by shuffle, where adaptive execution splits hot
-grams. Only a number stands for a URL in the rows of its grams.
+grams. Only a number stands for a URL in the rows of its grams, which come from as many tasks as its characters call for.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, tasks_for
 
 #: Characters in the longest gram.
 LONGEST = 5
 MASS = 4.0
 ALPHABET = 256
+#: Places in one piece of a URL.
+PIECE = 256
 #: Rows of the table of additions that are broadcast, at most; about 100 bytes each.
-BROADCAST_GRAMS = 500_000
+BROADCAST_GRAMS = 200_000
+#: Characters whose grams one task lists, at most, and at least if there are cores for more tasks.
+MOST_CHARS, LEAST_CHARS = 1 << 24, 1 << 16
 #: Stand before and after a URL; neither is allowed in one.
 _START, _END = "\x02", "\x03"
 
@@ -64,23 +69,25 @@ def _rule_columns(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column
     return rule, verdict
 
 
-def _text() -> Column:
-    """The characters that the models see: host and path, without scheme, query and fragment."""
-    return F.concat(F.lit(_START), F.col("host"), F.col("path"), F.lit(_END))
+def _text(url: Column) -> Column:
+    """The characters that the models see: all of the URL; none of a null one."""
+    return F.concat(F.lit(_START), F.coalesce(url, F.lit("")), F.lit(_END))
 
 
 def _grams(urls: DataFrame, *keys: str) -> DataFrame:
-    """keys, gram: every gram of up to LONGEST characters at every place after the start."""
-    places = F.sequence(F.lit(2), F.length("chars"))
-    grams = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(i, F.lit(LONGEST))), lambda k: F.substring(F.col("chars"), i - k + 1, k))))
-    return urls.select(*keys, F.explode(grams).alias("gram"))
+    """keys, gram: every gram of up to LONGEST characters at every place after the start. Long URLs are cut into overlapping pieces, so the work grows with their length."""
+    pieces = urls.select(*keys, "chars", F.explode(F.sequence(F.lit(2), F.length("chars"), F.lit(PIECE))).alias("at"))
+    lead = F.least(F.lit(LONGEST - 1), F.col("at") - 1)
+    pieces = pieces.select(*keys, lead.alias("lead"), F.substring("chars", F.col("at") - lead, lead + PIECE).alias("piece"))
+    places = F.sequence(F.col("lead") + 1, F.length("piece"))
+    grams = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(i, F.lit(LONGEST))), lambda k: F.substring(F.col("piece"), i - k + 1, k))))
+    return pieces.select(*keys, F.explode(grams).alias("gram"))
 
 
 def _additions(training: DataFrame, scratch: Scratch) -> DataFrame:
     """(gram, added): what a gram adds to the log ratio, accepted over rejected, that its suffix gives."""
     training = training.withColumn("good", (F.col("listed") == "allow").cast("int"))
-    counted = _grams(training, "good").groupBy("gram", "good").agg(F.count("*").alias("n"))
-    table = counted.groupBy("gram").agg(F.sum(F.col("n") * F.col("good")).alias("a"), F.sum(F.col("n") * (1 - F.col("good"))).alias("r"))
+    table = _grams(training, "good", "times").groupBy("gram").agg(F.sum(F.col("times") * F.col("good")).alias("a"), F.sum(F.col("times") * (1 - F.col("good"))).alias("r"))
     table = scratch.write(table.withColumn("k", F.length("gram")), "grams")
     # A context's count is the sum over what follows it.
     context = F.substring("gram", F.lit(1), F.col("k") - 1)
@@ -106,33 +113,35 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
     pages: page_id, url; other columns are left aside. Returns one row per row of pages: page_id, host, path, rule (its
     host and path, or null), verdict (allow or block) and score (log ratio a character under the models; null where a
-    rule decides). The models learn from the URLs that rules decide, each host and path once. A URL that no rule fits is
+    rule decides). The models learn from the URLs that rules decide, each as often as it occurs. A URL that no rule fits is
     blocked if its score is below the threshold, which lies between the two classes' mean training scores, nearer to the class
     with the smaller deviation.
     Defined cases: a null URL or one without ``://`` has an empty host and path, which no rule fits, and is judged by the models
-    like any other; without training URLs of both classes, URLs that no rule fits are allowed; repeated rows are
+    like any other, on all its characters (none of a null one); without training URLs of both classes, URLs that no rule fits are allowed; repeated rows are
     judged each; an empty table gives an empty one.
     """
     scratch = Scratch(pages.sparkSession)
-    parts = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    parts = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), _text(F.col("url")).alias("chars"))
     rule, listed = _rule_columns(rules)
     parts = parts.withColumn("rule", rule).withColumn("listed", listed)
-    # Equal hosts and paths are counted and scored once.
-    distinct = parts.groupBy("host", "path", "listed").agg(F.count("*").alias("times")).withColumn("chars", _text())
+    # Equal URLs are counted and scored once.
+    distinct = parts.groupBy("chars", "listed").agg(F.count("*").alias("times"))
     distinct = scratch.write(distinct.withColumn("url_id", F.monotonically_increasing_id()), "urls")
     classes = {x["listed"]: x["n"] for x in distinct.where("listed is not null").groupBy("listed").agg(F.sum("times").alias("n")).collect()}
     if len(classes) < 2:
         return parts.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    additions = scratch.write(_additions(distinct.where("listed is not null"), scratch), "additions")
+    chars = int(distinct.agg(F.sum(F.length("chars"))).first()[0])
+    spread_out = distinct.repartition(tasks_for(pages.sparkSession, chars, MOST_CHARS, LEAST_CHARS), "url_id")
+    additions = scratch.write(_additions(spread_out.where("listed is not null"), scratch), "additions")
     looked_up = F.broadcast(additions) if additions.count() <= BROADCAST_GRAMS else additions
-    sums = _grams(distinct, "url_id").join(looked_up, "gram").groupBy("url_id").agg(F.sum("added").alias("total"))
+    sums = _grams(spread_out, "url_id").join(looked_up, "gram").groupBy("url_id").agg(F.sum("added").alias("total"))
     score = F.coalesce(F.col("total") / (F.length("chars") - 1), F.lit(0.0))
-    scored = scratch.write(distinct.join(sums, "url_id", "left").select("host", "path", "listed", "times", score.alias("score")), "scores")
+    scored = scratch.write(distinct.join(sums, "url_id", "left").select("chars", "listed", "times", score.alias("score")), "scores")
     mean = F.sum(F.col("score") * F.col("times")) / F.sum("times")
     square = F.sum(F.col("score") * F.col("score") * F.col("times")) / F.sum("times")
     spread = {x["listed"]: (x["m"], max(x["v"], 0.0) ** 0.5) for x in scored.where("listed is not null").groupBy("listed").agg(mean.alias("m"), (square - mean * mean).alias("v")).collect()}
     (good, a), (bad, r) = spread["allow"], spread["block"]
     threshold = (good * r + bad * a) / (a + r) if a + r > 0 else (good + bad) / 2
-    open_ = scored.where("listed is null").select("host", "path", "score")
+    open_ = scored.where("listed is null").select("chars", "score")
     verdict = F.coalesce("listed", F.when(F.col("score") < threshold, "block").otherwise("allow"))
-    return parts.join(open_, ["host", "path"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return parts.join(open_, "chars", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

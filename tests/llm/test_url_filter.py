@@ -27,13 +27,13 @@ def fixture():
 
 
 def brute(rows):
-    split = [(i, *parts(t)) for i, t in rows]
-    judged = [(i, h, p, *rule(h, p)) for i, h, p in split]
+    split = [(i, t, *parts(t)) for i, t in rows]
+    judged = [(i, t, h, p, *rule(h, p)) for i, t, h, p in split]
     n = defaultdict(lambda: [0, 0])
-    text = lambda h, p: "\x02" + h + p + "\x03"
-    for _, h, p, what, _ in judged:
+    text = lambda url: "\x02" + (url or "") + "\x03"
+    for _, url, _, _, what, _ in judged:
         if what:
-            t = text(h, p)
+            t = text(url)
             for i in range(1, len(t)):
                 for k in range(1, min(i + 1, u.LONGEST) + 1):
                     n[t[i - k + 1 : i + 1]][what == "block"] += 1
@@ -52,18 +52,18 @@ def brute(rows):
         ctx = context[g[:-1], len(g)]
         return tuple((n[g][x] + u.MASS * low[x]) / (ctx[x] + u.MASS) for x in (0, 1))
 
-    def score(h, p):
-        t, total = text(h, p), 0.0
+    def score(url):
+        t, total = text(url), 0.0
         for i in range(1, len(t)):
             seen = [t[i - k + 1 : i + 1] for k in range(1, min(i + 1, u.LONGEST) + 1) if t[i - k + 1 : i + 1] in n]
             total += ratio(seen[-1]) if seen else 0.0
         return total / (len(t) - 1)
 
-    trained = {w: [score(h, p) for _, h, p, what, _ in judged if what == w] for w in ("allow", "block")}
+    trained = {w: [score(t) for _, t, _, _, what, _ in judged if what == w] for w in ("allow", "block")}
     stats = {w: (sum(s) / len(s), math.sqrt(max(0, sum(x * x for x in s) / len(s) - (sum(s) / len(s)) ** 2))) for w, s in trained.items()}
     (good, a), (bad, r) = stats["allow"], stats["block"]
     threshold = (good * r + bad * a) / (a + r)
-    return sorted((str(i), h, p, str(name), what or ("block" if score(h, p) < threshold else "allow")) for i, h, p, what, name in judged)
+    return sorted((str(i), h, p, str(name), what or ("block" if score(t) < threshold else "allow")) for i, t, h, p, what, name in judged)
 
 
 def frame(spark, rows):
@@ -75,6 +75,21 @@ def test_against_brute_force(spark):
     assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got) == brute(fixture())
 
 
+def test_a_joined_table_of_additions_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(u, "BROADCAST_GRAMS", 0)
+    got = u.judge(frame(spark, fixture())).collect()
+    assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got) == brute(fixture())
+
+
+def test_the_query_counts_and_urls_may_be_very_long(spark):
+    """URLs that differ in the query only are judged apart; all of a URL of 200,000 characters is seen."""
+    rows = [(i, f"http://h{i % 5}.net/x?casino-win={i}") for i in range(40)] + [(100 + i, f"http://example.net/en/page?read={i}") for i in range(40)]
+    rows += [(200, "http://other.edu/go?casino-win=1"), (201, "http://other.edu/go?page-read=2"), (202, "no scheme casino-win="), (203, "no scheme page read="), (204, "http://other.edu/go?" + "casino-win=" * 18_000)]
+    got = {r.page_id: r for r in u.judge(frame(spark, rows)).collect()}
+    assert [got[i].verdict for i in range(200, 205)] == ["block", "allow", "block", "allow", "block"]
+    assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got.values()) == brute(rows)
+
+
 def test_without_both_classes_all_open_urls_are_allowed(spark):
     got = u.judge(frame(spark, [(1, "http://a.com/x"), (2, "http://b.net/x"), (3, None)])).collect()
     assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: (None, "allow"), 2: ("net/", "block"), 3: (None, "allow")}
