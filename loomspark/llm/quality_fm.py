@@ -169,7 +169,12 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> QualityModel:
-    """Learn ``labels.quality`` from at most ``per_class`` texts of each class outside the held-out fold."""
+    """Learn ``labels.quality`` from at most ``per_class`` texts of each class outside the held-out fold, of training.CLASS_BYTES in all.
+
+    Defined cases: null texts are empty ones; ids without a text aren't learnt from; labels that are null or neither 0 nor 1 are left
+    aside, and of labels that differ for one id 1 counts; without both classes the score is their smoothed share (0.5
+    without any) for every text; without a column n_chars the text's length stands for it; other columns are left aside.
+    """
     sample, totals = labelled_sample(_prepared(docs), labels, "quality", per_class=per_class, folds=folds, held_out=held_out)
     got = sample.select("y", "text", "n_chars").mapInArrow(_featurise, "y int, words binary, shares binary, stats binary").collect()
     got.sort(key=lambda x: (x["y"], bytes(x["stats"]), bytes(x["words"])))

@@ -117,7 +117,12 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, importance: np.ndarray, *, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> ToxicityModel:
-    """Learn ``labels.toxic`` from at most ``per_class`` texts of each class outside the held-out fold."""
+    """Learn ``labels.toxic`` from at most ``per_class`` texts of each class outside the held-out fold, of training.CLASS_BYTES in all.
+
+    Defined cases: null texts are empty ones; ids without a text aren't learnt from; labels that are null or neither 0 nor 1 are left
+    aside, and of labels that differ for one id 1 counts; without both classes the score is their smoothed share (0.5
+    without any) for every text; other columns are left aside.
+    """
     sample, totals = labelled_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "toxic", per_class=per_class, folds=folds, held_out=held_out)
     got = sample.select("y", "text").mapInArrow(_featurise, "y int, x binary").collect()
     got.sort(key=lambda x: (x["y"], bytes(x["x"])))
