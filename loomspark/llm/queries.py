@@ -180,10 +180,12 @@ n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)""",
     "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS rest FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest, rest FROM p),
-f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1),
+k AS (SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to,
   array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(rest, '^[^/?#]*(.*)$', 1, 's') AS url_key,
   strftime(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
-FROM d LEFT JOIN f USING (payload_digest)""",
+FROM d LEFT JOIN f USING (payload_digest))
+SELECT *, row_number() OVER (ORDER BY url_key, captured, page_id) AS position, row_number() OVER w AS capture_no, lag(page_id) OVER w AS previous_page
+FROM k WINDOW w AS (PARTITION BY url_key ORDER BY captured, page_id)""",
 }

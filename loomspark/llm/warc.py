@@ -8,7 +8,9 @@ Reading: archives are read back record by record, with bounded memory, and every
 
 Index: the runs are merged as external merges are: the key space is cut at sampled keys, and the task of a range
 merges its part of every run with a loser tree, k-way. A key holds time and page as well, so captures of one hot URL
-fall into as many ranges as any others.
+fall into as many ranges as any others. The merged order gives each capture its place in the whole index and in the
+history of its URL key, and the capture before it; where a history runs on into the next ranges, a summary of
+one row for each range carries its count.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, new_path
+from .scratch import Scratch, new_path, tasks_for
 
 #: Payloads under this many bytes are stored even if they occur elsewhere.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
 #: Index rows that one merge task gets, about.
 RANGE_ROWS = 200_000
+#: Bytes of archives that one task reads, at most, and at least if there are cores for more tasks.
+MOST_READ, LEAST_READ = 32 << 20, 1 << 20
+_NO_PAGE = -(1 << 63)  # nulls come first
 _EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
-_RECORD = "page_id long, url string, url_key string, captured string, record_type string, refers_to long, payload_digest string, payload_bytes long"
+_RECORD = "page_id long, url string, url_key string, captured string, record_type string, refers_to long, payload_digest string, payload_bytes long, position long, capture_no long, previous_page long"
 
 
 def url_key(url: Column) -> Column:
@@ -107,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame
         def closed() -> pa.RecordBatch:
             nonlocal out, lines
             out.close()
-            lines.sort(key=lambda x: (x[1].encode(), x[2], -1 if x[3] is None else x[3]))
+            lines.sort(key=lambda x: (x[1].encode(), x[2], _NO_PAGE if x[3] is None else x[3]))
             got, lines, out = lines, [], None
             return pa.RecordBatch.from_pylist([dict(zip(fields.names, (x[0], i, *x[1:]), strict=True)) for i, x in enumerate(got)], schema=fields)
 
@@ -183,28 +188,58 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one key range, from any runs -> the same rows in key order."""
+    """The rows of one key range, from any runs -> the same rows in key order, with their number in the range (at), the number
+    among those of their URL key there (nth) and the page of the one before of that key (previous_page)."""
     table = [b for b in batches if b.num_rows]
     if not table:
         return
     rows = pa.Table.from_batches(table)
-    keys = list(zip((x.encode() for x in rows["url_key"].to_pylist()), rows["captured"].to_pylist(), (-1 if x is None else x for x in rows["page_id"].to_pylist()), strict=True))
+    keys = list(zip((x.encode() for x in rows["url_key"].to_pylist()), rows["captured"].to_pylist(), (_NO_PAGE if x is None else x for x in rows["page_id"].to_pylist()), strict=True))
     runs: dict[str, list[int]] = {}
     for i, (name, place) in enumerate(zip(rows["run"].to_pylist(), rows["place"].to_pylist(), strict=True)):
         runs.setdefault(name, []).append((place, i))
     order = [i for _, i in LoserTree([iter([(keys[i], i) for _, i in sorted(runs[n])]) for n in sorted(runs)])]
-    rows = rows.take(pa.array(order, pa.int64()))
+    rows = rows.take(pa.array(order, pa.int64())).drop_columns(["place"])
+    nth, previous, n = [], [], 0
+    for i, (a, b) in enumerate(zip([-1, *order], order, strict=False)):
+        n = n + 1 if i and keys[a][0] == keys[b][0] else 1
+        nth.append(n)
+        previous.append(keys[a][2] if n > 1 and keys[a][2] != _NO_PAGE else None)
+    for name, x in (("at", pa.array(range(1, len(order) + 1), pa.int64())), ("nth", pa.array(nth, pa.int64())), ("previous_page", pa.array(previous, pa.int64()))):
+        rows = rows.append_column(name, x)
     yield from rows.combine_chunks().to_batches()
 
 
 def merged_index(runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The captures of all runs in global order: url_key, captured, page_id, run, offset, length; ``part`` numbers the key ranges."""
+    """The captures of all runs in global order: url_key, captured, page_id, run, offset, length; ``part`` numbers the key ranges.
+
+    position counts the captures of the index from 1, capture_no those of one url_key, and previous_page is the page of the one
+    before in that history (null for the first).
+    """
     order = ["url_key", "captured", "page_id"]
     n = runs.count()
     ranges = max(1, -(-n // RANGE_ROWS))
     dealt = runs.repartitionByRange(ranges, *(F.col(c).asc_nulls_first() for c in order)) if ranges > 1 else runs.coalesce(1)
-    merged = dealt.mapInArrow(_merge, "run string, place int, url_key string, captured string, page_id long, offset long, length long").withColumn("part", F.spark_partition_id())
-    return scratch.write(merged.drop("place"), "index")
+    schema = "run string, url_key string, captured string, page_id long, offset long, length long, at long, nth long, previous_page long"
+    merged = scratch.write(dealt.mapInArrow(_merge, schema).withColumn("part", F.spark_partition_id()), "merged")
+    # A row for each range: how many captures it has, and the history that it ends with.
+    ends = merged.groupBy("part").agg(F.max("at").alias("n"), F.min_by("url_key", "at").alias("first"), F.max_by("url_key", "at").alias("last"), F.max_by("nth", "at").alias("nth"), F.max_by("page_id", "at").alias("page"))
+    ends = scratch.write(ends, "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    borders = ends.select("part", F.lit(1).alias("ends"), F.col("last").alias("key"), "nth", F.struct("page").alias("page"))
+    borders = borders.unionByName(ends.select("part", F.lit(0).alias("ends"), F.col("first").alias("key"), F.lit(0).alias("nth"), F.lit(None).cast("struct<page: long>").alias("page")))
+    history = Window.partitionBy("key").orderBy("part", "ends").rowsBetween(Window.unboundedPreceding, -1)
+    carried = borders.select("part", "ends", "key", F.sum("nth").over(history).alias("more"), F.last("page", True).over(history).alias("page")).where("ends = 0 and more > 0")
+    carried = carried.select("part", F.col("key").alias("url_key"), "more", F.col("page.page").alias("page"))
+    out = merged.join(starts, "part").join(carried, ["part", "url_key"], "left")
+    out = out.select(
+        "run", "url_key", "captured", "page_id", "offset", "length", "part", (F.col("start") + F.col("at")).alias("position"), (F.col("nth") + F.coalesce("more", F.lit(0))).alias("capture_no"),
+        F.when(F.col("nth") > 1, F.col("previous_page")).otherwise(F.col("page")).alias("previous_page"),
+    )
+    out = scratch.write(out, "index")
+    scratch.drop(merged)
+    return out
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -223,22 +258,27 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 file.seek(x["offset"])
                 got = read_record(file.read(x["length"]))
                 got.pop("payload")
-                out.append(got | {"url_key": x["url_key"]})
-            fields = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("url_key", pa.string()), ("captured", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
+                out.append(got | {c: x[c] for c in ("url_key", "position", "capture_no", "previous_page")})
+            kinds = {"long": pa.int64(), "string": pa.string()}
+            fields = pa.schema([(c, kinds[k]) for c, k in (x.split() for x in _RECORD.split(", "))])
             yield pa.RecordBatch.from_pylist(out, schema=fields)
         if file:
             file.close()
 
-    # One task reads an archive from front to back; archives have a bounded size.
-    places = index.select("run", "offset", "length", "url_key").repartition("run").sortWithinPartitions("run", "offset")
+    # A task reads neighbouring records, each archive that it needs from front to back; tasks are as many as the bytes call for.
+    spark = index.sparkSession
+    size = int(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+    places = index.select("run", "offset", "length", "url_key", "position", "capture_no", "previous_page")
+    places = places.repartitionByRange(tasks_for(spark, size, MOST_READ, LEAST_READ), "run", "offset").sortWithinPartitions("run", "offset")
     return places.mapInArrow(run, _RECORD)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write every page as a WARC record, merge the index runs, and return what reading the archives back gives.
 
-    One row per row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key and captured. Of
-    records with equal payloads of LEAST_REVISIT bytes or more, the one with the least page_id is a response and the
+    One row per row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key and captured, and
+    from the merged index position, capture_no and previous_page (see merged_index; captures of one URL key are in the order of
+    captured and page_id, nulls first, and captures equal in those in any order). Of records with equal payloads of LEAST_REVISIT bytes or more, the one with the least page_id is a response and the
     others revisit it; smaller ones are all responses.
     Defined cases: a null html is an empty payload; a null url gives a record without a target and the key ``)``; a row
     without a page_id is a response; rows that repeat the least page_id of a payload are all responses; an empty
@@ -248,5 +288,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     folder = new_path(pages.sparkSession, "warc")
     scratch.paths.append(folder)
     index = merged_index(write_archives(pages, folder, scratch), scratch)
-    return read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position", "capture_no", "previous_page")
 

@@ -10,7 +10,7 @@ def fixture():
     big = "<p>" + "x" * 200
     return [
         (5, "https://www.Example.com/a?b=1#c", big), (3, "http://b.example.com/", big), (9, None, big), (4, "no scheme", "small"), (6, "http://x/", "small"), (7, "http://é.com/ü\nnew", "ü" * 60), (8, "http://x/%41", "ü" * 60), (10, "http://x/", None),
-        (11, "http://x/", ""), (None, "http://x/", big), (3, "http://b.example.com/", big), (12, "", "y" * 100), (13, "http://y", "y" * 99), (14, "http://y", "y" * 99), (15, "http://long", "z" * 300_000), (-1, "http://neg", "q" * 100), (1 << 62, "http://far", "q" * 100),
+        (11, "http://x/", ""), (None, "http://x/", big), (3, "http://b.example.com/", big), (12, "", "y" * 100), (13, "http://y", "y" * 99), (14, "http://y", "y" * 99), (15, "http://long", "z" * 3_000_000), (16, "http://long.url/" + "u?v/" * 100_000, "short"), (-1, "http://neg", "q" * 100), (1 << 62, "http://far", "q" * 100),
     ]
 
 
@@ -51,11 +51,19 @@ def test_index_is_in_global_order(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 900)
     monkeypatch.setattr(warc, "RANGE_ROWS", 20)
     scratch = Scratch(spark)
-    rows = [(i, f"http://h{i % 7}.org/{i % 3}", "p" * i) for i in range(120)]
+    rows = [(i, f"http://h{i % 7}.org/{i % 3}" if i % 2 else "http://hot.org/", "p" * i) for i in range(120)]
     index = warc.merged_index(warc.write_archives(frame(spark, rows), new_path(spark, "warc"), scratch), scratch).collect()
     parts = {}
     for r in index:
         parts.setdefault(r.part, []).append((r.url_key, r.captured, r.page_id))
+    by_position = sorted(index, key=lambda r: r.position)
+    assert [r.position for r in by_position] == list(range(1, 121)) and [r.part for r in by_position] == sorted(r.part for r in index)
+    history = {}
+    for r in by_position:
+        known = history.setdefault(r.url_key, [])
+        assert (r.capture_no, r.previous_page) == (len(known) + 1, known[-1] if known else None)
+        known.append(r.page_id)
+    assert any(len({r.part for r in index if r.url_key == k}) > 2 for k in history)  # histories over several ranges
     flat = [x for p in sorted(parts) for x in parts[p]]
     assert flat == sorted(flat) and len(flat) == 120 and len(parts) > 1
 
