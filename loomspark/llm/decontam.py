@@ -37,7 +37,7 @@ SHINGLE = 5
 BLOCKS = 4
 RADIUS = 21
 #: Items and bytes of their texts that one block holds, about.
-BLOCK_ITEMS, BLOCK_BYTES = 1 << 16, 16 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 1024, 4 << 20
 #: Bits of the bitmap of all items' shingles, as a power of 2.
 BITMAP = 27
 _FILTER_BITS = 20
@@ -96,34 +96,25 @@ def fingerprints(shingles: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
 
 
 class HammingIndex:
-    """Items by the value of each 16-bit block of their fingerprints; as large as the items."""
+    """A bitmap of items for each value of each 16-bit block: those whose block is within RADIUS // BLOCKS bits of it."""
 
     def __init__(self, prints: np.ndarray) -> None:
         self.prints = prints
-        self.flips = np.array([sum(1 << i for i in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), n)], np.uint16)
-        self.lists = []
-        for values in prints.view(np.uint16).reshape(-1, BLOCKS).T:
-            order = np.argsort(values, kind="stable")
-            self.lists.append((order, np.searchsorted(values[order], np.arange((1 << 16) + 1))))
+        flips = np.array([sum(1 << i for i in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), n)], np.uint16)
+        self.tables = np.zeros((BLOCKS, 1 << 16, -(-len(prints) // 8)), np.uint8)
+        for b, values in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS).T):
+            for i, v in enumerate(values):
+                self.tables[b, flips ^ v, i >> 3] |= np.uint8(128 >> (i & 7))
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) of all pairs within RADIUS, in order."""
-        n, found = len(self.prints), [np.zeros(0, np.int64)]
-        for a in range(0, len(prints), step := max(1, (1 << 22) // (len(self.flips) + n))):
-            part = prints[a : a + step]
-            pairs = []
-            for values, (order, first) in zip(part.view(np.uint16).reshape(-1, BLOCKS).T, self.lists, strict=True):
-                near = (values[:, None] ^ self.flips[None, :]).ravel()
-                count = first[near.astype(np.int64) + 1] - first[near]
-                some = np.flatnonzero(count)
-                count = count[some]
-                at = np.arange(count.sum()) + np.repeat(first[near[some]] - np.cumsum(count) + count, count)
-                pairs.append(np.repeat(some // len(self.flips), count) * n + order[at])
-            both = np.concatenate(pairs)
-            both = both[np.bitwise_count(part[both // n] ^ self.prints[both % n]) <= RADIUS]
-            found.append(np.unique(both) + a * n)
-        every = np.concatenate(found)
-        return every // max(1, n), every % max(1, n)
+        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
+        near = self.tables[0, parts[:, 0]]
+        for b in range(1, BLOCKS):
+            near |= self.tables[b, parts[:, b]]
+        query, item = np.nonzero(np.unpackbits(near, axis=1)[:, : len(self.prints)])
+        ok = np.bitwise_count(prints[query] ^ self.prints[item]) <= RADIUS
+        return query[ok], item[ok]
 
 
 def overlaps(places: np.ndarray, shingles: np.ndarray, bag: np.ndarray, m: int, starts: np.ndarray) -> np.ndarray:
@@ -149,7 +140,9 @@ class Scanner:
 
     def __init__(self, items: Items, least: float) -> None:
         self.items, self.least = items, least
-        self.index = HammingIndex(items.prints) if len(items.ids) else None
+        #: Items and their index by number of words.
+        self.of = {int(n): np.flatnonzero(items.words == n) for n in np.unique(items.words)}
+        self.index = {n: HammingIndex(items.prints[x]) for n, x in self.of.items()}
         self.key = np.unique(items.shingles)
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.key >> U64(64 - _FILTER_BITS)] = True
@@ -193,7 +186,7 @@ class Scanner:
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(text, item, greatest similarity, first word of the first such window, its words) of each item found in a text."""
-        if self.index is None:
+        if not self.index:
             return []
         with np.errstate(over="ignore"):
             words, _, _, first = word_hashes(data, offsets)
@@ -216,15 +209,20 @@ class Scanner:
             if not asked:
                 return []
             i, k, n, start, prints = map(np.concatenate, zip(*asked, strict=True))
-            distinct, which = np.unique(prints, return_inverse=True)
-            query, item = self.index.search(distinct)
-            lo, hi = np.searchsorted(query, which), np.searchsorted(query, which, "right")
-            window = np.repeat(np.arange(len(which)), hi - lo)
-            item = item[np.arange(len(window)) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)]
-            size = first[i + 1] - first[i]
-            words_of = self.items.words[item]
-            fits = (words_of == n[window]) | (words_of > n[window]) & (n[window] == size[window]) & (n[window] >= SHINGLE)
-            window, item = window[fits], item[fits]
+            # A window is looked for among the items of its size, a whole text also among longer ones that it may be alike to.
+            whole = np.flatnonzero((n == (first[i + 1] - first[i])) & (k == SHINGLE))
+            pairs = []
+            for size in self.of:
+                m = size - SHINGLE + 1
+                longer = whole[(n[whole] < size) & (n[whole] - SHINGLE + 1 >= self.least * m - 1e-9)] if size >= SHINGLE else whole[:0]
+                those = np.concatenate([np.flatnonzero((n == size) & (k == min(size, SHINGLE))), longer])
+                if len(those):
+                    distinct, which = np.unique(prints[those], return_inverse=True)
+                    query, x = self.index[size].search(distinct)
+                    lo, hi = np.searchsorted(query, which), np.searchsorted(query, which, "right")
+                    window = np.repeat(np.arange(len(which)), hi - lo)
+                    pairs.append((those[window], self.of[size][x[np.arange(len(window)) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)]]))
+            window, item = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
             if not len(window):
                 return []
             order = np.lexsort((start[window], n[window], item, i[window]))
@@ -233,8 +231,6 @@ class Scanner:
             new = np.flatnonzero(np.append(True, (i[window][1:] != i[window][:-1]) | (item[1:] != item[:-1])))
             for a, b in zip(new, np.append(new[1:], len(window)), strict=True):
                 at, x = window[a:b], int(item[a])
-                if self.items.words[x] < SHINGLE and k[at[0]] != self.items.words[x]:
-                    continue
                 best = self._best(*texts[int(i[at[0]]), int(k[at[0]])], int(k[at[0]]), int(n[at[0]]), start[at], x)
                 if best:
                     found.append((int(i[at[0]]), x, *best, int(n[at[0]])))
