@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import threading
 import uuid
 from collections.abc import Iterator
@@ -76,13 +77,13 @@ def classify(spark: SparkSession, text: str) -> str:
     try:
         if first in _DIALECT_READS and ";" not in text.strip().rstrip(";"):
             dialect.tree(dialect.tokens(text))
-            return READ
-        plan = parse(spark, text)
+            return READ if all(classify(spark, x) == READ for x in plain(text) if x != text.strip().rstrip(";").strip()) else INVALID
+        plan, *more = (parse(spark, x) for x in plain(text))
     except (ParseException, ValueError, IndexError):
         return INVALID
     if _kind(plan) in _TELLING:
         return READ
-    for node in walk(plan):
+    for node in (node for p in (plan, *more) for node in walk(p)):
         if _is_command(node):
             return WRITE
     return READ
@@ -113,8 +114,36 @@ def _lineage(cls) -> Iterator:
         cls = cls.getSuperclass()
 
 
+def plain(text: str) -> list[str]:
+    """Statements that the parser knows and that together touch what ``text`` does, and as it does: the operand of SUMMARIZE and PIVOT as
+    a read, INSERT without what it says of conflicts, CREATE TABLE without its columns, and UPDATE ... FROM as an update and a read."""
+    t, flags = text.strip().rstrip(";").strip(), re.I | re.S
+    if m := re.match(r"SUMMARIZE\s+(.*)$", t, flags):
+        operand = m[1].strip()
+        return [operand if re.match(r"(SELECT|WITH|FROM)\b", operand, re.I) else operand[1:-1] if operand.startswith("(") and operand.endswith(")") else f"SELECT * FROM {operand}"]
+    if m := re.match(r"PIVOT\s+(.*?)\s+ON\b", t, flags):
+        operand = m[1].strip()
+        return [operand[1:-1] if operand.startswith("(") and operand.endswith(")") else f"SELECT * FROM {operand}"]
+    if m := re.match(r"CREATE\s+TABLE\s+(\w+)\s*\(\s*\w+\s.*\)$", t, flags):  # column types and keys have a grammar of their own
+        return [f"CREATE TABLE {m[1]} (a INT)"]
+    if m := re.match(r"INSERT\s+OR\s+(?:REPLACE|IGNORE)\s+INTO\b(.*)$", t, flags):
+        t = f"INSERT INTO{m[1]}"
+    t = re.sub(r"\s+ON\s+CONFLICT\s*(\([^)]*\))?\s*DO\s+NOTHING$", "", t, flags=flags)
+    if m := UPDATE_FROM.match(t):
+        return [f"UPDATE {m[1]} SET {m[2]}", f"SELECT * FROM {m[1]}, {m[3]} WHERE {m[4]}"]
+    return [t]
+
+
+#: table, assignments, source, condition
+UPDATE_FROM = re.compile(r"UPDATE\s+(\w+)\s+SET\s+(.*?)\s+FROM\s+(.*?)\s+WHERE\s+(.*)$", re.I | re.S)
+
+
 def table_refs(spark: SparkSession, text: str) -> list[str]:
     """Names of the tables that a statement reads or writes, without those of its own CTEs, sorted."""
+    return sorted(set().union(*(_refs(spark, x) for x in plain(text))))
+
+
+def _refs(spark: SparkSession, text: str) -> set[str]:
     found, own = set(), set()
     for node in walk(parse(spark, text)):
         kind = _kind(node)
@@ -123,7 +152,7 @@ def table_refs(spark: SparkSession, text: str) -> list[str]:
             found.add(".".join(_items(parts)))
         elif kind == "UnresolvedWith":
             own |= {pair._1() for pair in _items(node.cteRelations())}
-    return sorted(found - own)
+    return found - own
 
 
 def check(spark: SparkSession, text: str, *, may_write: bool = False) -> str:
@@ -132,11 +161,10 @@ def check(spark: SparkSession, text: str, *, may_write: bool = False) -> str:
     if kind == INVALID:
         raise Refused("the statement can't be parsed, or is more than one")
     if text.strip().split(None, 1)[0].upper() not in _DIALECT_READS:
-        plan = parse(spark, text)
-        if _kind(plan) in _REFUSED:
-            raise Refused(f"{_kind(plan)} isn't allowed")
-    refs = table_refs(spark, text) if text.strip().split(None, 1)[0].upper() not in ("SUMMARIZE", "PIVOT") else []
-    for name in refs:
+        for plan in (parse(spark, x) for x in plain(text)):
+            if _kind(plan) in _REFUSED:
+                raise Refused(f"{_kind(plan)} isn't allowed")
+    for name in table_refs(spark, text):
         if name.split(".")[-1].lower().startswith(INTERNAL_PREFIX):
             raise Refused(f"{name} is internal")
         if "/" in name or name.split(".")[0].lower() in ("parquet", "csv", "json", "orc", "text", "binaryfile", "avro"):
@@ -214,8 +242,6 @@ def ground(found: list[Filter], held: dict[str, list[str]], question: str = "")
     held: the listed values of text columns. A value counts as named if it is a whole word of the question, in any case, has 3
     characters or more and a letter.
     """
-    import re
-
     words = lambda v: len(v) >= 3 and any(c.isalpha() for c in v) and re.search(rf"(?<!\w){re.escape(v.lower())}(?!\w)", question.lower())
     out = []
     for f in found:

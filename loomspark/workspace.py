@@ -84,6 +84,8 @@ class Workspace:
         fs, path = self._fs()
         fs.delete(path(self._at(name)), True)
         self.spark.catalog.dropTempView(name)
+        if not name.startswith(INTERNAL_PREFIX) and self.keys(name):
+            self._set_keys(name, [])
 
     # Statements
 
@@ -97,7 +99,8 @@ class Workspace:
         return Answer(df.columns, shown, total, exact)
 
     def _write(self, text: str) -> None:
-        """CREATE [OR REPLACE] TABLE AS, INSERT [OR REPLACE | OR IGNORE] INTO [BY NAME], UPDATE, DELETE FROM, DROP TABLE, ALTER TABLE SET DATA TYPE, over stored tables."""
+        """CREATE [OR REPLACE] TABLE AS, or with columns and a PRIMARY KEY; INSERT [OR REPLACE | OR IGNORE] INTO [BY NAME] [ON CONFLICT DO NOTHING]; UPDATE
+        [FROM]; DELETE FROM; DROP TABLE; ALTER TABLE SET DATA TYPE, over stored tables. A table's key is kept: rows that repeat one are refused."""
         t = text.strip().rstrip(";")
         flags = re.I | re.S
         if m := re.match(r"CREATE\s+(OR\s+REPLACE\s+)?TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s+AS\s+(.*)", t, flags):
@@ -107,17 +110,24 @@ class Workspace:
                     return
                 raise ValueError(f"table {m[3]} is there already")
             self.save(m[3], dialect.run(self.spark, m[4]))
-        elif m := re.match(r"INSERT\s+INTO\s+(\w+)(\s+BY\s+NAME)?\s+(.*)", t, flags):
-            old, new = self.table(m[1]), dialect.run(self.spark, m[3])
-            new = new if m[2] else new.toDF(*old.columns)
-            self.save(m[1], old.unionByName(new.select(*(F.col(c).cast(k).alias(c) for c, k in old.dtypes if c in new.columns)), allowMissingColumns=True))
+        elif m := re.match(r"CREATE\s+TABLE\s+(\w+)\s*\((.*)\)$", t, flags):
+            self._create(m[1], m[2])
+        elif m := re.match(r"INSERT\s+(?:OR\s+(REPLACE|IGNORE)\s+)?INTO\s+(\w+)(\s+BY\s+NAME)?\s+(.*)", t, flags):
+            text = re.sub(r"\s+ON\s+CONFLICT\s*(\([^)]*\))?\s*DO\s+NOTHING$", "", m[4], flags=flags)
+            self._insert(m[2], dialect.run(self.spark, text), by_name=bool(m[3]), on_conflict="IGNORE" if text != m[4] else (m[1] or "").upper())
         elif m := re.match(r"DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?$", t, flags):
             old = self.table(m[1])
             self.save(m[1], old.where(~F.coalesce(F.expr(m[2]), F.lit(False))) if m[2] else old.limit(0))
-        elif m := re.match(r"UPDATE\s+(\w+)\s+SET\s+(\w+)\s*=\s*(.*?)(?:\s+WHERE\s+(.*))?$", t, flags):
-            old = self.table(m[1])
-            hit = F.coalesce(F.expr(m[4]), F.lit(False)) if m[4] else F.lit(True)
-            self.save(m[1], old.withColumn(m[2], F.when(hit, F.expr(m[3])).otherwise(F.col(m[2])).cast(dict(old.dtypes)[m[2]])))
+        elif m := gate.UPDATE_FROM.match(t):
+            self._update_from(m[1], _assignments(m[2]), m[3], m[4])
+        elif m := re.match(r"UPDATE\s+(\w+)\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?$", t, flags):
+            old, new = self.table(m[1]), _assignments(m[2])
+            hit = F.coalesce(F.expr(m[3]), F.lit(False)) if m[3] else F.lit(True)
+            unknown = new.keys() - set(old.columns)
+            if unknown:
+                raise ValueError(f"no column {sorted(unknown)[0]}")
+            # All columns change at once, from the values before.
+            self.save(m[1], old.select(*(F.when(hit, F.expr(new[c])).otherwise(F.col(c)).cast(k).alias(c) if c in new else F.col(c) for c, k in old.dtypes)))
         elif m := re.match(r"DROP\s+TABLE\s+(IF\s+EXISTS\s+)?(\w+)$", t, flags):
             if m[2] not in self._stored() and not m[1]:
                 raise ValueError(f"no table {m[2]}")
@@ -127,6 +137,67 @@ class Workspace:
         else:
             raise gate.Refused("this kind of write isn't supported")
 
+    def keys(self, name: str) -> list[str]:
+        """The columns of a table's primary key; none without one."""
+        own = f"{INTERNAL_PREFIX}keys"
+        got = self.table(own).where(F.col("table_name") == name).first() if own in self._stored() else None
+        return list(got["columns"]) if got else []
+
+    def _set_keys(self, name: str, columns: list[str]) -> None:
+        own = f"{INTERNAL_PREFIX}keys"
+        schema = "table_name string, columns array<string>"
+        kept = self.table(own).where(F.col("table_name") != name) if own in self._stored() else self.spark.createDataFrame([], schema)
+        self.save(own, kept.unionByName(self.spark.createDataFrame([(name, columns)] if columns else [], schema)))
+
+    def _create(self, name: str, definition: str) -> None:
+        """An empty table from ``column type [PRIMARY KEY | NOT NULL | UNIQUE]`` and ``PRIMARY KEY (columns)``."""
+        check_reserved(name)
+        if name in self._stored():
+            raise ValueError(f"table {name} is there already")
+        columns, key = [], []
+        for part in _split(definition):
+            if m := re.match(r"(?:PRIMARY\s+KEY|UNIQUE)\s*\(([^)]*)\)$", part, re.I):
+                key = [c.strip() for c in m[1].split(",")]
+            elif m := re.match(r"(\w+)\s+(.+?)((?:\s+PRIMARY\s+KEY|\s+UNIQUE|\s+NOT\s+NULL)*)$", part, re.I | re.S):
+                kind = {"VARCHAR": "string", "TEXT": "string", "INTEGER": "int", "HUGEINT": "decimal(38,0)", "TIMESTAMP": "timestamp_ntz"}.get(m[2].upper(), m[2])
+                columns.append((m[1], kind))
+                key = [m[1]] if re.search(r"PRIMARY|UNIQUE", m[3], re.I) else key
+            else:
+                raise ValueError(f"not a column: {part}")
+        self.save(name, self.spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in columns)))
+        self._set_keys(name, key)
+
+    def _insert(self, name: str, new: DataFrame, *, by_name: bool, on_conflict: str) -> None:
+        old, keys = self.table(name), self.keys(name)
+        new = new if by_name else new.toDF(*old.columns)
+        new = new.select(*(F.col(c).cast(k).alias(c) if c in new.columns else F.lit(None).cast(k).alias(c) for c, k in old.dtypes))
+        if on_conflict and not keys:
+            raise ValueError(f"table {name} has no key that rows could conflict on")
+        if on_conflict == "REPLACE":
+            self.save(name, relational.upsert(old, new, keys))
+        elif on_conflict == "IGNORE":
+            self.save(name, relational.insert_ignore(old, new, keys))
+        else:
+            both = old.unionByName(new)
+            if keys and not both.groupBy(*keys).agg(F.count("*").alias("loom_n")).where("loom_n > 1").isEmpty():
+                raise ValueError(f"rows repeat the key of {name}")
+            self.save(name, both)
+
+    def _update_from(self, name: str, new: dict[str, str], source: str, condition: str) -> None:
+        """Rows of a table that meet rows of a source change; where several meet one row, the least of the new values is taken."""
+        old = self.table(name)
+        marked = old.withColumn("loom_row", F.monotonically_increasing_id())
+        sinks.replace_table(marked, self._at(f"{INTERNAL_PREFIX}update"))
+        self._register(f"{INTERNAL_PREFIX}update")
+        try:
+            listed = ", ".join(f"{e} AS loom_{c}" for c, e in new.items())
+            met = dialect.run(self.spark, f"SELECT {name}.loom_row, {listed} FROM {INTERNAL_PREFIX}update AS {name}, {source} WHERE {condition}")
+            changes = met.groupBy("loom_row").agg(F.min(F.struct(*(f"loom_{c}" for c in new))).alias("loom_new"))
+            out = self.table(f"{INTERNAL_PREFIX}update").join(changes, "loom_row", "left")
+            self.save(name, out.select(*(F.when(F.col("loom_new").isNotNull(), F.col(f"loom_new.loom_{c}")).otherwise(F.col(c)).cast(k).alias(c) if c in new else F.col(c) for c, k in old.dtypes)))
+        finally:
+            self.drop(f"{INTERNAL_PREFIX}update")
+
     def upsert(self, name: str, rows: DataFrame, keys: list[str], *, replace: bool = True) -> None:
         """INSERT OR REPLACE, or with replace=False INSERT OR IGNORE."""
         self.save(name, (relational.upsert if replace else relational.insert_ignore)(self.table(name), rows, keys))
@@ -178,6 +249,29 @@ class Workspace:
         jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
 
 
+def _split(text: str) -> list[str]:
+    """The parts of a list between its commas, outside brackets and quotes."""
+    parts, depth = [[]], 0
+    for token in re.findall(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|.", text, re.S):
+        depth += (token in "([{") - (token in ")]}") if len(token) == 1 else 0
+        if token == "," and not depth:
+            parts.append([])
+        else:
+            parts[-1].append(token)
+    return [s for s in ("".join(p).strip() for p in parts) if s]
+
+
+def _assignments(text: str) -> dict[str, str]:
+    """column -> expression of ``a = 1, b = f(c, d)``."""
+    out = {}
+    for part in _split(text):
+        name, equals, value = part.partition("=")
+        if not equals or not re.fullmatch(r"\w+", name.strip()):
+            raise ValueError(f"not an assignment: {part}")
+        out[name.strip()] = value.strip()
+    return out
+
+
 # Documents
 
 

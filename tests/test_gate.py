@@ -5,7 +5,8 @@ import pytest
 from loomspark.plans import gate, saved
 
 
-@pytest.mark.parametrize("text", ["SET spark.x = 1", "ADD JAR 'x.jar'", "SELECT * FROM parquet.`/etc/x`", "SELECT * FROM _loom_runs", "INSERT INTO graph_nation SELECT 1", "CACHE TABLE x", "SELECT 1; DROP TABLE x", "CREATE TEMPORARY VIEW v AS SELECT 1"])
+@pytest.mark.parametrize("text", ["SET spark.x = 1", "ADD JAR 'x.jar'", "SELECT * FROM parquet.`/etc/x`", "SELECT * FROM _loom_runs", "INSERT INTO graph_nation SELECT 1", "CACHE TABLE x", "SELECT 1; DROP TABLE x", "SUMMARIZE parquet.`/etc/x`", "SUMMARIZE SELECT * FROM _loom_runs", "PIVOT csv.`/etc/x` ON a USING sum(b)", "PIVOT _loom_runs ON a USING sum(b)", "UPDATE x SET a = 1 FROM _loom_runs r WHERE r.a = x.a",
+    "INSERT OR REPLACE INTO graph_nation SELECT 1", "CREATE TEMPORARY VIEW v AS SELECT 1"])
 def test_refused_whatever_the_rights(spark, text):
     with pytest.raises(gate.Refused):
         gate.check(spark, text, may_write=True)
@@ -16,6 +17,12 @@ def test_writes_need_the_right(spark):
         gate.check(spark, "DROP TABLE x")
     assert gate.check(spark, "DROP TABLE x", may_write=True) == gate.WRITE
     assert gate.check(spark, "SELECT * FROM x WHERE y IN (SELECT z FROM w)") == gate.READ
+    assert gate.check(spark, "SUMMARIZE x") == gate.READ and gate.check(spark, "PIVOT x ON a USING sum(b)") == gate.READ
+    for text in ("INSERT OR IGNORE INTO x SELECT 1", "INSERT INTO x SELECT 1 ON CONFLICT DO NOTHING", "UPDATE x SET a = y.a, b = 2 FROM y WHERE x.k = y.k"):
+        assert gate.check(spark, text, may_write=True) == gate.WRITE
+        with pytest.raises(gate.Refused):
+            gate.check(spark, text)
+    assert gate.table_refs(spark, "UPDATE x SET a = y.a FROM y WHERE x.k = y.k") == ["x", "y"]
 
 
 def test_digest_limbs_and_nulls(spark):

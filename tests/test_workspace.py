@@ -43,6 +43,31 @@ def test_statements(spark, ws):
     assert ws.tables() == ["sites"]
 
 
+def test_keys_upserts_and_updates(spark, ws):
+    run = lambda text: ws.query(text, may_write=True)
+    rows = lambda: sorted(map(tuple, ws.query("SELECT k, a, b FROM kept").rows))
+    run("CREATE TABLE kept (k BIGINT PRIMARY KEY, a BIGINT, b VARCHAR)")
+    run("INSERT INTO kept VALUES (1, 10, 'x'), (2, 20, 'y, z')")
+    with pytest.raises(ValueError, match="repeat the key"):
+        run("INSERT INTO kept VALUES (2, 0, 'no')")
+    run("INSERT OR IGNORE INTO kept VALUES (2, 0, 'no'), (3, 30, 'new')")
+    run("INSERT INTO kept VALUES (1, 0, 'no') ON CONFLICT (k) DO NOTHING")
+    run("INSERT OR REPLACE INTO kept VALUES (3, 31, 'newer'), (4, 40, 'q')")
+    assert rows() == [(1, 10, "x"), (2, 20, "y, z"), (3, 31, "newer"), (4, 40, "q")]
+    run("UPDATE kept SET a = a + 1, b = concat(b, ',', CAST(a AS STRING)) WHERE k <= 2")
+    assert rows()[:2] == [(1, 11, "x,10"), (2, 21, "y, z,20")]
+    run("CREATE TABLE news AS SELECT * FROM (VALUES (3, 300), (4, 400), (4, 401), (9, 900)) AS t(id, v)")
+    run("UPDATE kept SET a = n.v, b = 'from' FROM news n WHERE n.id = kept.k AND n.v > 300")
+    assert rows() == [(1, 11, "x,10"), (2, 21, "y, z,20"), (3, 31, "newer"), (4, 400, "from")]
+    with pytest.raises(ValueError, match="no key"):
+        run("INSERT OR REPLACE INTO news SELECT 1, 2")
+    with pytest.raises(ValueError, match="no column"):
+        run("UPDATE kept SET nothing = 1")
+    run("DROP TABLE kept")
+    run("DROP TABLE news")
+    assert ws.tables() == ["sites"] and ws.keys("kept") == []
+
+
 def test_profiles_and_copies(spark, ws, tmp_path):
     first = ws.profiles()
     assert {r["column_name"]: r["distinct_values"] for r in first["sites"]} == {"site": 3, "n": 2}
