@@ -7,7 +7,7 @@ Nodes: id, class_id, label, normalized_label, properties map<string,string>, key
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import TextIO
 from xml.sax.saxutils import escape, quoteattr
 
@@ -118,14 +118,17 @@ def suggestions(nodes: DataFrame, text: str, *, most: int = 5, alike: float = 0.
     return scored.where(near).orderBy(F.desc("similarity"), F.length("label"), "label").limit(most)
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, start: str, *, hops: int = 2, most: int = MOST_NODES) -> tuple[DataFrame, DataFrame, bool]:
-    """(nodes, edges among them, whether the cap was filled) within some hops of a node, edges taken either way.
+def neighborhood(nodes: DataFrame, edges: DataFrame, start: str | Sequence[str], *, hops: int = 2, most: int = MOST_NODES, relations: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, edges among them, whether the cap was filled) within some hops of one node or several, edges taken either way, those of some
+    relations only if ``relations`` names any. 0 hops count as 1; of more roots than the cap the first ones are taken.
 
     The frontier is a few hundred ids at most, so each hop is one filter on the edges by a short list, and only as many
     ids as the cap allows come back, in the order of (relation_id, id) of their edges.
     """
-    visited, frontier = [start], [start]
-    for _ in range(min(hops, MOST_HOPS)):
+    roots = list(dict.fromkeys([start] if isinstance(start, str) else start))[:most]
+    visited, frontier = list(roots), list(roots)
+    edges = edges.where(F.col("relation_id").isin(list(relations))) if relations else edges
+    for _ in range(min(max(1, hops), MOST_HOPS)):
         if not frontier or len(visited) >= most:
             break
         touching = edges.where(F.col("src").isin(frontier) | F.col("dst").isin(frontier))
@@ -230,10 +233,31 @@ def survivor(a: dict, b: dict) -> tuple[str, str]:
     return keep["id"], gone["id"]
 
 
+def final_merges(merges: DataFrame) -> DataFrame:
+    """(gone, kept) with chains followed to their end, by doubling: a chain of n merges takes log2(n) joins. Merges in a circle are an error."""
+    now = merges.select("gone", "kept").where("gone != kept").dropDuplicates(["gone"])
+    for _ in range(40):
+        step = now.select(F.col("gone").alias("kept"), F.col("kept").alias("loom_next"))
+        open_ = now.join(step, "kept", "left_semi")
+        if open_.isEmpty():
+            return now
+        if not open_.where("gone = kept").isEmpty():
+            break
+        now = now.join(step, "kept", "left").select("gone", F.coalesce("loom_next", "kept").alias("kept"))
+    raise ValueError("nodes are merged in a circle")
+
+
+def merged_aliases(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    """(node_id, alias): the labels of merged nodes, as other names of those that they became; ``lookup`` takes them."""
+    gone = nodes.join(final_merges(merges).withColumnRenamed("gone", "id"), "id").select(F.col("kept").alias("node_id"), F.col("label").alias("alias"))
+    own = nodes.select(F.col("id").alias("node_id"), F.col("label").alias("alias"))
+    return gone.distinct().join(own, ["node_id", "alias"], "left_anti")
+
+
 def merge_nodes(nodes: DataFrame, edges: DataFrame, seen: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph with nodes merged (gone, kept): edges point to the kept one, repeated edges and loops go, provenance moves along, kept nodes' own
-    properties win."""
-    to = merges.select(F.col("gone").alias("id"), "kept")
+    properties win. A node that is merged into one which goes as well ends where that one does."""
+    to = final_merges(merges).select(F.col("gone").alias("id"), "kept")
     moved = lambda df, c: df.join(to.withColumnRenamed("id", c).withColumnRenamed("kept", f"{c}_to"), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")
     new = moved(moved(edges, "src"), "dst").where("src != dst").withColumn("old", F.col("id")).withColumn("id", edge_id(F.col("src"), F.col("relation_id"), F.col("dst")))
     renamed = new.select(F.col("old").alias("id"), F.col("id").alias("kept")).where("id != kept")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -61,11 +62,17 @@ def positional_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFr
     """Rows side by side by their place in each input, the longer side with nulls; a struct column for each side.
 
     Places are kept as they come: each partition's rows are numbered from the count of those before, so no input
-    goes through one task.
+    goes through one task. An input is evaluated once, into the checkpoint folder, as a second evaluation may deal its rows otherwise.
     """
+    context = left.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = left.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspark-places-"))
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        part = df.select(F.struct(*df.columns).alias(name)).withColumn("loom_id", F.monotonically_increasing_id())
+        part = df.select(F.struct(*df.columns).alias(name)).withColumn("loom_id", F.monotonically_increasing_id()).checkpoint()
         part = part.withColumn("loom_p", F.shiftright("loom_id", 33))
         counts = part.groupBy("loom_p").agg(F.count("*").alias("loom_n"))
         before = counts.withColumn("loom_before", F.coalesce(F.sum("loom_n").over(Window.orderBy("loom_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

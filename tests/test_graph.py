@@ -46,6 +46,9 @@ def test_views_export_and_traversal(built):
     assert graph.shortest_path(edges, a, lone) is None and graph.shortest_path(edges, a, a) == []
     near, links, full = graph.neighborhood(nodes, edges, a, hops=3, most=2)
     assert near.count() == 2 and links.count() == 1 and full
+    near, links, full = graph.neighborhood(nodes, edges, [a, lone], hops=0, relations=["has_vendor"])
+    assert {r.label for r in near.collect()} == {"PO1", "PO3", "Acme"} and links.count() == 1 and not full
+    assert graph.neighborhood(nodes, edges, a, relations=["no_such"])[0].count() == 1
     assert [r.label for r in graph.suggestions(nodes, "acm").collect()] == ["Acme"]
 
 
@@ -54,6 +57,14 @@ def test_merge_fill_and_delete(spark, built):
     a, b = (graph.lookup(nodes, x).first()["id"] for x in ("po1", "po2"))
     n, e, p = graph.merge_nodes(nodes, edges, seen, spark.createDataFrame([(b, a)], "gone string, kept string"))
     assert n.count() == 3 and e.count() == 1 and b not in {r.owner for r in p.collect()}
+    c = graph.lookup(nodes, "po3").first()["id"]
+    chain = spark.createDataFrame([(b, c), (c, a)], "gone string, kept string")
+    n, e, p = graph.merge_nodes(nodes, edges, seen, chain)
+    assert n.count() == 2 and {r.src for r in e.collect()} == {a} and not {b, c} & {r.owner for r in p.collect()}
+    aliases = graph.merged_aliases(nodes, chain)
+    assert sorted(r.alias for r in aliases.collect()) == ["PO2", "PO3"] and graph.lookup(n, "po3", aliases=aliases).first()["id"] == a
+    with pytest.raises(ValueError, match="circle"):
+        graph.final_merges(spark.createDataFrame([(a, b), (b, a)], "gone string, kept string"))
     more = graph.assert_node(nodes, "order", "PO1", {"mode": "rail", "extra": "1"})
     assert more.where(f"id = '{a}'").first()["properties"] == {"mode": "rail", "extra": "1"} and more.count() == 4
     n, e = graph.delete_node(nodes, edges, a)
