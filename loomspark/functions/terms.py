@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,11 +38,21 @@ def terms(text: Column) -> Column:
         parts = F.flatten(F.transform(F.split(run, r"[-._/:]+"), _pieces))
         whole = F.lower(F.regexp_replace(run, r"[-._/:]+", ""))
         joined = run.rlike(r"[-._/:]") & ~run.rlike(rf"[{_UNSPACED}]")
-        return F.when(joined, F.concat(parts, F.array(whole))).otherwise(parts)
+        # Most runs have neither joiners nor unspaced scripts; they are their own only term.
+        return F.when(~run.rlike(rf"[-._/:{_UNSPACED}]"), F.array(F.lower(run))).when(joined, F.concat(parts, F.array(whole))).otherwise(parts)
 
     return F.flatten(F.transform(runs, of))
 
 
+def ascii_terms(text: str) -> list[str]:
+    """``terms`` of a text of ASCII characters, without a job."""
+    out = []
+    for run in re.findall(r"[A-Za-z0-9]+(?:[-._/:]+[A-Za-z0-9]+)*", text):
+        parts = re.split(r"[-._/:]+", run.lower())
+        out += [*parts, "".join(parts)] if len(parts) > 1 else parts
+    return out
+
+
 def tokens(text: Column) -> Column:
     """Tokens for windows: runs of letters and digits, and every other character that isn't white space."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"([{_ALNUM}]+|[^\s{_ALNUM}])"), F.lit(1))

@@ -17,8 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+try:
+    import xxhash
+except ImportError:
+    xxhash = None
+
 from ..functions.stemmer import STEMMERS, stem
-from ..functions.terms import stemmed_udf, terms
+from ..functions.terms import ascii_terms, stemmed_udf, terms
 from . import vectors
 
 K1, B = 1.2, 0.75
@@ -100,7 +105,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 def query_terms(spark: SparkSession, text: str, languages: Sequence[str] = ()) -> list[str]:
     """Distinct terms of a query, stemmed under every language of the index; unstemmed without one."""
-    words = spark.range(1).select(terms(F.lit(text))).first()[0]
+    words = ascii_terms(text) if text.isascii() else spark.range(1).select(terms(F.lit(text))).first()[0]
     known = [x for x in languages if x in STEMMERS]
     return sorted({stem(w, x) for w in words for x in (known or [""])} | (set(words) if not languages else set()))
 
@@ -121,6 +126,10 @@ _BUCKET: dict[str, int] = {}
 
 
 def _bucket(spark: SparkSession, term: str) -> int:
+    """The folder of a term, by the hash that wrote it (64-bit xxHash of the bytes, seed 42); without the library a job of Spark tells."""
+    if xxhash is not None:
+        h = xxhash.xxh64(term.encode(), seed=42).intdigest()
+        return (h - (1 << 64) if h >> 63 else h) % BUCKETS
     if term not in _BUCKET:
         _BUCKET[term] = spark.range(1).select(F.pmod(F.xxhash64(F.lit(term)), F.lit(BUCKETS)).cast("int")).first()[0]
     return _BUCKET[term]

@@ -13,7 +13,7 @@ def _matrix(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have a vector of that width, without nulls and not all 0; those vectors at length 1)."""
     ok = np.array([v is not None and len(v) == width for v in vectors], bool)
     rows = np.flatnonzero(ok)
-    x = np.array([np.asarray(vectors.iloc[i], np.float64) for i in rows]).reshape(len(rows), width)
+    x = (np.concatenate(vectors.to_numpy()[rows]) if len(rows) else np.zeros(0)).astype(np.float64).reshape(len(rows), width)
     norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(norm) & (norm > 0)
     return rows[good], x[good] / norm[good, None]
