@@ -53,7 +53,7 @@ def filter_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.column, ",".join(f.values), f.folded) for f in found], "column_name string, held string, folded boolean")
 
 
-@frame("value_grounding", "SELECT * FROM (VALUES ('o_orderstatus', 'X', 'not held'), ('o_orderpriority', '2-HIGH', 'not named')) t(column_name, held, reason)")
+@frame("value_grounding", "SELECT 'o_orderstatus' AS column_name, 'X' AS held, 'not held' AS reason WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X') UNION ALL SELECT 'o_orderpriority', '2-HIGH', 'not named' WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '2-HIGH') AND EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT')")
 def value_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import profile
 

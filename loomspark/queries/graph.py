@@ -115,7 +115,7 @@ def graph_class_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.class_listing(build(spark, sf_dir)[0], world(), "place")[0].select("class_id", "label")
 
 
-@frame("graph_entity_lookup", "SELECT 'nation' AS class_id, '7' AS label")
+@frame("graph_entity_lookup", "SELECT 'nation' AS class_id, CAST(n_nationkey AS VARCHAR) AS label FROM nation WHERE n_nationkey = 7")
 def graph_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lookup(build(spark, sf_dir)[0], "  7 ", cls=world().descendants("nation")).select("class_id", "label")
 
@@ -127,7 +127,7 @@ def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighborhood(nodes, edges, start, hops=1)[0].select("class_id", "label")
 
 
-@frame("graph_path", "SELECT * FROM (VALUES (0, 'has_nation'), (1, 'has_region')) t(step, relation_id)")
+@frame("graph_path", "SELECT step, relation_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey, (VALUES (0, 'has_nation'), (1, 'has_region')) t(step, relation_id) WHERE c_custkey = 1")
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges, _ = build(spark, sf_dir)
     start = graph.lookup(nodes, "1", cls={"customer"}).first()["id"]

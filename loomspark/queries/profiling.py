@@ -51,9 +51,23 @@ def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("column_name", F.explode("top").alias("t")).select("column_name", "t.value", "t.n")
 
 
-@frame("profile_warnings", "SELECT * FROM (VALUES ('amount', 'numbers as text', 'DOUBLE'), ('placed', 'dates as text', NULL), ('empty', 'all null', NULL), ('maybe', 'half or more null', NULL), ('order_id', 'repeated key', NULL)) t(column_name, what, fix)")
+def _warnings_sql() -> str:
+    """The warnings over all of orders, from the shares of each made column."""
+    odd = """(SELECT o_orderkey // 2 AS order_id, CAST(o_totalprice AS VARCHAR) AS amount, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS placed,
+      CAST(NULL AS VARCHAR) AS empty, CASE WHEN (o_orderkey // 2) % 4 = 0 AND o_orderkey % 3 = 0 THEN o_orderstatus END AS maybe FROM orders)"""
+    parts = [f"SELECT 'order_id' AS column_name, 'repeated key' AS what, NULL AS fix FROM {odd} t HAVING count(DISTINCT order_id) < count(order_id)"]
+    for c in ("order_id", "amount", "placed", "empty", "maybe"):
+        parts.append(f"SELECT '{c}', CASE WHEN count({c}) = 0 THEN 'all null' ELSE 'half or more null' END, NULL FROM {odd} t HAVING (count(*) - count({c})) * 2 >= count(*)")
+    for c in ("amount", "placed", "maybe"):
+        number, date = (f"count(TRY_CAST({c} AS {k})) / nullif(count({c}), 0)" for k in ("DOUBLE", "DATE"))
+        parts.append(f"SELECT '{c}', 'numbers as text', CASE WHEN {number} = 1 THEN 'DOUBLE' END FROM {odd} t HAVING {number} >= 0.9")
+        parts.append(f"SELECT '{c}', 'dates as text', CASE WHEN {date} = 1 THEN 'DATE' END FROM {odd} t HAVING {number} < 0.9 AND {date} >= 0.9")
+    return " UNION ALL ".join(parts)
+
+
+@frame("profile_warnings", _warnings_sql())
 def profile_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").limit(1000)
+    rows = table(spark, sf_dir, "orders")
     odd = rows.select(
         F.floor(F.col("o_orderkey") / 2).alias("order_id"), F.col("o_totalprice").cast("string").alias("amount"),
         F.when(F.col("o_orderkey") == rows.agg(F.min("o_orderkey")).first()[0], "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("placed"),
@@ -64,7 +78,19 @@ def profile_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w.column, w.what, w.fix) for w in got], "column_name string, what string, fix string")
 
 
-@frame("key_columns", "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey'), ('orders', 'o_orderkey'), ('lineitem', NULL), ('events', 'event_id')) t(name, key)")
+#: The whole-number columns of each table, those that end in id first.
+_WHOLE = {
+    "region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey"), "part": ("p_partkey", "p_size"), "orders": ("o_orderkey", "o_custkey"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "events": ("event_id", "user_id"),
+}
+
+
+def _keys_sql() -> str:
+    one = lambda t, c: f"WHEN count({c}) = count(*) AND count(DISTINCT {c}) = count(*) THEN '{c}'"
+    return " UNION ALL ".join(f"SELECT '{t}' AS name, CASE {' '.join(one(t, c) for c in cs)} END AS key FROM {t}" for t, cs in _WHOLE.items())
+
+
+@frame("key_columns", _keys_sql())
 def key_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for t in STAR:
@@ -91,11 +117,27 @@ def find_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in p.rank_tables("total price of orders by o_orderdate", cards)[:1]], "name string")
 
 
-@frame("infer_types", "SELECT * FROM (VALUES ('whole', 'BIGINT'), ('mixed', 'DOUBLE'), ('day', 'DATE'), ('moment', 'TIMESTAMP'), ('flag', 'BOOLEAN'), ('words', 'VARCHAR'), ('nothing', 'VARCHAR')) t(column_name, type)")
+def _types_sql() -> str:
+    """The types of the made text columns of all orders, cell by cell."""
+    cells = {
+        "whole": "CAST(o_orderkey AS VARCHAR)", "mixed": "CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END", "day": "strftime(o_orderdate, '%Y-%m-%d')",
+        "moment": "CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END", "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'False' END",
+        "words": "CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE CAST(o_orderkey AS VARCHAR) END", "nothing": "''",
+    }
+    kind = """CASE WHEN trim(x) = '' THEN NULL WHEN regexp_full_match(x, '[+-]?[0-9]{1,19}') AND TRY_CAST(x AS BIGINT) IS NOT NULL THEN 'BIGINT' WHEN TRY_CAST(x AS DOUBLE) IS NOT NULL THEN 'DOUBLE'
+      WHEN lower(x) IN ('true', 'false') THEN 'BOOLEAN' WHEN length(x) = 10 AND TRY_CAST(x AS DATE) IS NOT NULL THEN 'DATE' WHEN TRY_CAST(x AS TIMESTAMP) IS NOT NULL THEN 'TIMESTAMP' ELSE 'VARCHAR' END"""
+    listed = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {x} AS x FROM orders" for c, x in cells.items())
+    has = "count(*) FILTER (WHERE k = '{}')"
+    n, all_ = "count(k)", lambda *kinds: " + ".join(has.format(k) for k in kinds)
+    cases = " ".join(f"WHEN {all_(k)} = {n} THEN '{k}'" for k in ("BIGINT", "DOUBLE", "BOOLEAN", "DATE", "TIMESTAMP"))
+    return f"SELECT column_name, CASE WHEN {n} = 0 THEN 'VARCHAR' {cases} WHEN {all_('BIGINT', 'DOUBLE')} = {n} THEN 'DOUBLE' WHEN {all_('DATE', 'TIMESTAMP')} = {n} THEN 'TIMESTAMP' ELSE 'VARCHAR' END AS type FROM (SELECT column_name, {kind} AS k FROM ({listed}) c) t GROUP BY 1"
+
+
+@frame("infer_types", _types_sql())
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.infer import infer_types as infer
 
-    o = table(spark, sf_dir, "orders").limit(500)
+    o = table(spark, sf_dir, "orders")
     text = o.select(
         F.col("o_orderkey").cast("string").alias("whole"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(F.col("o_totalprice").cast("string")).alias("mixed"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("moment"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("False").alias("flag"),
