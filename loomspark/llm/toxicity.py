@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textkernels import LOWER, U64, mix, slices
 from .training import labelled_sample, remainder
 
@@ -83,24 +84,45 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(x, pa.binary())], names=["y", "x"])
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, importance: np.ndarray, *, rounds: int = 120, rate: float = 0.05, ridge: float = 1e-4) -> ToxicityModel:
-    """Fit on the distinct buckets of each row. Without rows of both classes the score is their smoothed share for any text."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """y, x -> bucket, y, n: how many texts of a class have a bucket."""
+    for batch in batches:
+        y = batch.column("y").to_numpy()
+        rows = [np.frombuffer(x, np.int32) for x in batch.column("x").to_pylist()]
+        for side in (0, 1):
+            flat = np.concatenate([np.zeros(0, np.int32), *(r for r, c in zip(rows, y, strict=True) if c == side)])
+            bucket, n = np.unique(flat, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), side, np.int32)), pa.array(n)], names=["bucket", "y", "n"])
+
+
+def _odds(p: np.ndarray, q: np.ndarray, ones: int, others: int) -> np.ndarray:
+    """Whether each bucket's log odds ratio is LEAST_Z standard errors from 0, if p of the toxic texts have it and q of the others."""
+    a, b, c, d = p + 0.5, ones - p + 0.5, q + 0.5, others - q + 0.5
+    return np.abs(np.log(a * d / (b * c))) >= LEAST_Z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+
+def _placed(used: np.ndarray):
+    """y, x -> y, x: the places among ``used`` (rising) of the buckets of x that are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("x").to_pylist():
+                bucket = np.frombuffer(x, np.int32)
+                at = np.minimum(np.searchsorted(used, bucket), max(0, len(used) - 1))
+                out.append(at[used[at] == bucket].astype(np.int32).tobytes() if len(used) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], names=["y", "x"])
+
+    return run
+
+
+def fit_rows(rows: list[np.ndarray], y: np.ndarray, importance: np.ndarray, used: np.ndarray, ratio: np.ndarray, *, rounds: int = 120, rate: float = 0.05, ridge: float = 1e-4) -> ToxicityModel:
+    """Fit on each row's places in ``used``, the buckets that count, with their log ratios. Without rows of both classes the score is their smoothed share for any text."""
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    on = np.repeat(y == 1, sizes)
-    p, q = (np.bincount(flat[on == side], minlength=BUCKETS).astype(np.float64) for side in (True, False))
-    a, b, c, d = p + 0.5, (y == 1).sum() - p + 0.5, q + 0.5, (y == 0).sum() - q + 0.5
-    clear = np.abs(np.log(a * d / (b * c))) >= LEAST_Z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    ratio = np.where(clear, np.log((p + 1) / (p + 1).sum() * (q + 1).sum() / (q + 1)), 0)
-    used = np.flatnonzero(ratio)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    flat = place[flat]
-    owner = np.repeat(np.arange(len(y)), sizes)[flat >= 0]
-    flat = flat[flat >= 0]
-    scale = ratio[used] / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(y)).mean())) * 4
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(y)), [len(r) for r in rows])
+    scale = ratio / np.sqrt(max(1.0, len(flat) / len(y))) * 4
     importance = importance / importance.sum()
     w, b = np.full(len(used), 0.05), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -119,16 +141,34 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, importance: np.ndarray, *, r
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> ToxicityModel:
     """Learn ``labels.toxic`` from at most ``per_class`` texts of each class outside the held-out fold, of training.CLASS_BYTES in all.
 
+    Buckets are counted by class in the cluster, and only those that count come to the driver, at most BUCKETS with their counts,
+    and of each text its places among them.
     Defined cases: null texts are empty ones; ids without a text aren't learnt from; labels that are null or neither 0 nor 1 are left
     aside, and of labels that differ for one id 1 counts; without both classes the score is their smoothed share (0.5
     without any) for every text; other columns are left aside.
     """
+    scratch = Scratch(docs.sparkSession)
     sample, totals = labelled_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "toxic", per_class=per_class, folds=folds, held_out=held_out)
-    got = sample.select("y", "text").mapInArrow(_featurise, "y int, x binary").collect()
+    features = scratch.write(sample.select("y", "text").mapInArrow(_featurise, "y int, x binary"), "features")
+    sizes = {int(r["y"]): int(r["n"]) for r in features.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    side = lambda c: F.coalesce(F.sum(F.when(F.col("y") == c, F.col("n"))), F.lit(0)).cast("long")
+    counts = scratch.write(features.mapInArrow(_counted, "bucket int, y int, n long").groupBy("bucket").agg(side(1).alias("p"), side(0).alias("q")), "counts")
+    all_p, all_q = counts.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("q"), F.lit(0))).first()
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (batch.column(c).to_numpy().astype(np.float64) for c in ("p", "q"))
+            yield batch.filter(pa.array(_odds(p, q, sizes.get(1, 0), sizes.get(0, 0))))
+
+    kept = counts.mapInArrow(clear, counts.schema).toArrow().sort_by("bucket")
+    used, p, q = (kept[c].to_numpy() for c in ("bucket", "p", "q"))
+    ratio = np.log((p + 1) / (all_p + BUCKETS) * (all_q + BUCKETS) / (q + 1))
+    got = features.mapInArrow(_placed(used), "y int, x binary").collect()
+    scratch.drop(features, counts)
     got.sort(key=lambda x: (x["y"], bytes(x["x"])))
     y = np.array([x["y"] for x in got], np.float64)
     share = {c: totals.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)}
-    return fit_rows([np.frombuffer(x["x"], np.int32) for x in got], y, np.array([share[int(c)] for c in y]))
+    return fit_rows([np.frombuffer(x["x"], np.int32) for x in got], y, np.array([share[int(c)] for c in y]), used, ratio)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
