@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into one transducer T = normaliser o pieces: the normaliser maps characters to characters and
-puts a blank before a text, the pieces form a machine whose arcs read the characters of a piece, write its id
+A model file is compiled into one transducer T = normaliser o pieces: the normaliser replaces the longest of its sequences of
+characters at each place by what its character map has for it, squeezes blanks and puts one before a text; the pieces form a machine whose arcs read the characters of a piece, write its id
 and carry a weight, and characters outside the vocabulary have arcs that write the ids of their bytes. A text is
 composed with T, which gives an acyclic lattice over its characters, and its encoding is the shortest path in the
 tropical semiring (least sum of weights).
@@ -10,6 +10,7 @@ tropical semiring (least sum of weights).
 * BPE models: a state also keeps the last piece, and an arc exists only between two pieces that BPE leaves side by
   side; all weights are 0. A sequence of pieces is the BPE encoding of its text just when each two neighbours are
   (Berglund and van der Merwe, 2023), so the lattice has one path, which is what merging by rank gives.
+* User-defined pieces are read whole wherever they stand, the longest from the left first, and the normaliser doesn't see them.
 
 No piece holds a blank after another character, so the shortest path of a text is that of its segments (a word with
 the blanks before it, or one character outside the vocabulary). A batch's distinct segments are solved together,
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -90,6 +92,8 @@ class Transducer:
     unknown_weight: float
     dummy_prefix: bool
     squeeze: bool  # runs of blanks count as one, those at the ends as none
+    charsmap: CharacterMap | None = None
+    user: dict[str, int] = field(default_factory=dict)  # ids of user-defined pieces
     runs: dict[int, tuple[int, ...]] = field(default_factory=dict)  # ids of runs of blanks, as they come up
     blank_scores: dict[int, tuple[float, int]] = field(default_factory=dict)  # score and id of pieces of blanks only
 
@@ -98,6 +102,57 @@ class Transducer:
         return int(self.lengths.max())
 
 
+@dataclass
+class CharacterMap:
+    """The normaliser's sequences of characters and what stands for them."""
+
+    table: dict[str, str]
+    alone: np.ndarray  # bool of each code point: a sequence by itself
+    begins: np.ndarray  # bool of each code point: the first of a longer sequence
+    second: np.ndarray  # bool of each code point: the second of one
+    longest: int
+
+    @classmethod
+    def parse(cls, blob: bytes) -> CharacterMap:
+        """Read the format of model files: the size of a double array in bytes, the array, and the replacements, each ended by a zero byte."""
+        size = struct.unpack_from("<I", blob)[0]
+        units, rest = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+        jump = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        labels, table, open_ = np.arange(1, 256), {}, [(int(jump(units[0])), b"")]
+        while open_:
+            at, key = open_.pop()
+            places = at ^ labels
+            ok = places < len(units)
+            for label in labels[ok][(units[places[ok]] & 0x800000FF) == labels[ok]].tolist():
+                unit = int(units[at ^ label])
+                below, text = (at ^ label) ^ jump(unit), key + bytes([label])
+                if unit >> 8 & 1:
+                    start = int(units[below]) & 0x7FFFFFFF
+                    table[text.decode()] = rest[start : rest.index(b"\0", start)].decode()
+                open_.append((below, text))
+        alone, begins, second = (np.zeros(0x110000, bool) for _ in range(3))
+        alone[[ord(k) for k in table if len(k) == 1]] = True
+        begins[[ord(k[0]) for k in table if len(k) > 1]] = True
+        second[[ord(k[1]) for k in table if len(k) > 1]] = True
+        return cls(table, alone, begins, second, max(map(len, table), default=1))
+
+    def apply(self, text: str) -> str:
+        """The longest sequence at each place replaced, from the left; other characters stay."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        active = self.alone[points]
+        active[:-1] |= self.begins[points[:-1]] & self.second[points[1:]]
+        out, place = [], 0
+        for i in np.flatnonzero(active).tolist():
+            if i < place:
+                continue
+            for n in range(min(self.longest, len(text) - i), 0, -1):
+                if (new := self.table.get(text[i : i + n])) is not None:
+                    out += [text[place:i], new]
+                    place = i + n
+                    break
+        return "".join([*out, text[place:]]) if out else text
+
+
 def _hash_text(text: str) -> int:
     h = 0
     for c in text:
@@ -116,7 +171,7 @@ def _merge(parts: list[str], rank: dict[str, int], below: int) -> list[str]:
 
 
 def compile_model(path: str) -> Transducer:
-    """Compile a .model file. Its normaliser must be the identity, and no piece may hold a blank after another character."""
+    """Compile a .model file. No piece but a user-defined one may hold a blank after another character."""
     with open(path, "rb") as f:
         data = f.read()
     pieces: list[tuple[str, float, int]] = []
@@ -131,11 +186,10 @@ def compile_model(path: str) -> Transducer:
         elif number == 3:
             x = dict(_fields(value))
             charsmap, dummy, squeeze = x.get(2, b""), bool(x.get(3, 1)), bool(x.get(4, 1))
-    if charsmap:
-        raise NotImplementedError("only identity normalisers are compiled")
     if kind not in (UNIGRAM, BPE):
         raise NotImplementedError("only unigram and BPE models are compiled")
-    usable = [(p, s, i) for i, (p, s, t) in enumerate(pieces) if t in (NORMAL, USER_DEFINED)]
+    user = {p: i for i, (p, _, t) in enumerate(pieces) if t == USER_DEFINED}
+    usable = [(p, s, i) for i, (p, s, t) in enumerate(pieces) if t == NORMAL]
     if any(a != "▁" and b == "▁" for p, _, _ in usable for a, b in zip(p, p[1:], strict=False)):
         raise NotImplementedError("a piece holds a blank after another character")
     usable.sort(key=lambda x: (len(x[0]) > 1, -x[1], x[2]))
@@ -182,6 +236,8 @@ def compile_model(path: str) -> Transducer:
         unknown_weight=10.0 - min(scores, default=0.0),
         dummy_prefix=dummy,
         squeeze=squeeze,
+        charsmap=CharacterMap.parse(charsmap) if charsmap else None,
+        user=user,
         blank_scores={len(p): (s, i) for p, s, i in usable if set(p) == {"▁"}},
     )
 
@@ -199,6 +255,7 @@ class Encoder:
 
     def __init__(self, t: Transducer) -> None:
         self.t = t
+        self.user = re.compile("|".join(re.escape(p) for p in sorted(t.user, key=len, reverse=True))) if t.user else None
         self.by_slot = self._slots(t)
         self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._forget()
@@ -338,6 +395,13 @@ class Encoder:
                     k += 1
                 lead[i] = k if k == size[i] else k - 1
         del run
+        given = np.zeros(len(start), bool)
+        for i in range(len(start) if t.user else 0):
+            whole = "".join(map(chr, points[start[i] : end[i]].tolist()))
+            if whole in t.user:
+                out[i], given[i] = np.array([t.user[whole]], np.int32), True
+        size = np.where(given, 0, size)
+        lead[given] = 0
         strange = np.flatnonzero((size == 1) & ~t.known[points[start]])
         for i in strange.tolist():
             raw = chr(points[start[i]]).encode("utf-8", "surrogatepass")
@@ -369,12 +433,25 @@ class Encoder:
             out[i] = np.array(self._blanks(int(lead[i])), np.int32)
         return out
 
+    def _normalised(self, text: str) -> str:
+        """The text through the character map, but for user-defined pieces in it."""
+        if not self.user:
+            return self.t.charsmap.apply(text)
+        out, place = [], 0
+        for m in self.user.finditer(text):
+            out += [self.t.charsmap.apply(text[place : m.start()]), m[0]]
+            place = m.end()
+        return "".join([*out, self.t.charsmap.apply(text[place:])])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, first id of each text and the end)."""
         t = self.t
         text = data.tobytes().decode("utf-8")
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        if t.charsmap:
+            texts = [self._normalised(text[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+            text, begins = "".join(texts), np.cumsum([0, *map(len, texts)])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         points = np.where(points == 32, BLANK, points).astype(np.int64)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
         if t.squeeze and len(points):
@@ -398,6 +475,14 @@ class Encoder:
         blank, strange = points == BLANK, ~t.known[points]
         cut = np.ones(len(points), bool)
         cut[1:] = (row[1:] != row[:-1]) | (blank[1:] & ~blank[:-1]) | strange[1:] | strange[:-1]
+        if self.user:
+            ends = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(points))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for m in self.user.finditer("".join(map(chr, points[a:b].tolist()))):
+                    cut[a + m.start()] = True
+                    cut[a + m.start() + 1 : a + m.end()] = False
+                    if a + m.end() < len(points):
+                        cut[a + m.end()] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(points))
         with np.errstate(over="ignore"):
@@ -514,7 +599,12 @@ def encode_and_back(docs: DataFrame, model: str) -> DataFrame:
 
 def encoding_digests(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and
-    round_trip (whether the ids decode to the text). Null and empty texts have no pieces and make the round trip."""
+    round_trip (whether the ids decode to the text).
+
+    Defined cases: null and empty texts have no pieces and make the round trip; a text that the normaliser changes, or that has characters
+    a model without byte pieces doesn't know, doesn't make it; a null doc_id stays null, repeated rows give their rows
+    again, an empty table gives an empty one; other columns are left aside.
+    """
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

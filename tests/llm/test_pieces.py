@@ -55,6 +55,56 @@ def unigram_file(path, scored):
     path.write_bytes(data)
 
 
+def big(number, payload):
+    """A field of any length."""
+    n, size = len(payload), b""
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    return bytes([number << 3 | 2]) + size + bytes([n]) + payload
+
+
+def normaliser(rule):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    return next(v for n, v in pieces._fields(model) if n == 3)
+
+
+COMPOSED = ["ｱﾊﾟｰﾄ ﬁne  e\u0301 ①\t x", "한국 \u1112\u1161\u11ab", "A\u030a Å ½ ㌔ ™ x\u0300\u0301", "\u200bzero\ufeff \r\n\u3000wide", "ｶﾞ ﾊﾟ", "", " ", "\u0007bell", "É\u0323 ǆ"]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "nfkc"])
+def test_character_maps_equal_the_librarys(tmp_path, rule):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    letters = sorted({c for t in COMPOSED for c in t} | set("abcdefghijklmnopqrstuvwxyzåé한국アパートガ1kg⁄2 "))
+    scored = [("<unk>", 0.0, pieces.UNKNOWN), ("▁", -3.0, 1), *((c, -4.0 - i / 64, 1) for i, c in enumerate(x for x in letters if x.strip())), ("fi", -5.0, 1), ("▁x", -3.5, 1), ("アパ", -4.5, 1), ("ne", -4.75, 1)]
+    data = b""
+    for piece, score, kind in scored:
+        data += field(1, 2, field(1, 2, piece.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+    data += field(2, 2, field(3, 0, bytes([pieces.UNIGRAM]))) + big(3, normaliser(rule))
+    (tmp_path / "n.model").write_bytes(data)
+    library, t = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "n.model")), pieces.compile_model(str(tmp_path / "n.model"))
+    r = random.Random(1)
+    texts = COMPOSED + ["".join(r.choice("".join(COMPOSED)) for _ in range(r.randint(1, 40))) for _ in range(800)]
+    one_unknown = lambda ids: [x for i, x in enumerate(ids) if x or not i or ids[i - 1]]  # noqa: E731  the library joins unknown characters on end
+    for text, (ids, _) in zip(texts, encoded(t, texts), strict=True):
+        assert one_unknown(ids) == one_unknown(library.encode(text)), (rule, text)
+
+
+def test_user_defined_pieces_are_never_split(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    data = Path(PIECES_MODEL).read_bytes()
+    for piece in ("<sep>", "<sep>x", "don't", "中文字"):
+        data += field(1, 2, field(1, 2, piece.encode()) + field(2, 5, struct.pack("<f", 0.0)) + field(3, 0, bytes([pieces.USER_DEFINED])))
+    (tmp_path / "u.model").write_bytes(data)
+    library, t = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model")), pieces.compile_model(str(tmp_path / "u.model"))
+    r = random.Random(2)
+    parts = ["<sep>", "<sep>x", "don't", "中文字", "a", " ", "word", "<se", "p>", "x", "  ", "é", "do", "n't", "🙂"]
+    texts = ["<sep>", "a<sep>b", "<sep>xyz", " don't  <sep> ", *("".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(600))]
+    for text, (ids, back) in zip(texts, encoded(t, texts), strict=True):
+        assert ids == library.encode(text), text
+        assert back == text
+
+
 def test_unigram_takes_the_least_weight(tmp_path):
     scored = [("<unk>", 0.0, pieces.UNKNOWN), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("▁a", -2.2, 1), ("ba", -2.4, 1), ("▁ab", -6.0, 1), ("c", -4.0, 1)]
     unigram_file(tmp_path / "u.model", scored)
