@@ -95,10 +95,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), side, np.int32)), pa.array(n)], names=["bucket", "y", "n"])
 
 
-def _odds(p: np.ndarray, q: np.ndarray, ones: int, others: int) -> np.ndarray:
-    """Whether each bucket's log odds ratio is LEAST_Z standard errors from 0, if p of the toxic texts have it and q of the others."""
+def _odds(p: np.ndarray, q: np.ndarray, ones: int, others: int, least_z: float) -> np.ndarray:
+    """Whether each bucket's log odds ratio is least_z standard errors from 0, if p of the toxic texts have it and q of the others."""
     a, b, c, d = p + 0.5, ones - p + 0.5, q + 0.5, others - q + 0.5
-    return np.abs(np.log(a * d / (b * c))) >= LEAST_Z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return np.abs(np.log(a * d / (b * c))) >= least_z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
 def _placed(used: np.ndarray):
@@ -138,7 +138,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, importance: np.ndarray, used
     return ToxicityModel(weights, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1, least_z: float = LEAST_Z) -> ToxicityModel:
     """Learn ``labels.toxic`` from at most ``per_class`` texts of each class outside the held-out fold, of training.CLASS_BYTES in all.
 
     Buckets are counted by class in the cluster, and only those that count come to the driver, at most BUCKETS with their counts,
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, q = (batch.column(c).to_numpy().astype(np.float64) for c in ("p", "q"))
-            yield batch.filter(pa.array(_odds(p, q, sizes.get(1, 0), sizes.get(0, 0))))
+            yield batch.filter(pa.array(_odds(p, q, sizes.get(1, 0), sizes.get(0, 0), least_z)))
 
     kept = counts.mapInArrow(clear, counts.schema).toArrow().sort_by("bucket")
     used, p, q = (kept[c].to_numpy() for c in ("bucket", "p", "q"))

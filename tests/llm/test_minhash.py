@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from loomspark.llm import minhash
@@ -94,3 +95,44 @@ def test_sketch_bound_holds_pairs_at_the_limit(spark):
     # and the bound is tight: sketches of pairs at 0.7 are beyond it
     far = minhash.most_differing_bits(F.col("n"), F.col("m"), 0.85) / (minhash.most_differing_bits(F.col("n"), F.col("m"), 0.7) + 0.0)
     assert df.where(far >= 0.95).where("n > 100 and n < 10000").count() == 0
+
+
+def made_pairs(similarity, seed):
+    """Pairs of sets of random hashes of 20 to 3,000 shingles with just under and just this Jaccard similarity or more."""
+    r = np.random.default_rng(seed)
+    out = []
+    for k in range(400):
+        union = int(r.integers(20, 3000))
+        both = int(np.ceil(similarity * union))
+        x = r.integers(0, 1 << 64, union, dtype=np.uint64)
+        cut = both + int(r.integers(0, union - both + 1))
+        out.append((np.sort(x[:cut]), np.sort(np.concatenate([x[:both], x[cut:]]))))
+    return out
+
+
+def passing(spark, pairs, limit):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for a, b in pairs:
+        _, _, sketch = minhash.signatures_of([a, b])
+        rows.append((len(a), len(b), int(np.bitwise_count(sketch[0] ^ sketch[1]).sum())))
+    df = spark.createDataFrame(rows, "n long, m long, ones long")
+    return df.where(F.col("ones") <= minhash.most_differing_bits(F.col("n"), F.col("m"), limit)).count() / len(rows)
+
+
+@pytest.mark.parametrize("limit", [0.80, 0.85])
+def test_sketches_pass_pairs_at_the_limit_and_stop_others(spark, limit):
+    assert passing(spark, made_pairs(limit, 5), limit) >= 0.995
+    assert passing(spark, made_pairs(0.70, 6), limit) <= (0.6 if limit == 0.80 else 0.25)
+
+
+@pytest.mark.parametrize("limit", [0.80, 0.85])
+def test_bands_hold_pairs_at_the_limit(limit):
+    """The share of pairs at the limit that share a band, of what brute force would link: all but 1 in 1,000 at least."""
+    met = 0
+    pairs = made_pairs(limit, 7)
+    for a, b in pairs:
+        _, bands, _ = minhash.signatures_of([a, b])
+        met += bool((bands[0] == bands[1]).any())
+    assert met >= 0.999 * len(pairs)
