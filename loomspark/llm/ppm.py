@@ -39,8 +39,10 @@ FREQUENT_GRAMS = 1 << 21
 ALPHA = 0.1
 _START, _END = 0xFE, 0xFF
 _WORD, _GRAM, _TEXT, _HELD = 0, 1, 2, 3
-#: Distinct keys that a task gathers before it passes them on.
+#: Keys that a task gathers before it sums them, and passes them on if half of them are distinct.
 _GATHERED = 1 << 21
+#: Bytes of texts that are counted or scored together, about.
+SLICE = 1 << 20
 
 
 def _laid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,25 +83,31 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind, key, n: a task's counts of words (_WORD), of grams (_GRAM) and of texts (_TEXT) to learn from, and of held-out grams (_HELD)."""
-    held = {k: (np.zeros(0, U64), np.zeros(0, np.int64)) for k in (_WORD, _GRAM, _HELD)}
+    held: dict[int, list] = {k: [] for k in (_WORD, _GRAM, _HELD)}
     texts = 0
 
+    def summed(kind: int) -> int:
+        """Sum what is held of a kind; the number of its distinct keys."""
+        held[kind] = [_summed(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))] if held[kind] else []
+        return len(held[kind][0][0]) if held[kind] else 0
+
     def passed(kind: int) -> pa.RecordBatch:
-        keys, counts = held[kind]
-        held[kind] = np.zeros(0, U64), np.zeros(0, np.int64)
+        summed(kind)
+        keys, counts = held[kind][0] if held[kind] else (np.zeros(0, U64), np.zeros(0, np.int64))
+        held[kind] = []
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
 
     for batch in batches:
         learnt = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         texts += int(learnt.sum())
-        for a, b, data, offsets in slices(batch.column("text")):
+        for a, b, data, offsets in slices(batch.column("text"), SLICE):
             with np.errstate(over="ignore"):
                 words, _, _, first = word_hashes(data, offsets)
             keys, by_byte = grams(data, offsets), np.repeat(learnt[a:b], np.diff(offsets) + 1)
             new = {_WORD: _summed(words[np.repeat(learnt[a:b], np.diff(first))]), _GRAM: _summed(keys[by_byte]), _HELD: _summed(keys[~by_byte])}
-            for kind, (keys, counts) in new.items():
-                held[kind] = _summed(np.concatenate([held[kind][0], keys]), np.concatenate([held[kind][1], counts]))
-                if len(held[kind][0]) > _GATHERED:
+            for kind, counted in new.items():
+                held[kind].append(counted)
+                if sum(len(x) for x, _ in held[kind]) > _GATHERED and summed(kind) > _GATHERED // 2:
                     yield passed(kind)
     for kind in held:
         yield passed(kind)
@@ -256,7 +264,7 @@ def score(docs: DataFrame, *, folds: int = 10, held_out: int = 0) -> DataFrame:
         logs = np.log10(times + ALPHA) - whole
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text")):
+            for a, b, data, offsets in slices(batch.column("text"), SLICE):
                 with np.errstate(over="ignore"):
                     hashes, _, _, first = word_hashes(data, offsets)
                 n = b - a
