@@ -20,9 +20,12 @@ from pyspark.sql.window import Window
 from ..functions.names import normalized_label
 from .ontology import MENTIONS, Mapping, Ontology
 from .strings import jaro_winkler_udf
+from .vectors import cosine
 
 MOST_NODES, MOST_HOPS, MOST_PATH = 200, 3, 6
 PROPOSE, AUTO, MOST_PROPOSALS = 0.08, 0.02, 5
+#: Cosine distances within which a node's embedding stands for a text, and is worth suggesting.
+ENTRY_DISTANCE, SUGGEST_DISTANCE = 0.25, 0.5
 
 
 def normalized(text: Column) -> Column:
@@ -99,23 +102,54 @@ def fingerprint(df: DataFrame, owner: str) -> DataFrame:
 # Traversal
 
 
-def lookup(nodes: DataFrame, text: str, *, cls: set[str] | None = None, aliases: DataFrame | None = None) -> DataFrame:
-    """Nodes with this normalised label, or an alias (node_id, alias) of it; of some classes only."""
+def nearest(nodes: DataFrame, vectors: DataFrame, vector_of: Sequence[float], *, cls: set[str] | None = None, most: int = 3, within: float = ENTRY_DISTANCE) -> DataFrame:
+    """The nodes whose embeddings (vectors: id, embedding) have the least cosine distance from a vector, none beyond ``within``; with that distance, ties by id."""
+    near = vectors.select("id", (1 - cosine(vector_of)("embedding")).alias("distance")).where(F.col("distance") <= within)
+    return _of(nodes.join(near, "id"), cls).orderBy("distance", "id").limit(most)
+
+
+def _of(nodes: DataFrame, cls: set[str] | None) -> DataFrame:
+    return nodes.where(F.col("class_id").isin(sorted(cls))) if cls else nodes
+
+
+def lookup(nodes: DataFrame, text: str, *, cls: set[str] | None = None, aliases: DataFrame | None = None, vectors: DataFrame | None = None, vector_of: Sequence[float] | None = None) -> DataFrame:
+    """Nodes with this normalised label, or an alias (node_id, alias) of it; of some classes only. A blank text finds nothing.
+
+    Where none has it, and the text's vector and those of the nodes (id, embedding) are given, the 3 nearest within ENTRY_DISTANCE.
+    """
     want = normalized_label(text)
+    if not want:
+        return nodes.limit(0)
     found = nodes.where(F.col("normalized_label") == want)
     if aliases is not None:
         by = aliases.where(normalized(F.col("alias")) == want).select(F.col("node_id").alias("id"))
         found = found.unionByName(nodes.join(by, "id", "left_semi")).dropDuplicates(["id"])
-    return found.where(F.col("class_id").isin(sorted(cls))) if cls else found
+    found = _of(found, cls)
+    if vectors is None or vector_of is None or not found.isEmpty():
+        return found
+    return nearest(nodes, vectors, vector_of, cls=cls).select(*nodes.columns)
 
 
-def suggestions(nodes: DataFrame, text: str, *, most: int = 5, alike: float = 0.88) -> DataFrame:
-    """Nodes whose label holds the text, is held by it, or is as similar; best first, then shorter, then by label."""
+def suggestions(nodes: DataFrame, text: str, *, most: int = 5, alike: float = 0.88, cls: set[str] | None = None, vectors: DataFrame | None = None, vector_of: Sequence[float] | None = None) -> DataFrame:
+    """Nodes whose label holds the text, is held by it, or is as similar; best first, then shorter, then by label. A blank text has none.
+
+    With the text's vector and those of the nodes (id, embedding), the nearest within SUGGEST_DISTANCE follow, with a null similarity,
+    unless one of that label and class is there already.
+    """
     want = F.lit(normalized_label(text))
+    if not normalized_label(text):
+        return nodes.limit(0).withColumn("similarity", F.lit(None).cast("double"))
     label = F.col("normalized_label")
-    scored = nodes.withColumn("similarity", jaro_winkler_udf()(label, want))
-    near = label.contains(want) | want.contains(label) | (F.col("similarity") >= alike)
-    return scored.where(near).orderBy(F.desc("similarity"), F.length("label"), "label").limit(most)
+    scored = _of(nodes, cls).withColumn("similarity", jaro_winkler_udf()(label, want))
+    like = label.contains(want) | want.contains(label) | (F.col("similarity") >= alike)
+    best = scored.where(like).orderBy(F.desc("similarity"), F.length("label"), "label").limit(most)
+    if vectors is None or vector_of is None:
+        return best
+    near = nearest(nodes, vectors, vector_of, cls=cls, most=most, within=SUGGEST_DISTANCE).withColumn("place", F.lit(1))
+    both = best.withColumn("place", F.lit(0)).unionByName(near, allowMissingColumns=True)
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy("label", "class_id").orderBy("place", "distance", "id")))
+    both = both.where("place = 0 or nth = 1").orderBy("place", F.desc("similarity"), "distance", F.length("label"), "label").limit(most)
+    return both.select(*nodes.columns, "similarity")
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, start: str | Sequence[str], *, hops: int = 2, most: int = MOST_NODES, relations: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:

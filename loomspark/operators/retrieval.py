@@ -236,26 +236,53 @@ def fuse(legs: Sequence[DataFrame], *, top_k: int = 8, rrf_k: int = RRF_K) -> Da
     return spark.createDataFrame(pd.DataFrame(best, columns=["chunk_id", "score"]), "chunk_id long, score double") if best else spark.createDataFrame([], "chunk_id long, score double")
 
 
-def search(index: Index, query: str, *, vector_of: Sequence[float] | None = None, mode: str = "hybrid", top_k: int = 8, content: str = "content", heading: str | None = None, scope: DataFrame | None = None, reranker=None) -> DataFrame:
-    """Search in mode hybrid, keyword or vector. hybrid without a vector is keyword; vector without one is an error. Quoted phrases filter what the
-    legs fetched. reranker: (query, [texts]) -> order of places; what it leaves out follows in the fused order."""
+def _legs(index: Index, query: str, vector_of: Sequence[float] | None, mode: str, top_k: int, scope: DataFrame | None) -> dict[str, DataFrame]:
+    """The legs of a mode by name, each of as many rows as fusion takes."""
     if mode == "vector" and vector_of is None:
         raise ValueError("vector search needs a vector")
-    quoted = phrases(query)
-    k = fetch_size(top_k, quoted)
-    legs = []
+    legs = {}
     if mode in ("hybrid", "keyword"):
-        legs.append(keyword(index, query, top_k=top_k, scope=scope))
+        legs["keyword"] = keyword(index, query, top_k=top_k, scope=scope)
     if mode != "keyword" and vector_of is not None:
-        legs.append(vector(index.chunks, vector_of, top_k=k, scope=scope))
-    found = fuse(legs, top_k=k)
-    if quoted:
-        either = holds_phrases(F.col(content), quoted) if heading is None else holds_phrases(F.col(content), quoted) | holds_phrases(F.col(heading), quoted)
-        found = found.join(index.chunks.where(either).select("chunk_id"), "chunk_id", "left_semi")
+        legs["vector"] = vector(index.chunks, vector_of, top_k=fetch_size(top_k, phrases(query)), scope=scope)
+    return legs
+
+
+def _holding(index: Index, found: DataFrame, quoted: Sequence[str], content: str, heading: str | None) -> DataFrame:
+    if not quoted:
+        return found
+    either = holds_phrases(F.col(content), quoted) if heading is None else holds_phrases(F.col(content), quoted) | holds_phrases(F.col(heading), quoted)
+    return found.join(index.chunks.where(either).select("chunk_id"), "chunk_id", "left_semi")
+
+
+def search(index: Index, query: str, *, vector_of: Sequence[float] | None = None, mode: str = "hybrid", top_k: int = 8, content: str = "content", heading: str | None = None, scope: DataFrame | None = None, reranker=None) -> DataFrame:
+    """Search in mode hybrid, keyword or vector. hybrid without a vector is keyword; vector without one is an error. Quoted phrases filter what the
+    legs fetched. reranker: (query, [texts]) -> order of places; what it leaves out follows in the fused order."""
+    quoted = phrases(query)
+    legs = _legs(index, query, vector_of, mode, top_k, scope)
+    found = _holding(index, fuse(list(legs.values()), top_k=fetch_size(top_k, quoted)), quoted, content, heading)
     found = top(found, top_k, "chunk_id")
     return found if reranker is None else rerank(index, found, query, reranker, content)
 
 
+def explain(index: Index, query: str, *, vector_of: Sequence[float] | None = None, mode: str = "hybrid", top_k: int = 8, content: str = "content", heading: str | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """How ``search`` came to its result: chunk_id, keyword_rank, keyword_score, vector_rank, vector_score, rank and score of every chunk that a leg found.
+
+    Ranks count from 1; a leg that didn't find a chunk, or isn't in the mode, leaves its two columns null, and rank and score are null for chunks that
+    the quoted phrases or top_k leave out. Each leg runs once; its rows, fetch_size many at most, come to the driver to be numbered.
+    """
+    spark = index.postings.sparkSession
+    found = {name: [(r["chunk_id"], r["score"]) for r in leg.collect()] for name, leg in _legs(index, query, vector_of, mode, top_k, scope).items()}
+    legs = [spark.createDataFrame(rows, "chunk_id long, score double") for rows in found.values()]
+    quoted = phrases(query)
+    kept = _holding(index, fuse(legs, top_k=fetch_size(top_k, quoted)), quoted, content, heading)
+    found["kept"] = [(r["chunk_id"], r["score"]) for r in top(kept, top_k, "chunk_id").collect()]
+    place = {name: {c: (n, s) for n, (c, s) in enumerate(rows, 1)} for name, rows in found.items()}
+    rows = [(c, *(x for name in ("keyword", "vector", "kept") for x in place.get(name, {}).get(c, (None, None)))) for c in sorted(set().union(*place.values()))]
+    schema = "chunk_id long, keyword_rank int, keyword_score double, vector_rank int, vector_score double, rank int, score double"
+    return spark.createDataFrame(rows, schema).orderBy(F.col("rank").asc_nulls_last(), "chunk_id")
+
+
 def rerank(index: Index, found: DataFrame, query: str, reranker, content: str = "content") -> DataFrame:
     """Candidates in a reranker's order; unknown and repeated places are ignored, a failure keeps the order, one candidate isn't reranked."""
     rows = found.join(index.chunks.select("chunk_id", content), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()

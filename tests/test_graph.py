@@ -117,3 +117,19 @@ def test_upserts(spark):
     assert rows(relational.update_from(old, new, ["k"])) == [(1, "a"), (2, "c")]
     assert relational.capped(spark.range(10), rows=3, count_on=4)[1:] == (7, False) and relational.capped(spark.range(5), rows=3, count_on=4)[1:] == (5, True)
     assert relational.cut_cell("abcdef", 3) == "abc…(+3 chars)"
+
+
+def test_embeddings_stand_in_for_labels(spark, built):
+    nodes, _, _ = built
+    ids = {r.label: r.id for r in nodes.collect()}
+    vectors = spark.createDataFrame([(ids["Acme"], [1.0, 0.0]), (ids["PO1"], [0.9, 0.1]), (ids["PO2"], [0.6, 0.8]), (ids["PO3"], None)], "id string, embedding array<double>")
+    ask = {"vectors": vectors, "vector_of": [1.0, 0.0]}
+    assert [r.label for r in graph.lookup(nodes, "po3", **ask).collect()] == ["PO3"]
+    found = graph.lookup(nodes, "a supplier", **ask)
+    assert [r.label for r in found.collect()] == ["Acme", "PO1"] and found.columns == nodes.columns
+    assert [r.label for r in graph.lookup(nodes, "a supplier", cls={"order"}, **ask).collect()] == ["PO1"]
+    assert graph.lookup(nodes, "a supplier").isEmpty() and graph.lookup(nodes, " ", **ask).isEmpty()
+    assert [(r.label, r.similarity is None) for r in graph.suggestions(nodes, "acm", **ask).collect()] == [("Acme", False), ("PO1", True), ("PO2", True)]
+    assert [r.label for r in graph.suggestions(nodes, "acm", most=2, **ask).collect()] == ["Acme", "PO1"]
+    assert [r.label for r in graph.suggestions(nodes, "zzz", cls={"vendor"}, **ask).collect()] == ["Acme"] and graph.suggestions(nodes, "", **ask).isEmpty()
+    assert graph.lookup(nodes, "x", vectors=vectors, vector_of=[0.0, 0.0]).isEmpty() and graph.lookup(nodes, "x", vectors=vectors, vector_of=[1.0]).isEmpty()

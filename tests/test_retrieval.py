@@ -71,3 +71,22 @@ def test_many_languages_leave_the_stemmer_in(spark):
     rows = [(f"c{i}", "running dogs", f"a{i:03}") for i in range(200)] + [("e", "running dogs", "english"), ("n", "running", None)]
     many = spark.createDataFrame(rows, "chunk_id string, content string, lang string").repartition(5)
     assert r.index(many, language="lang").languages == ("english",)
+
+
+def test_explain_shows_both_legs(spark, chunks):
+    i = r.index(chunks)
+    ask = {"vector_of": [1.0, 0.0], "top_k": 3}
+    rows = r.explain(i, "policy house", **ask).collect()
+    assert [(x.chunk_id, x.score) for x in rows if x.rank] == [(x.chunk_id, x.score) for x in r.search(i, "policy house", **ask).collect()]
+    words, near = r.keyword(i, "policy house", top_k=3).collect(), r.vector(chunks, [1.0, 0.0], top_k=3).collect()
+    assert {(x.chunk_id, x.keyword_rank, x.keyword_score) for x in rows if x.keyword_rank} == {(x.chunk_id, n, x.score) for n, x in enumerate(words, 1)}
+    assert {(x.chunk_id, x.vector_rank, x.vector_score) for x in rows if x.vector_rank} == {(x.chunk_id, n, x.score) for n, x in enumerate(near, 1)}
+    for x in rows:
+        if x.rank:
+            assert math.isclose(x.score, sum(1 / (60 + n) for n in (x.keyword_rank, x.vector_rank) if n))
+    quoted = r.explain(i, '"of the house" policy', **ask).collect()
+    assert [(x.chunk_id, x.rank) for x in quoted][0] == (2, 1) and all(x.rank is None for x in quoted[1:]) and len(quoted) > 1
+    assert all(x.vector_rank is None for x in r.explain(i, "policy", mode="keyword").collect())
+    assert r.explain(i, "nothing here", mode="keyword").collect() == []
+    with pytest.raises(ValueError, match="vector"):
+        r.explain(i, "policy", mode="vector")
