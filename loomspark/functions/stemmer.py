@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+from .germanic import danish, german, norwegian, swedish
+
 # Fixed values of the Porter2 description: doubles, endings that li may follow, words with stems of their own.
 _VOWELS = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -105,7 +107,10 @@ def english(word: str) -> str:
 
 
 #: Stemmers by language; a language without one keeps its words as they are. More can be put in.
-STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "en": english}
+STEMMERS: dict[str, Callable[[str], str]] = {
+    **dict.fromkeys(("english", "en"), english), **dict.fromkeys(("german", "de"), german), **dict.fromkeys(("swedish", "sv"), swedish),
+    **dict.fromkeys(("danish", "da"), danish), **dict.fromkeys(("norwegian", "no", "nb", "nn"), norwegian),
+}
 
 
 def stem(word: str, language: str | None) -> str:

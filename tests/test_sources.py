@@ -6,6 +6,7 @@ import zipfile
 import pytest
 
 from loomspark.functions import names
+from loomspark.functions import germanic
 from loomspark.functions.stemmer import english
 from loomspark.operators import chunking, profile
 from loomspark.sources import documents, readers, sinks
@@ -164,6 +165,21 @@ def test_stems():
         assert english(word) == stem
 
 
+@pytest.mark.parametrize(
+    ("stemmer", "pairs"),
+    [
+        (germanic.german, "aufeinander aufeinand kategorischen kategor aufgegriffen aufgegriff häuser haus straße strass auferlegt auferlegt kenntnisse kenntnis freundlichkeit freundlich zeitungen zeitung bauen bau es es"),
+        (germanic.swedish, "jaktkarlarne jaktkarl flickorna flick klockan klockan friskt frisk hjälplöst hjälplös och och"),
+        (germanic.danish, "indtager indtag undersøgelse undersøg husene hus løsningerne løsning bestemmelse bestem og og"),
+        (germanic.norwegian, "havnedistriktene havnedistrikt bilene bil nyheter nyhet regjeringens regjering og og"),
+    ],
+)
+def test_germanic_stems(stemmer, pairs):
+    words = pairs.split()
+    assert [stemmer(w) for w in words[::2]] == words[1::2]
+    assert all(isinstance(stemmer(w), str) for w in ("", "s", "st", "es", "1", "igst", "東京", "ss", "keit"))
+
+
 def test_chunking_edges():
     count = lambda t: len(t.split())
     pieces = list(chunking.code_pieces("a b\nc d\n\ne f g h i j\nk\n", count, 4))
