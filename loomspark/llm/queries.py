@@ -81,6 +81,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES_MOD
     return encoding_digests(_table(spark, sf_dir, "documents"), model)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+#: The vocabulary file that op12 reads.
+BPE_FILE = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str, path: str = BPE_FILE) -> DataFrame:
+    from .bpe import token_digests
+
+    return token_digests(_table(spark, sf_dir, "documents"), path)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -92,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroids": op11_centroids,
+    "op12_bpe": op12_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: A-Z in lower case only, as the contracts say; DuckDB's lower() would change other letters too.
@@ -163,7 +189,38 @@ SELECT page_id, j.host, j.path, rule, coalesce(j.listed, CASE WHEN s.score < (SE
 FROM j LEFT JOIN s ON j.chars = s.chars AND s.listed IS NULL"""
 
 
+def centroids_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of exact assignments and floored means, a component a row."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT n, number, d FROM (SELECT n, number, sum((x - c) * (x - c)) AS d FROM v JOIN c{r} USING (pos) GROUP BY ALL) y
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, number) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT number, pos, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (n) GROUP BY ALL),
+c{r + 1} AS (SELECT c{r}.number, c{r}.pos, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{r} LEFT JOIN m{r} ON m{r}.number = c{r}.number AND m{r}.pos = c{r}.pos)""")
+    return f"""WITH e AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+kept AS (SELECT n, vec_id, list_transform(e, lambda x: floor(64 * x)::BIGINT) AS i FROM e WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT n, unnest(i)::HUGEINT AS x, unnest(range(1, 65)) AS pos FROM kept),
+f AS (SELECT n, row_number() OVER (ORDER BY sha256('1:' || vec_id), i) - 1 AS number FROM kept WHERE vec_id IS NOT NULL QUALIFY number < {k}),
+c0 AS (SELECT number, pos, x AS c FROM v JOIN f USING (n)),
+{", ".join(steps)},
+h AS (SELECT number, sha256(string_agg(c::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, number::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY number))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} USING (n) JOIN h USING (number)"""
+
+
+NEGATIVES_SQL = """WITH e AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+v AS (SELECT n, vec_id, label, list_transform(e, lambda x: floor(256 * x)::BIGINT) AS i FROM e
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.n AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.i) + 1), lambda k: a.i[k] * b.i[k]))::BIGINT AS score
+  FROM v a JOIN v b ON a.n != b.n AND len(a.i) = len(b.i) WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS pr FROM s WHERE same QUALIFY pr <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, pr ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": centroids_sql(),
+    "op13_hard_negatives": NEGATIVES_SQL,
     "op7_url_filter": url_sql(),
     "op9_decontamination": leaks_sql(),
     "op3_minhash_near_dedup": f"""WITH RECURSIVE {shingle_components_sql("documents", 3, 85)}
