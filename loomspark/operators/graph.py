@@ -6,8 +6,9 @@ Nodes: id, class_id, label, normalized_label, properties map<string,string>, key
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from typing import TextIO
 from xml.sax.saxutils import escape, quoteattr
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import normalized_label
+from ..steps import Steps
 from .ontology import MENTIONS, Mapping, Ontology
 from .strings import jaro_winkler_udf
 from .vectors import cosine
@@ -235,29 +237,58 @@ def merge_candidates(vectors: DataFrame, *, distance: float = PROPOSE) -> DataFr
     return dealt.select("id", "class_id", "embedding", "keyed", "part", "i", "j").groupBy("class_id", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
 
 
-def shares_token(a: str, b: str) -> bool:
-    """Whether two labels share a token of 3 characters or more, or a pair of characters of an unspaced script."""
-    import re
+_UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 
-    unspaced = "぀-ヿ㐀-鿿가-힯"
-    def parts(t: str) -> set[str]:
-        words = {w for w in re.findall(r"\w+", t.lower()) if len(w) >= 3}
-        return words | {r[i : i + 2] for r in re.findall(f"[{unspaced}]+", t) for i in range(len(r) - 1)}
 
-    return bool(parts(a) & parts(b))
+def token_parts(label: Column) -> Column:
+    """What labels share a token by: words of 3 characters or more, and pairs of neighbouring characters of unspaced scripts."""
+    words = F.filter(F.regexp_extract_all(F.lower(label), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    runs = F.regexp_extract_all(label, F.lit(f"[{_UNSPACED}]{{2,}}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_union(words, pairs)
 
 
-def admit(pairs: Iterator[tuple], label: Callable[[object], str], *, most: int = MOST_PROPOSALS) -> list[tuple]:
-    """Pairs (a, b, distance) admitted as proposals, nearest first: each node takes part in ``most`` at most, and pairs whose labels share no token use
-    up a place as well but aren't proposed. The choice is sequential; pairs come one at a time, sorted."""
-    used: dict[object, int] = {}
-    out = []
-    for a, b, d in pairs:
-        if used.get(a, 0) < most and used.get(b, 0) < most:
-            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-            if shares_token(label(a), label(b)):
-                out.append((a, b, d))
-    return out
+def shares_token(a: Column, b: Column) -> Column:
+    return F.arrays_overlap(token_parts(a), token_parts(b))
+
+
+def admitted(pairs: DataFrame, *, most: int = MOST_PROPOSALS) -> tuple[DataFrame, int]:
+    """(pairs that are admitted, rounds taken). pairs: a, b, distance.
+
+    The rule is sequential: nearest first, then by a and b, a pair is admitted if neither node is in ``most`` admitted ones yet. It is
+    worked out in rounds: a pair that is among the first open ones of both its nodes, as many as each has places left, is admitted, since even all
+    earlier ones would leave it a place; pairs of nodes without places go. Each round admits the nearest open pair at least. Spark
+    keeps ``most`` pairs of a node in each task before it shuffles, so a node with very many pairs is no large group.
+    """
+    steps = Steps(pairs.sparkSession)
+    order = Window.partitionBy("node").orderBy("distance", "a", "b")
+    open_, taken, rounds = steps.write(pairs.select("a", "b", "distance").where("a is not null and b is not null").dropDuplicates(["a", "b"])), [], 0
+    places: DataFrame | None = None
+    while not open_.isEmpty():
+        rounds += 1
+        ends = open_.withColumn("node", F.explode(F.array("a", "b")))
+        first = ends.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        if places is not None:
+            first = first.join(places, "node", "left").where(F.col("nth") <= most - F.coalesce("used", F.lit(0)))
+        now = steps.write(first.groupBy("a", "b").agg(F.first("distance").alias("distance"), F.count("*").alias("ends")).where("ends = 2").drop("ends"))
+        taken.append(now)
+        used = now.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+        if places is not None:
+            used = used.unionByName(places).groupBy("node").agg(F.sum("used").alias("used"))
+        places = steps.write(used)
+        full = places.where(F.col("used") >= most).select("node")
+        left = open_.join(now.select("a", "b"), ["a", "b"], "left_anti").join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+        before, open_ = open_, steps.write(left.select("a", "b", "distance"))
+        steps.drop(before)
+    return (functools.reduce(DataFrame.unionByName, taken) if taken else open_), rounds
+
+
+def proposals(pairs: DataFrame, nodes: DataFrame, *, most: int = MOST_PROPOSALS) -> DataFrame:
+    """(a, b, distance) of admitted pairs whose labels share a token; others use up their places, but aren't proposed. nodes: id, label."""
+    label = nodes.select("id", "label")
+    chosen, _ = admitted(pairs, most=most)
+    named = chosen.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
+    return named.where(shares_token(F.col("la"), F.col("lb"))).select("a", "b", "distance")
 
 
 def survivor(a: dict, b: dict) -> tuple[str, str]:

@@ -262,36 +262,11 @@ def apply_candidates(o: Ontology, accepted: Iterable[Candidate], keys: dict[str,
 # Documents
 
 
-def vocabulary(names: Counter, alike: float = 0.92) -> dict[str, str]:
-    """Each raw name with its group's name: names with one singular snake form, or as similar to a leader as ``alike``, are a group; the most
-    frequent raw name leads."""
-    leaders: list[tuple[str, str]] = []
-    out: dict[str, str] = {}
-    for raw, _ in sorted(names.items(), key=lambda x: (-x[1], x[0])):
-        form = singular(snake_id(raw))
-        leader = next((name for f, name in leaders if f == form or jaro_winkler(f, form) >= alike), None)
-        if leader is None:
-            leaders.append((form, raw))
-            leader = raw
-        out[raw] = snake_id(leader)
-    return out
-
-
 def support(occurrences: int, documents: int, enough: int = 3) -> tuple[float, bool]:
     """(confidence, whether it is low) of a name seen so often in so many documents."""
     return 0.5 * min(occurrences, 10) / 10 + 0.5 * min(documents, enough) / enough, documents < enough
 
 
-def hierarchy(members: dict[str, set[str]], share: float = 0.8) -> dict[str, str]:
-    """child: parent, where a smaller class has at least ``share`` of its entities in a larger one; of several the largest, then by name."""
-    out = {}
-    for child, own in members.items():
-        parents = [p for p, other in members.items() if p != child and len(other) > len(own) and own and len(own & other) / len(own) >= share]
-        if parents:
-            out[child] = min(parents, key=lambda p: (-len(members[p]), p))
-    return out
-
-
 def endpoint(o: Ontology, classes: Counter, share: float = 0.8) -> str:
     """The class of a relation's end: one that has ``share`` of the cases, else the nearest common ancestor, else the root."""
     total = sum(classes.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def jaro(a: str, b: str) -> float:
-    """Jaro similarity: matches within half the longer length, and half the transpositions."""
+    """Jaro similarity: matches within half the longer length, and half the matches that are out of order, rounded down."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -23,7 +23,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
-    swapped = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
+    swapped = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, ontology
+from ..operators import graph, induction, ontology
 from ..operators.ontology import Class, Mapping, Ontology, Property, Relation
 from ..operators.profile import profile
 from .common import STAR, table
@@ -179,3 +179,55 @@ ORACLE_SQL["graph_merge"] = (
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("class_id"), "embedding", F.lit(False).alias("keyed"))
     return graph.merge_candidates(e, distance=0.7).withColumn("distance", F.round("distance", 6))
+
+
+_PLAIN = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))"
+
+
+def _words(df: DataFrame) -> DataFrame:
+    return df.withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+
+
+_SNAKE = "regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@frame("induce_vocabulary", f"""WITH RECURSIVE n AS (SELECT name, count(*) AS n FROM (SELECT {_WORDS} AS name FROM benchmark) w GROUP BY 1),
+s AS (SELECT name, n, CASE WHEN {_SNAKE} = '' THEN 'unnamed' WHEN regexp_matches({_SNAKE}, '^[0-9]') THEN 't_' || {_SNAKE} ELSE {_SNAKE} END AS s FROM n),
+f AS (SELECT name, n, CASE WHEN s LIKE '%ies' THEN s[:-4] || 'y' WHEN s LIKE '%ss' OR length(s) < 4 OR s NOT LIKE '%s' THEN s ELSE s[:-2] END AS form FROM s),
+o AS (SELECT form, row_number() OVER (ORDER BY min(name)) AS i FROM f GROUP BY 1),
+r AS (SELECT 0 AS step, form, i, min(i) OVER () AS head FROM o UNION ALL SELECT step + 1, x.form, x.i, min(x.i) OVER () FROM (SELECT r.*, h.form AS hf FROM r JOIN o h ON h.i = r.head) x
+  WHERE NOT (x.form = x.hf OR jaro_winkler_similarity(x.hf, x.form) >= 0.92 - 1e-9)),
+g AS (SELECT form, arg_max(head, step) AS head FROM r GROUP BY 1),
+b AS (SELECT head, arg_max(form, (n, name)) AS id FROM f JOIN g USING (form) GROUP BY 1)
+SELECT name, id FROM f JOIN g USING (form) JOIN b USING (head)""".replace(' COLLATE "C"', ""))
+def induce_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return induction.vocabulary(_words(table(spark, sf_dir, "benchmark")).groupBy(F.col("word").alias("name")).agg(F.count("*").alias("n")))
+
+
+@frame("induce_hierarchy", f"""WITH w AS (SELECT {_PLAIN.format("w")} AS entity, lang, source FROM (SELECT {_WORDS} AS w, lang, source FROM documents) x),
+o AS (SELECT entity, lang AS class FROM w UNION ALL SELECT entity, source FROM w UNION ALL SELECT entity, lang || '/' || source FROM w),
+m AS (SELECT class, entity, count(*) AS n FROM o WHERE class IS NOT NULL GROUP BY ALL), z AS (SELECT class, sum(n) AS size, count(*) AS entities FROM m GROUP BY 1),
+p AS (SELECT a.class AS child, b.class AS parent, count(*) AS shared FROM m a JOIN m b ON a.entity = b.entity AND a.class != b.class GROUP BY ALL)
+SELECT child, parent, shared, x.entities FROM p JOIN z x ON x.class = child JOIN z y ON y.class = parent WHERE x.size < y.size AND shared >= 0.8 * x.entities
+QUALIFY row_number() OVER (PARTITION BY child ORDER BY y.size DESC, parent) = 1""")
+def induce_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, sources and both together as classes of the words that documents mention."""
+    words = _words(table(spark, sf_dir, "documents")).withColumn("class", F.explode(F.array("lang", "source", F.concat("lang", F.lit("/"), "source"))))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return induction.hierarchy(words.select(F.translate("word", letters, letters.lower()).alias("entity"), "class"))
+
+
+@frame("merge_proposals", """WITH RECURSIVE d AS (SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.8),
+p AS (SELECT *, row_number() OVER (ORDER BY distance, a, b) AS i FROM d),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS distance, false AS ok, []::BIGINT[] AS used
+  UNION ALL SELECT i, a, b, distance, ok, CASE WHEN ok THEN used || [a, b] ELSE used END FROM (SELECT p.i, p.a, p.b, p.distance, r.used, len(list_filter(r.used, lambda x: x = p.a)) < 3 AND len(list_filter(r.used, lambda x: x = p.b)) < 3 AS ok
+  FROM r JOIN p ON p.i = r.i + 1) x)
+SELECT a, b, distance FROM r WHERE ok AND a % 4 = b % 4""")
+def merge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of near vectors of one label, the pairs that are worth a look, three for each vector; labels share a token in one case of four."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("class_id"), "embedding", F.lit(False).alias("keyed"))
+    near = graph.merge_candidates(e, distance=0.8).withColumn("distance", F.round("distance", 6))
+    kinds = F.element_at(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), (F.col("id") % 4 + 1).cast("int"))
+    return graph.proposals(near, e.select("id", F.concat(kinds, F.lit(" "), "id").alias("label")), most=3)

@@ -3,6 +3,7 @@ import json
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.operators import graph, labelling, ontology, relational
 from loomspark.operators.ontology import Class, Mapping, Ontology, Property, Relation
@@ -73,12 +74,13 @@ def test_merge_fill_and_delete(spark, built):
     assert filled.where(f"id = '{a}'").first()["properties"] == {"mode": "air", "extra": "1"}
 
 
-def test_admission_is_greedy():
-    labels = {1: "alpha one", 2: "alpha two", 3: "beta", 4: "alpha four"}.get
-    pairs = [(1, 2, 0.01), (1, 3, 0.02), (1, 4, 0.03)]
-    assert graph.admit(iter(pairs), labels, most=2) == [(1, 2, 0.01)]  # the pair without a common token used up a place
+def test_admission_is_greedy(spark):
+    labels = spark.createDataFrame([(1, "alpha one"), (2, "alpha two"), (3, "beta"), (4, "alpha four")], "id long, label string")
+    pairs = spark.createDataFrame([(1, 2, 0.01), (1, 3, 0.02), (1, 4, 0.03)], "a long, b long, distance double")
+    assert list(map(tuple, graph.proposals(pairs, labels, most=2).collect())) == [(1, 2, 0.01)]  # the pair without a common token used up a place
     assert graph.survivor({"id": "b", "keyed": True, "evidence": 1}, {"id": "a", "keyed": False, "evidence": 9}) == ("b", "a")
-    assert graph.shares_token("東京都", "京都府") and not graph.shares_token("ab", "ab")
+    same = spark.createDataFrame([("東京都", "京都府"), ("ab", "ab"), ("Élan x", "the élan"), (None, "abc")], "a string, b string")
+    assert [r[0] for r in same.select(graph.shares_token(F.col("a"), F.col("b"))).collect()] == [True, False, True, None]
 
 
 def test_ontology_rules():
@@ -94,7 +96,6 @@ def test_ontology_rules():
     bad = Ontology({"a": Class("a", "b"), "b": Class("b", "a")})
     assert bad.faults()
     assert ontology.attribute_kind(["$1,000", "3%"]) == "number" and ontology.attribute_kind(["x"]) is None and ontology.attribute_kind(["2024-01-02", "Jan 3, 2024"]) == "date"
-    assert ontology.hierarchy({"a": {"1", "2", "3", "4", "5"}, "b": {"1", "2"}}) == {"b": "a"}
 
 
 def test_labelling(spark):
