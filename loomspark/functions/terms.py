@@ -44,6 +44,18 @@ def terms(text: Column) -> Column:
     return F.flatten(F.transform(runs, of))
 
 
+def cased_terms(text: Column) -> Column:
+    """What ``terms`` gives, in its own case and another order, for counting: first the parts of all runs, then the joined runs. Texts without unspaced scripts or joiners take one
+    expression, without a function for each word.
+    """
+    text = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(rf"[{_ALNUM}]+"), F.lit(0))
+    parts = F.when(text.rlike(f"[{_UNSPACED}]"), F.flatten(F.transform(words, _pieces))).otherwise(words)
+    runs = F.regexp_extract_all(text, F.lit(rf"[{_ALNUM}]+(?:[-._/:]+[{_ALNUM}]+)+"), F.lit(0))
+    joined = F.transform(F.filter(runs, lambda r: ~r.rlike(f"[{_UNSPACED}]")), lambda r: F.translate(r, "-._/:", ""))
+    return F.when(text.rlike("[-._/:]"), F.concat(parts, joined)).otherwise(parts)
+
+
 def ascii_terms(text: str) -> list[str]:
     """``terms`` of a text of ASCII characters, without a job."""
     out = []

@@ -1,7 +1,7 @@
 """Keyword, vector and hybrid search over chunks.
 
-The keyword index is two tables: chunks with their number of terms, and postings (term, chunk, tf) with the document frequency of the
-term beside each. Postings are written in ``BUCKETS`` folders by hash of the term and sorted in them, so a search reads a folder for each
+The keyword index is two tables: chunks with their number of terms, and postings (term, chunk, tf) with the number of terms of the chunk and the
+document frequency of the term beside each, so that a search reads postings only. Postings are written in ``BUCKETS`` folders by hash of the term and sorted in them, so a search reads a folder for each
 of its few terms and in it only the row groups that hold them. A search is a filter, a partial sum and a top k.
 """
 
@@ -23,7 +23,7 @@ except ImportError:
     xxhash = None
 
 from ..functions.stemmer import STEMMERS, stem
-from ..functions.terms import ascii_terms, stemmed_udf, terms
+from ..functions.terms import ascii_terms, cased_terms, stemmed_udf, terms
 from . import vectors
 
 K1, B = 1.2, 0.75
@@ -34,7 +34,7 @@ PHRASE_FACTOR, PHRASE_MOST = 4, 500
 
 @dataclass
 class Index:
-    """chunks: chunk columns and token_count; postings: term, chunk_id, tf, df, bucket; size: chunks with terms, and their mean number."""
+    """chunks: chunk columns and token_count; postings: term, chunk_id, tf, token_count, df, bucket (-1 where they aren't dealt into buckets); n, mean: chunks with terms, and their mean number."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -44,17 +44,19 @@ class Index:
 
 
 def _counted(chunks: DataFrame, content: str, heading: str | None, language: str | None) -> DataFrame:
-    """chunk_id, term, tf. With a language column words are stemmed in that language."""
-    text = terms(F.col(content)) if heading is None else F.concat(terms(F.col(content)), terms(F.col(heading)))
-    listed = chunks.select("chunk_id", F.explode(text).alias("term"), *([F.col(language).alias("language")] if language else []))
+    """chunk_id, token_count, term, tf. With a language column words are stemmed in that language."""
+    text = cased_terms(F.col(content)) if heading is None else F.concat(cased_terms(F.col(content)), cased_terms(F.col(heading)))
+    listed = chunks.select("chunk_id", text.alias("t"), *([F.col(language).alias("language")] if language else []))
+    keys = ["chunk_id", "token_count", *(["language"] if language else [])]
+    listed = listed.withColumn("token_count", F.size("t").cast("long")).select(*keys, F.explode("t").alias("term")).withColumn("term", F.lower("term"))
+    counted = listed.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     if not language:
-        return listed.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    counted = listed.groupBy("chunk_id", "term", "language").agg(F.count("*").alias("tf"))
-    return counted.withColumn("term", stemmed_udf()("term", "language")).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"))
+        return counted
+    return counted.withColumn("term", stemmed_udf()("term", "language")).groupBy("chunk_id", "token_count", "term").agg(F.sum("tf").alias("tf"))
 
 
 def _tables(chunks: DataFrame, counted: DataFrame, frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lengths = counted.groupBy("chunk_id").agg(F.sum("tf").alias("token_count"))
+    lengths = counted.groupBy("chunk_id").agg(F.first("token_count").alias("token_count"))
     postings = counted.join(frequency, "term").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     return chunks.join(lengths, "chunk_id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0))), postings
 
@@ -113,13 +115,10 @@ def query_terms(spark: SparkSession, text: str, languages: Sequence[str] = ()) -
 def bm25(index: Index, wanted: Sequence[str]) -> DataFrame:
     """(chunk_id, score) of the chunks that hold any term. All statistics are of the whole index, whatever is filtered afterwards."""
     places = sorted({_bucket(index.postings.sparkSession, t) for t in wanted}) if wanted else []
-    hits = index.postings.where(F.col("bucket").isin(places) & F.col("term").isin(list(wanted)))
+    hits = index.postings.where(F.col("bucket").isin([-1, *places]) & F.col("term").isin(list(wanted)))
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = index.mean or 1.0
-    # Few postings against all chunks: the lengths of the chunks that were hit.
-    scored = hits.join(index.chunks.select("chunk_id", "token_count"), "chunk_id")
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / mean))
-    return scored.groupBy("chunk_id").agg(F.sum(weight).alias("score")).where("score > 0")
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / (index.mean or 1.0)))
+    return hits.groupBy("chunk_id").agg(F.sum(weight).alias("score")).where("score > 0")
 
 
 _BUCKET: dict[str, int] = {}
@@ -185,12 +184,12 @@ def keyword_batch(index: Index, queries: Sequence[tuple[int, str]], *, top_k: in
     spark = index.postings.sparkSession
     listed = spark.createDataFrame(list(queries), "query_id long, text string").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = [(r["query_id"], s) for r in listed.collect() for s in ({stem(r["term"], x) for x in index.languages if x in STEMMERS} or {r["term"]})]
-    asked = spark.createDataFrame(sorted(set(wanted)), "query_id long, term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    hits = index.postings.join(F.broadcast(asked), ["bucket", "term"])
+    asked = spark.createDataFrame(sorted(set(wanted)), "query_id long, term string")
+    places = sorted({_bucket(spark, term) for _, term in wanted})
+    hits = index.postings.where(F.col("bucket").isin([-1, *places])).join(F.broadcast(asked), "term")
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = hits.join(index.chunks.select("chunk_id", "token_count"), "chunk_id")
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / (index.mean or 1.0)))
-    return _ranked(scored.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score")).where("score > 0"), top_k)
+    return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score")).where("score > 0"), top_k)
 
 
 def vector_batch(chunks: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], *, top_k: int = 8, embedding: str = "embedding") -> DataFrame:

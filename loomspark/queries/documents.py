@@ -51,7 +51,7 @@ TERMS_SQL = (
 
 @frame("term_frequencies", f"SELECT doc_id, term, count(*) AS tf FROM {TERMS_SQL} t GROUP BY 1, 2")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms.terms(F.col("text"))).alias("term"))
+    listed = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms.cased_terms(F.col("text"))).alias("term")).withColumn("term", F.lower("term"))
     return listed.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 

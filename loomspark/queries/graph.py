@@ -200,7 +200,7 @@ r AS (SELECT 0 AS step, form, i, min(i) OVER () AS head FROM o UNION ALL SELECT
   WHERE NOT (x.form = x.hf OR jaro_winkler_similarity(x.hf, x.form) >= 0.92 - 1e-9)),
 g AS (SELECT form, arg_max(head, step) AS head FROM r GROUP BY 1),
 b AS (SELECT head, arg_max(form, (n, name)) AS id FROM f JOIN g USING (form) GROUP BY 1)
-SELECT name, id FROM f JOIN g USING (form) JOIN b USING (head)""".replace(' COLLATE "C"', ""))
+SELECT name, id FROM f JOIN g USING (form) JOIN b USING (head)""")
 def induce_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induction.vocabulary(_words(table(spark, sf_dir, "benchmark")).groupBy(F.col("word").alias("name")).agg(F.count("*").alias("n")))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import retrieval, segments
+from ..steps import shared_folder
 from .common import table
 from .documents import TERMS_SQL
 
@@ -102,3 +106,18 @@ def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     wanted = [(r["chunk_id"], list(r["embedding"])) for r in rows.where("chunk_id in (0, 3)").collect()]
     return retrieval.vector_batch(rows, wanted, top_k=TOP).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_EDITED = "(SELECT doc_id, CASE WHEN lang = 'de' THEN 'the ring ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src3')"
+
+
+@frame("index_upkeep", f"SELECT chunk_id, round(score, 6) AS score FROM {_bm25_sql(['the', 'tion', 'and', 'her'], limit=50).replace('FROM documents)', 'FROM ' + _EDITED + ' e)')} x")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index in three additions by language, in which German documents are then replaced and those of one source removed."""
+    rows = chunks(spark, sf_dir)
+    index = segments.SegmentedIndex(spark, f"{shared_folder(spark)}/loomspark-{os.getpid()}/{uuid.uuid4().hex}")
+    for part in (F.col("lang") == "en", F.col("lang").isin("fr", "es"), ~F.coalesce(F.col("lang").isin("en", "fr", "es"), F.lit(False))):
+        index.add(rows.where(part))
+    index.add(rows.where("lang = 'de'").withColumn("content", F.concat(F.lit("the ring "), F.coalesce("content", F.lit("")))))
+    index.remove(rows.where("source = 'src3'"))
+    return _rounded(retrieval.keyword(index.read(), QUERY, top_k=50))

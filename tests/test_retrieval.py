@@ -18,6 +18,12 @@ def test_terms(spark):
     assert got == ["pol", "8841", "pol8841", "v1", "2", "v12", "foo", "bar", "foobar", "x", "東京", "京都", "a", "東京", "é"]
 
 
+def test_terms_for_counting(spark):
+    texts = ["POL-8841 v1.2 Foo_bar- x 東京都 a東京 é", "a-東京-b c:d", "plain words Only", "", None, "İX-y ÀB/c", "--", "東"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(terms.terms(F.col("t")).alias("a"), F.transform(terms.cased_terms(F.col("t")), F.lower).alias("b"))
+    assert all(sorted(r.a) == sorted(r.b) for r in df.collect())
+
+
 def test_written_index_searches_like_one_in_flight(spark, chunks, tmp_path):
     r.write_index(chunks, str(tmp_path / "i"))
     stored, flying = r.read_index(spark, str(tmp_path / "i")), r.index(chunks)
