@@ -80,7 +80,7 @@ def bucket_keys(vectors: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, label hash, times, embedding -> node, times, unit vector (doubles), keys."""
+    """node, row of the class, label hash, times, embedding -> node, row, times, unit vector (doubles), keys."""
     for batch in batches:
         lists = batch.column("embedding")
         sizes = np.diff(lists.offsets.to_numpy())
@@ -96,8 +96,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = bucket_keys(unit, salt[rows])
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(take), batch.column("times").take(take), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * _KEYS + 1, _KEYS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["node", "times", "unit", "keys", "buckets"],
+                    [batch.column("node").take(take), batch.column("c").take(take), batch.column("least").take(take), batch.column("times").take(take), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * _KEYS + 1, _KEYS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))],
+                    names=["node", "c", "least", "times", "unit", "keys", "buckets"],
                 )
 
 
@@ -189,8 +189,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFr
     vectors linked directly), component_id (the least vec_id reachable by links) and kept (vec_id = component_id).
 
     Defined cases: vectors that are null, empty, all 0 or hold null, NaN or infinite components, and those with a null label,
-    link with nothing; so do two vectors of different length. Equal vectors always link, a repeated row counts as another vector
-    with the same vec_id; a null vec_id has n_links 0 and component_id and kept null; an empty table gives an empty one; other
+    link with nothing; so do two vectors of different length. Equal vectors always link. Rows are vectors of their own, also those that share a
+    vec_id: a repeated row counts as another vector, and different vectors under one vec_id link, and are reached, by their own cosines only. A null vec_id has n_links 0 and component_id and kept null; an empty table gives an empty one; other
     columns are left aside.
     """
     scratch = Scratch(vectors.sparkSession)
@@ -198,9 +198,10 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFr
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("c", F.when(usable, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.hex(F.xxhash64("embedding", "label")), F.hex(F.xxhash64("label", "embedding"))), 256)))
-    classes = rows.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
-    salted = classes.select("node", "times", "embedding", F.xxhash64("label", F.size("embedding")).alias("salt"))
-    hashed = scratch.write(salted.mapInArrow(_hashed, "node long, times long, unit binary, keys binary, buckets array<long>"), "hashed")
+    classes = rows.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
+    # A class is named by a number of its own, as a vec_id may stand for several vectors; it is written with it, so it stays.
+    salted = classes.select(F.monotonically_increasing_id().alias("node"), "c", "least", "times", "embedding", F.xxhash64("label", F.size("embedding")).alias("salt"))
+    hashed = scratch.write(salted.mapInArrow(_hashed, "node long, c string, least long, times long, unit binary, keys binary, buckets array<long>"), "hashed")
 
     # Buckets of two classes or more, large ones dealt out as pairs of blocks.
     keys = hashed.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
@@ -213,8 +214,10 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFr
 
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("node != other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), scratch)
-    of_class = scratch.write(classes.select("c", "node", "times").join(linked, "node", "left").join(components, "node", "left"), "classes")
-    out = rows.select("vec_id", "c").join(of_class.select("c", "node", "times", "n", "component"), "c", "left")
-    component = F.coalesce("component", "node", "vec_id")
+    of_class = hashed.select("c", "node", "least", "times").join(linked, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = scratch.write(of_class, "classes")
+    least = of_class.groupBy("component").agg(F.min("least").alias("reached"))
+    out = rows.select("vec_id", "c").join(of_class.join(least, "component").select("c", "times", "n", "reached"), "c", "left")
+    component = F.coalesce("reached", "vec_id")
     links = F.when(F.col("c").isNull(), 0).otherwise(F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long")
     return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

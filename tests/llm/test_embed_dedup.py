@@ -10,7 +10,7 @@ def brute(rows, least):
         if i is not None and v is not None and label is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
             x = np.asarray(v, np.float64)
             ok[n] = x / np.abs(x).max()
-    to = {i: i for i, *_ in rows if i is not None}
+    to = list(range(len(rows)))
 
     def root(i):
         while to[i] != i:
@@ -25,9 +25,12 @@ def brute(rows, least):
                 if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= least:
                     links[a] += 1
                     links[b] += 1
-                    u, v = sorted((root(rows[a][0]), root(rows[b][0])))
-                    to[v] = u
-    return sorted((str(i), links[n], str(root(i)) if i is not None else "None") for n, (i, *_) in enumerate(rows))
+                    to[root(b)] = root(a)
+    reached = {}
+    for n, (i, *_) in enumerate(rows):
+        if i is not None:
+            reached[root(n)] = min(i, reached.get(root(n), i))
+    return sorted((str(i), links[n], str(reached[root(n)]) if i is not None else "None") for n, (i, *_) in enumerate(rows))
 
 
 def fixture(n=300, width=64):
@@ -75,5 +78,18 @@ def test_recall_at_the_limit():
     assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() >= 0.9
 
 
+def test_several_vectors_of_one_id(spark):
+    """Under one label and under two: each row links, and is reached, by its own vector."""
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=64), r.normal(size=64)
+    near = lambda x: (x + r.normal(size=64) * 0.01).tolist()
+    rows = [(5, near(a), 1), (5, near(a), 1), (7, near(a), 1)]
+    assert got(frame(spark, rows)) == brute(rows, 0.93) == [("5", 2, "5"), ("5", 2, "5"), ("7", 2, "5")]
+    rows = [(5, near(a), 1), (6, near(a), 1), (5, near(b), 2), (8, near(b), 2), (4, near(b), 3), (9, a.tolist(), 4), (9, a.tolist(), 4)]
+    assert got(frame(spark, rows)) == brute(rows, 0.93)
+    rows = [(i % 60, v, label) for i, v, label in fixture() if i is not None] + fixture(30)
+    assert got(frame(spark, rows)) == brute(rows, 0.93)
+
+
 def test_empty(spark):
     assert got(frame(spark, fixture()).limit(0)) == []
