@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import normalized_label
 from ..steps import Steps
+from .grams import SUGGEST, candidates, scored
 from .ontology import MENTIONS, Mapping, Ontology
 from .strings import jaro_winkler_udf
 from .vectors import cosine
@@ -154,6 +155,18 @@ def suggestions(nodes: DataFrame, text: str, *, most: int = 5, alike: float = 0.
     return both.select(*nodes.columns, "similarity")
 
 
+def indexed_suggestions(spark: SparkSession, index: str, text: str, *, most: int = 5, alike: float = SUGGEST, cls: set[str] | None = None) -> DataFrame:
+    """``suggestions`` by labels, through what ``grams.write_label_index`` wrote to ``index``: id, class_id, label, normalized_label and similarity. Only labels
+    that may fit are read and scored. alike is SUGGEST or more."""
+    wanted = normalized_label(text)
+    if not wanted:
+        return spark.createDataFrame([], "id string, class_id string, label string, normalized_label string, similarity double")
+    label = F.col("normalized_label")
+    found = scored(_of(candidates(spark, index, wanted, alike=alike), cls), wanted, alike=alike)
+    like = label.contains(wanted) | F.lit(wanted).contains(label) | (F.col("similarity") >= alike)
+    return found.where(like).orderBy(F.desc("similarity"), F.length("label"), "label").limit(most)
+
+
 def neighborhood(nodes: DataFrame, edges: DataFrame, start: str | Sequence[str], *, hops: int = 2, most: int = MOST_NODES, relations: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes, edges among them, whether the cap was filled) within some hops of one node or several, edges taken either way, those of some
     relations only if ``relations`` names any. 0 hops count as 1; of more roots than the cap the first ones are taken.

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, segments
+from .. import workspace
+from ..operators import graph, grams, retrieval, segments
 from ..steps import shared_folder
 from .common import table
 from .documents import TERMS_SQL
@@ -33,6 +34,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for an index, where driver and executors share one."""
+    return f"{shared_folder(spark)}/loomspark-{os.getpid()}/{uuid.uuid4().hex}"
+
+
 def _bm25_sql(words: list[str], where: str = "true", limit: int = TOP) -> str:
     listed = ", ".join(f"'{w}'" for w in words)
     return (
@@ -115,9 +121,29 @@ _EDITED = "(SELECT doc_id, CASE WHEN lang = 'de' THEN 'the ring ' || coalesce(te
 def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index in three additions by language, in which German documents are then replaced and those of one source removed."""
     rows = chunks(spark, sf_dir)
-    index = segments.SegmentedIndex(spark, f"{shared_folder(spark)}/loomspark-{os.getpid()}/{uuid.uuid4().hex}")
+    index = segments.SegmentedIndex(spark, _folder(spark))
     for part in (F.col("lang") == "en", F.col("lang").isin("fr", "es"), ~F.coalesce(F.col("lang").isin("en", "fr", "es"), F.lit(False))):
         index.add(rows.where(part))
     index.add(rows.where("lang = 'de'").withColumn("content", F.concat(F.lit("the ring "), F.coalesce("content", F.lit("")))))
     index.remove(rows.where("source = 'src3'"))
     return _rounded(retrieval.keyword(index.read(), QUERY, top_k=50))
+
+
+@frame("message_search", """SELECT conv_id AS session_id, turn AS seq, role, trim(regexp_replace(substr(text, greatest(1, instr(lower(text), 'tion the') - 60), 128), '\\s+', ' ', 'g')) AS snippet
+FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'tion the') ORDER BY conv_id DESC, turn DESC LIMIT 200""")
+def message_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), F.timestamp_seconds("conv_id").alias("created_at"))
+    index = _folder(spark)
+    workspace.index_messages(said, index)
+    return workspace.message_search(said, " Tion the ", index=index, limit=200).select("session_id", "seq", "role", "snippet")
+
+
+@frame("label_suggestions", """WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS label FROM conversations)
+SELECT label, round(jaro_winkler_similarity(label, 'therention'), 9) AS similarity FROM l
+WHERE contains(label, 'therention') OR contains('therention', label) OR jaro_winkler_similarity(label, 'therention') >= 0.88 ORDER BY jaro_winkler_similarity(label, 'therention') DESC, length(label), label LIMIT 25""")
+def label_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("label")).distinct()
+    index = _folder(spark)
+    grams.write_label_index(words.select(F.col("label").alias("id"), F.lit("word").alias("class_id"), "label", F.col("label").alias("normalized_label")), index)
+    found = graph.indexed_suggestions(spark, index, "Therention", most=25)
+    return found.select("label", F.round("similarity", 9).alias("similarity"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.names import INTERNAL_PREFIX, check_reserved
-from .operators import dialect, profile, relational
+from .operators import dialect, grams, profile, relational
 from .plans import gate
 from .sources import readers, sinks
 
@@ -327,11 +327,31 @@ def refresh_embeddings(chunks: DataFrame, model: Callable[[list[str]], list[list
     return chunks.mapInPandas(run, chunks.schema)
 
 
-def message_search(messages: DataFrame, text: str, *, around: int = 60) -> DataFrame:
-    """Messages (session_id, at, content) that hold a text in any case, newest first, each with a snippet around its first place."""
-    at = F.instr(F.lower("content"), text.lower())
-    start = F.greatest(F.lit(1), at - around)
-    return messages.where(at > 0).withColumn("snippet", F.substring("content", start, at - start + len(text) + around)).orderBy(F.desc("at"))
+def index_messages(messages: DataFrame, path: str) -> None:
+    """Write the trigram postings of messages (session_id, seq, content) that ``message_search`` takes."""
+    grams.write_text_index(messages.withColumn("loom_id", F.struct("session_id", "seq")), path, key="loom_id", text="content")
+
+
+def message_search(messages: DataFrame, text: str, *, index: str | None = None, visible: DataFrame | None = None, limit: int = 50, around: int = 60) -> DataFrame:
+    """Questions and answers that hold a text in any case, newest first: session_id, seq, role, created_at and snippet, the text around its first place.
+
+    messages: session_id, seq, role, content, created_at. index: postings of ``index_messages``, by which only messages that may hold the text are read.
+    visible: the session_ids that may be found. Blanks around the text don't count; a blank text finds nothing; null contents hold nothing.
+    """
+    text = text.strip()
+    said = messages.where(F.col("role").isin("user", "assistant"))
+    if visible is not None:
+        said = said.join(visible.select("session_id").distinct(), "session_id", "left_semi")
+    said = said.withColumn("loom_id", F.struct("session_id", "seq"))
+    if not text:
+        said = said.limit(0)
+    elif index is not None:
+        said = grams.holding(said, text, index, key="loom_id", text="content")
+    wanted = F.lower(F.lit(text))
+    at = F.instr(F.lower("content"), wanted)
+    snippet = F.substring("content", F.greatest(F.lit(1), at - around), F.lit(len(text) + 2 * around))
+    found = said.where(at > 0).withColumn("snippet", F.trim(F.regexp_replace(snippet, r"(?U)\s+", " ")))
+    return found.orderBy(F.desc("created_at"), F.desc("seq"), "session_id").limit(limit).select("session_id", "seq", "role", "created_at", "snippet")
 
 
 def newest(documents: DataFrame) -> DataFrame:
