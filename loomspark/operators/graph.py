@@ -420,14 +420,27 @@ def delete_node(nodes: DataFrame, edges: DataFrame, node: str) -> tuple[DataFram
 # Export
 
 
-def export_csv(nodes: DataFrame, edges: DataFrame, seen: DataFrame, path: str) -> None:
-    """Three folders of CSV: nodes, edges, provenance."""
+def reviewed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an export without provisional parts holds: reviewed nodes, and reviewed edges between them. Tables without the column hold nothing provisional."""
+    firm = lambda df: df.where("not coalesce(provisional, false)") if "provisional" in df.columns else df
+    kept, links = firm(nodes), firm(edges)
+    for end in ("src", "dst"):
+        links = links.join(kept.select(F.col("id").alias(end)), end, "left_semi")
+    return kept, links
+
+
+def export_csv(nodes: DataFrame, edges: DataFrame, seen: DataFrame, path: str, *, provisional: bool = True) -> None:
+    """Three folders of CSV: nodes, edges, provenance. Without provisional, only what ``reviewed`` holds and its provenance; so in the other exports."""
+    if not provisional:
+        nodes, edges = reviewed(nodes, edges)
+        seen = seen.join(nodes.select("id").unionByName(edges.select("id")).toDF("owner"), "owner", "left_semi")
     nodes.withColumn("properties", F.to_json("properties")).write.mode("overwrite").csv(f"{path}/nodes", header=True)
     edges.write.mode("overwrite").csv(f"{path}/edges", header=True)
     seen.write.mode("overwrite").csv(f"{path}/provenance", header=True)
 
 
-def export_graphml(nodes: DataFrame, edges: DataFrame, out: TextIO) -> None:
+def export_graphml(nodes: DataFrame, edges: DataFrame, out: TextIO, *, provisional: bool = True) -> None:
+    nodes, edges = (nodes, edges) if provisional else reviewed(nodes, edges)
     out.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
     for k, of in (("class", "node"), ("label", "node"), ("properties", "node"), ("relation", "edge")):
         out.write(f'  <key id="{k}" for="{of}" attr.name="{k}" attr.type="string"/>\n')
@@ -439,7 +452,8 @@ def export_graphml(nodes: DataFrame, edges: DataFrame, out: TextIO) -> None:
     out.write("  </graph>\n</graphml>\n")
 
 
-def export_jsonld(nodes: DataFrame, edges: DataFrame, out: TextIO, base: str = "urn:loom:") -> None:
+def export_jsonld(nodes: DataFrame, edges: DataFrame, out: TextIO, base: str = "urn:loom:", *, provisional: bool = True) -> None:
+    nodes, edges = (nodes, edges) if provisional else reviewed(nodes, edges)
     out.write(json.dumps({"@context": {"@vocab": base, "label": "http://www.w3.org/2000/01/rdf-schema#label"}})[:-1] + ', "@graph": [')
     links = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("relation_id", "dst"))).alias("links"))
     first = True

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, induction, ontology
+from ..operators import graph, induction, ontology, standing
 from ..operators.ontology import Class, Mapping, Ontology, Property, Relation
 from ..operators.profile import profile
 from .common import STAR, table
@@ -231,3 +231,29 @@ def merge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = graph.merge_candidates(e, distance=0.8).withColumn("distance", F.round("distance", 6))
     kinds = F.element_at(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), (F.col("id") % 4 + 1).cast("int"))
     return graph.proposals(near, e.select("id", F.concat(kinds, F.lit(" "), "id").alias("label")), most=3)
+
+
+_CHANGES = """e AS (SELECT event_id AS t, 'u' || user_id AS id, event_type AS act, 'k' || (json_extract(props, '$.k')::INTEGER % 7) AS key, value::VARCHAR AS v FROM events WHERE event_type != 'signup' OR value >= 1),
+r AS (SELECT event_id AS t FROM events WHERE event_type = 'signup' AND value < 1),
+d AS (SELECT id, coalesce(max(t) FILTER (WHERE act = 'error'), -1) AS d FROM e GROUP BY 1), a AS (SELECT id, min(t) AS a FROM e JOIN d USING (id) WHERE act = 'purchase' AND t > d GROUP BY 1),
+x AS (SELECT id, greatest(d, coalesce((SELECT max(r.t) FROM r WHERE a IS NULL OR r.t < a), -1)) AS ended FROM d LEFT JOIN a USING (id)),
+l AS (SELECT e.* FROM e JOIN x USING (id) WHERE t > ended AND act != 'error')"""
+
+
+@frame("graph_standing", f"""WITH {_CHANGES},
+p AS (SELECT id, key, coalesce(arg_max(v, t) FILTER (WHERE act = 'purchase'), arg_min(v, t)) AS v FROM l GROUP BY ALL)
+SELECT id, bool_and(act = 'view') AS provisional, bool_or(act = 'purchase') AS asserted, (SELECT string_agg(key || '=' || v, ';' ORDER BY key) FROM p WHERE p.id = l.id) AS properties FROM l GROUP BY id""")
+def graph_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of users: views propose, clicks and sign-ups find, purchases assert, errors delete, and cheap sign-ups reset all that isn't asserted."""
+    e = table(spark, sf_dir, "events")
+    cheap = (F.col("event_type") == "signup") & (F.col("value") < 1)
+    acts = {"view": standing.PROPOSED, "click": standing.FOUND, "signup": standing.FOUND, "purchase": standing.ASSERTED, "error": standing.DELETED}
+    action = F.when(cheap, standing.RESET).otherwise(F.element_at(F.create_map(*(F.lit(x) for kv in acts.items() for x in kv)), F.col("event_type")))
+    key = F.concat(F.lit("k"), F.get_json_object("props", "$.k").cast("int") % 7)
+    none = F.lit(None).cast("string")
+    changes = e.select(
+        F.col("event_id").alias("at"), action.alias("action"), F.lit("node").alias("kind"), F.concat(F.lit("u"), "user_id").alias("id"), F.lit("user").alias("class_id"), F.concat(F.lit("u"), "user_id").alias("label"), none.alias("src"), none.alias("dst"),
+        F.create_map(key, F.col("value").cast("string")).alias("properties"), F.lit(None).cast("array<string>").alias("removed"), F.lit("someone").alias("author"), none.alias("note"),
+    )
+    pairs = F.array_sort(F.transform(F.map_entries("properties"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+    return standing.fold(changes).nodes.select("id", "provisional", "asserted", F.array_join(pairs, ";").alias("properties"))
