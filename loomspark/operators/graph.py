@@ -435,7 +435,8 @@ def export_csv(nodes: DataFrame, edges: DataFrame, seen: DataFrame, path: str, *
         nodes, edges = reviewed(nodes, edges)
         seen = seen.join(nodes.select("id").unionByName(edges.select("id")).toDF("owner"), "owner", "left_semi")
     nodes.withColumn("properties", F.to_json("properties")).write.mode("overwrite").csv(f"{path}/nodes", header=True)
-    edges.write.mode("overwrite").csv(f"{path}/edges", header=True)
+    links = edges.withColumn("properties", F.to_json("properties")) if "properties" in edges.columns else edges
+    links.write.mode("overwrite").csv(f"{path}/edges", header=True)
     seen.write.mode("overwrite").csv(f"{path}/provenance", header=True)
 
 
