@@ -426,7 +426,7 @@ def reviewed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept, links = firm(nodes), firm(edges)
     for end in ("src", "dst"):
         links = links.join(kept.select(F.col("id").alias(end)), end, "left_semi")
-    return kept, links
+    return kept, links.select(*edges.columns)
 
 
 def export_csv(nodes: DataFrame, edges: DataFrame, seen: DataFrame, path: str, *, provisional: bool = True) -> None:

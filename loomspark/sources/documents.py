@@ -55,8 +55,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 def table_text(rows: list[list[str]]) -> str | None:
-    """A Markdown table: the first row as header, rows padded or cut to it, blank rows dropped; None under two columns or without data."""
-    rows = [[" ".join(c.split()) for c in r] for r in rows]
+    """A Markdown table: the first row as header, rows padded or cut to it, bars in cells escaped, blank rows dropped; None under two columns or without data."""
+    rows = [[" ".join(c.split()).replace("|", "\\|") for c in r] for r in rows]
     rows = [r for r in rows if any(r)]
     if len(rows) < 2 or len(rows[0]) < 2:
         return None
