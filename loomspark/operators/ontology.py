@@ -7,8 +7,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import relation_name, singular, snake_id
@@ -191,31 +192,61 @@ def induce_classes(profiles: dict[str, list], keys: dict[str, str | None]) -> li
     return out
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _as_whole(value: Column, kind: str) -> Column:
+    """A value as the integer whose text it is; null if it is no such text."""
+    if kind in _WHOLE:
+        return value.cast("bigint")
+    return F.when(value.rlike(r"^(0|-?[1-9]\d{0,18})$"), value.try_cast("bigint"))
+
+
+def _ranges(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[int, int] | None]:
+    """The least and greatest integer in columns, as text or not, in one pass; None without any."""
+    kinds, columns = dict(df.dtypes), list(columns)
+    if not columns:
+        return {}
+    whole = {c: _as_whole(F.col(f"`{c}`"), kinds[c]) for c in columns}
+    got = df.agg(*(f(whole[c]) for c in columns for f in (F.min, F.max))).first()
+    return {c: (got[2 * i], got[2 * i + 1]) if got[2 * i] is not None else None for i, c in enumerate(columns)}
+
+
 def key_overlaps(tables: dict[str, DataFrame], keys: dict[str, str | None], mapped: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """(table_name, column_name, key_table, overlap): columns of which at least OVERLAP of the distinct values, as text, are keys of another table.
 
-    All pairs of a column and a key are counted in one job: distinct (column, value) pairs meet the keys by value. A value
-    is a key of few tables, so the join makes a few rows for each value.
+    Whole-number keys can be met by whole numbers and texts of them only, and by columns only whose range meets the key's: what can't is left out
+    by its type and one pass of ranges, before any value is shuffled. The rest meets the keys by value, numbers as numbers, in one job: distinct
+    (column, value) pairs against the keys. Keys that are texts take all columns, as text.
     """
-    known = set(mapped)
-    spark = next(iter(tables.values())).sparkSession
-    values = key_values = None
-    for name, df in tables.items():
-        simple = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
-        others = [c for c in simple if c != keys.get(name) and (name, c) not in known]
-        if others:
-            part = df.select(F.explode(F.array(*(F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in others))).alias("p")).select("p.*")
-            values = part if values is None else values.unionByName(part)
-        if keys.get(name):
-            part = df.select(F.lit(name).alias("key_table"), F.col(keys[name]).cast("string").alias("value"))
-            key_values = part if key_values is None else key_values.unionByName(part)
-    if values is None or key_values is None:
-        return spark.createDataFrame([], "table_name string, column_name string, key_table string, overlap double")
-    values = values.where("value is not null").distinct()
-    totals = values.groupBy("table_name", "column_name").agg(F.count("*").alias("n"))
-    hits = values.join(key_values, "value").where("table_name != key_table").groupBy("table_name", "column_name", "key_table").agg(F.count("*").alias("hit"))
-    share = hits.join(totals, ["table_name", "column_name"]).withColumn("overlap", F.col("hit") / F.col("n"))
-    return share.where(F.col("overlap") >= OVERLAP).select("table_name", "column_name", "key_table", "overlap")
+    known, spark = set(mapped), next(iter(tables.values())).sparkSession
+    plain = {n: {c: t for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))} for n, df in tables.items()}
+    is_whole = {n: plain[n].get(keys[n]) in _WHOLE for n in tables if keys.get(n)}
+    others = {n: [c for c in plain[n] if c != keys.get(n) and (n, c) not in known] for n in tables}
+    asked = {n: {c for c in others[n] if plain[n][c] in (*_WHOLE, "string")} if any(is_whole.values()) else set() for n in tables}
+    ranges = {n: _ranges(df, asked[n] | ({keys[n]} if is_whole.get(n) else set())) for n, df in tables.items()}
+    key_ranges = {n: ranges[n][keys[n]] for n, w in is_whole.items() if w}
+    out = spark.createDataFrame([], "table_name string, column_name string, key_table string, overlap double")
+    for whole in (True, False):
+        to = [n for n, w in is_whole.items() if w == whole]
+        meets = lambda n, c: any(k != n and (not whole or (r := ranges[n].get(c)) and (z := key_ranges[k]) and r[0] <= z[1] and z[0] <= r[1]) for k in to)  # noqa: B023, E731
+        values = []
+        for n, df in tables.items():
+            if met := [c for c in (sorted(asked[n]) if whole else others[n]) if meets(n, c)]:
+                value = lambda n, c: _as_whole(F.col(f"`{c}`"), plain[n][c]) if whole else F.col(f"`{c}`").cast("string")  # noqa: B023, E731
+                # Texts that are no numbers only count as values without a key.
+                rest = lambda n, c: F.col(f"`{c}`") if plain[n][c] == "string" else F.lit(None).cast("string")  # noqa: B023, E731
+                listed = F.array(*(F.struct(F.lit(n).alias("table_name"), F.lit(c).alias("column_name"), value(n, c).alias("value"), F.when(value(n, c).isNull() & F.col(f"`{c}`").isNotNull(), rest(n, c)).alias("rest")) for c in met))
+                values.append(df.select(F.explode(listed).alias("p")).select("p.*"))
+        if not values:
+            continue
+        every = reduce(DataFrame.unionByName, values).where("value is not null or rest is not null").distinct()
+        hit_by = reduce(DataFrame.unionByName, (tables[n].select(F.lit(n).alias("key_table"), F.col(f"`{keys[n]}`").cast("bigint" if whole else "string").alias("value")) for n in to))
+        totals = every.groupBy("table_name", "column_name").agg(F.count("*").alias("n"))
+        hits = every.join(hit_by, "value").where("table_name != key_table").groupBy("table_name", "column_name", "key_table").agg(F.count("*").alias("hit"))
+        share = hits.join(totals, ["table_name", "column_name"]).withColumn("overlap", F.col("hit") / F.col("n"))
+        out = out.unionByName(share.where(F.col("overlap") >= OVERLAP).select("table_name", "column_name", "key_table", "overlap"))
+    return out
 
 
 def induce_relations(overlaps: Iterable, *, name_alike: float = 0.0) -> list[Candidate]:

@@ -41,8 +41,9 @@ def profile(df: DataFrame) -> DataFrame:
     """One row for each of the first MOST_COLUMNS columns: column_name, kind, n_rows, non_null, distinct_values, number_share, date_share (of text,
     among non-null), min, max (of numbers and times, as text) and top, the TOP most frequent values of text with their counts.
 
-    Two passes: one aggregate without distinct for the counts, shares and ranges; and one over (column, value) pairs, summed
-    before the shuffle, for distinct counts and top values. Nothing is gathered but TOP values a column.
+    One aggregate without distinct for counts, shares and ranges; distinct values of other columns are counted in their own types, each column by
+    a narrow aggregate that reads it alone; only texts are listed as (column, value) pairs, summed before the shuffle, for their top values. Nothing is
+    gathered but TOP values a column.
     """
     columns = df.dtypes[:MOST_COLUMNS]
     x = {c: F.col(f"`{c}`") for c, _ in columns}
@@ -63,11 +64,15 @@ def profile(df: DataFrame) -> DataFrame:
         rows.append((c, kind, got["n"], n, share("f"), share("d"), got[f"lo{i}"] if ranged else None, got[f"hi{i}"] if ranged else None))
     spark = df.sparkSession
     base = spark.createDataFrame(rows, "column_name string, kind string, n_rows long, non_null long, number_share double, date_share double, min string, max string")
-    plain = [F.struct(F.lit(c).alias("column_name"), (x[c] if not t.startswith(("array", "struct", "map", "binary")) else F.to_json(F.struct(x[c]))).cast("string").alias("value")) for c, t in columns]
-    pairs = df.select(F.explode(F.array(*plain)).alias("p")).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    distinct = pairs.groupBy("column_name").agg(F.count("*").alias("distinct_values"))
     texts = [c for c, t in columns if column_kind(t) == _TEXT]
-    ranked = pairs.where(F.col("column_name").isin(texts)).withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))).where(F.col("r") <= TOP)
+    listed = F.array(*(F.struct(F.lit(c).alias("column_name"), x[c].cast("string").alias("value")) for c in texts)) if texts else F.array().cast("array<struct<column_name:string,value:string>>")
+    pairs = df.select(F.explode(listed).alias("p")).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    distinct = pairs.groupBy("column_name").agg(F.count("*").alias("distinct_values"))
+    for c, t in columns:
+        if column_kind(t) != _TEXT:
+            value = F.to_json(F.struct(x[c])) if t.startswith(("array", "struct", "map")) else x[c]
+            distinct = distinct.unionByName(df.where(x[c].isNotNull()).agg(F.lit(c).alias("column_name"), F.countDistinct(value).alias("distinct_values")))
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))).where(F.col("r") <= TOP)
     top = ranked.groupBy("column_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "value", "n"))), lambda v: F.struct(v["value"].alias("value"), v["n"].alias("n"))).alias("top"))
     out = base.join(distinct, "column_name", "left").join(top, "column_name", "left")
     return out.select("column_name", "kind", "n_rows", "non_null", F.coalesce("distinct_values", F.lit(0)).cast("long").alias("distinct_values"), "number_share", "date_share", "min", "max", "top")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..steps import Steps
+
+
+#: Rows of one key that an as-of join goes through in one task at most.
+ASOF_ROWS = 4_000_000
+
 
 def order_by(df: DataFrame, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """Sort by (name, descending); nulls are last either way."""
@@ -37,8 +42,9 @@ def asof_join(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[
     """Each left row with the right row of equal keys that is nearest at or before it (op ``>=``, ``>``) or after it (``<=``, ``<``).
 
     The result has a struct column for each side, named a and b. Both sides are put in one order and the last right row
-    is carried along by a window, so the cost is one sort on keys and time; no pairs are made. Without an equal key
-    all rows are one group, as they are in any engine.
+    is carried along by a window; no pairs are made. Where a key has more than ASOF_ROWS rows, or without an equal key, the order is cut into ranges: the
+    window runs within each, and the last right row of each range, one row a key, is carried over to those that follow. Of right
+    rows with one time the greatest, column by column, is taken.
     """
     forward, strict = op in (">=", ">"), op in (">", "<")
     key_names = [f"loom_k{i}" for i in range(len(keys))]
@@ -48,13 +54,26 @@ def asof_join(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[
     # At equal times a right row comes before the left rows that may see it.
     rank = F.when(F.col(a).isNull(), 1 if strict else 0).otherwise(0 if strict else 1)
     time = F.col("loom_t").asc_nulls_last() if forward else F.col("loom_t").desc_nulls_last()
-    tie = F.to_json(F.col(b))
-    w = Window.partitionBy(*key_names).orderBy(time, rank, tie).rowsBetween(Window.unboundedPreceding, 0)
-    both = lefts.unionByName(rights).withColumn("loom_b", F.last(b, ignorenulls=True).over(w)).where(F.col(a).isNotNull())
-    seen = F.col("loom_t").isNotNull()
+    tie = F.to_json(F.col(b)) if "map<" in right.select(F.struct(*right.columns)).dtypes[0][1] else F.col(b)
+    both = lefts.unionByName(rights)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    most = both.groupBy(*key_names).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if keys else None
+    if keys and (most or 0) <= ASOF_ROWS:
+        seen = both.withColumn("loom_b", F.last(b, ignorenulls=True).over(Window.partitionBy(*key_names).orderBy(time, rank, tie).rowsBetween(*upto)))
+    else:
+        ranges = both.repartitionByRange(*(F.col(n).asc() for n in key_names), time, rank)
+        within = Window.partitionBy("loom_range", *key_names).orderBy(time, rank, tie)
+        ranged = Steps(left.sparkSession).write(ranges.withColumn("loom_range", F.spark_partition_id()))
+        seen = ranged.withColumn("loom_b", F.last(b, ignorenulls=True).over(within.rowsBetween(*upto)))
+        ends = ranged.withColumn("loom_end", F.last(b, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        ends = ends.groupBy("loom_range", *key_names).agg(F.first("loom_end").alias("loom_end"))
+        before = Window.partitionBy(*key_names).orderBy("loom_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("loom_before", F.last("loom_end", ignorenulls=True).over(before)).drop("loom_end")
+        seen = seen.join(carried, ["loom_range", *key_names], "left").withColumn("loom_b", F.coalesce("loom_b", "loom_before"))
+    timed = F.col("loom_t").isNotNull()
     for n in key_names:
-        seen = seen & F.col(n).isNotNull()
-    out = both.select(a, F.when(seen, F.col("loom_b")).alias(b))
+        timed = timed & F.col(n).isNotNull()
+    out = seen.where(F.col(a).isNotNull()).select(a, F.when(timed, F.col("loom_b")).alias(b))
     return out if how == "left" else out.where(F.col(b).isNotNull())
 
 
@@ -62,17 +81,13 @@ def positional_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFr
     """Rows side by side by their place in each input, the longer side with nulls; a struct column for each side.
 
     Places are kept as they come: each partition's rows are numbered from the count of those before, so no input
-    goes through one task. An input is evaluated once, into the checkpoint folder, as a second evaluation may deal its rows otherwise.
+    goes through one task. An input is evaluated once, into a table, as a second evaluation may deal its rows otherwise.
     """
-    context = left.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = left.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspark-places-"))
+    steps = Steps(left.sparkSession)
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        part = df.select(F.struct(*df.columns).alias(name)).withColumn("loom_id", F.monotonically_increasing_id()).checkpoint()
+        part = df.select(F.struct(*df.columns).alias(name)).withColumn("loom_id", F.monotonically_increasing_id())
+        part = steps.write(part)
         part = part.withColumn("loom_p", F.shiftright("loom_id", 33))
         counts = part.groupBy("loom_p").agg(F.count("*").alias("loom_n"))
         before = counts.withColumn("loom_before", F.coalesce(F.sum("loom_n").over(Window.orderBy("loom_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -93,20 +108,23 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: str, aggregate:
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """One row a column: column_name, column_type, non_null, null_share, distinct_values, min, max, mean (of numbers)."""
+    """One row a column: column_name, column_type, non_null, null_share, distinct_values, min, max, mean (of numbers).
+
+    One aggregate for all columns, unpivoted; only distinct counts are narrow aggregates, each of its column alone, so that they don't multiply the rows of one another.
+    """
     kinds = dict(df.dtypes)
     numeric = {c for c, t in kinds.items() if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
-    # One narrow aggregate for each column, so that distinct counts don't multiply the rows of one another.
-    parts = []
+    columns, distinct = [], []
     for c in df.columns:
         x = F.col(f"`{c}`")
         plain = not kinds[c].startswith(("array", "map", "struct", "binary"))
         low, high = ((f(x).cast("string") if plain else F.lit(None).cast("string")) for f in (F.min, F.max))
-        counted = F.countDistinct(x if not kinds[c].startswith("map") else F.to_json(x))
         mean = F.avg(x.cast("double")) if c in numeric else F.lit(None).cast("double")
         share = F.when(F.count("*") > 0, 1 - F.count(x) / F.count("*"))
-        parts.append(df.agg(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.count(x).alias("non_null"), share.alias("null_share"), counted.alias("distinct_values"), low.alias("min"), high.alias("max"), mean.alias("mean")))
-    return functools.reduce(DataFrame.unionByName, parts)
+        columns.append(F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.count(x).alias("non_null"), share.alias("null_share"), low.alias("min"), high.alias("max"), mean.alias("mean")))
+        distinct.append(df.agg(F.lit(c).alias("column_name"), F.countDistinct(x if not kinds[c].startswith("map") else F.to_json(x)).alias("distinct_values")))
+    rows = df.agg(F.array(*columns).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    return rows.join(functools.reduce(DataFrame.unionByName, distinct), "column_name").select("column_name", "column_type", "non_null", "null_share", "distinct_values", "min", "max", "mean")
 
 
 def capped(df: DataFrame, *, rows: int, count_on: int = 100_000) -> tuple[list[Row], int, bool]:

@@ -66,7 +66,8 @@ def caption_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.merged_captions(spark.createDataFrame(cues, "file int, start double, end double, text string"), "file")
 
 
-@frame("label_keys", "SELECT 'doc_id' AS documents, 'event_id' AS events, 'conv_id' AS refused")
+@frame("label_keys", """SELECT (SELECT CASE WHEN count(DISTINCT doc_id) = count(*) THEN 'doc_id' END FROM documents) AS documents, (SELECT CASE WHEN count(DISTINCT event_id) = count(*) THEN 'event_id' END FROM events) AS events,
+(SELECT CASE WHEN count(DISTINCT conv_id) < count(*) THEN 'conv_id' END FROM conversations) AS refused""")
 def label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     try:
         refused = labelling.pick_key(table(spark, sf_dir, "conversations").select("conv_id"))

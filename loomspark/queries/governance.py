@@ -70,7 +70,12 @@ def statement_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in {one, two}], "shape string")
 
 
-@frame("result_digest", "SELECT true AS same_in_any_order, true AS repeats_count, true AS names_count")
+@frame(
+    "result_digest",
+    """WITH b AS (SELECT sum(hash(n)) AS h FROM nation n)
+SELECT (SELECT h FROM b) = (SELECT sum(hash(n)) FROM (SELECT * FROM nation ORDER BY n_name DESC) n) AS same_in_any_order, (SELECT h FROM b) != (SELECT sum(hash(n)) FROM (SELECT * FROM nation UNION ALL (SELECT * FROM nation LIMIT 1)) n) AS repeats_count,
+(SELECT string_agg(column_name, ',') FROM (DESCRIBE nation)) != (SELECT string_agg(column_name, ',') FROM (DESCRIBE SELECT * RENAME (n_name AS name) FROM nation)) AS names_count""",
+)
 def result_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation")
     base = gate.result_digest(df)
@@ -78,7 +83,11 @@ def result_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "same_in_any_order boolean, repeats_count boolean, names_count boolean")
 
 
-@frame("saved_runs", "SELECT * FROM (VALUES (1, true, NULL), (2, true, false), (3, true, true)) t(run, ok, changed)")
+@frame(
+    "saved_runs",
+    """WITH a AS (SELECT r_name, count(*) AS n FROM region GROUP BY 1), c AS (SELECT r_name, count(*) AS n FROM (SELECT * FROM region UNION ALL (SELECT * FROM region LIMIT 1)) x GROUP BY 1)
+SELECT 1 AS run, true AS ok, NULL::BOOLEAN AS changed UNION ALL SELECT 2, true, EXISTS (SELECT * FROM a EXCEPT SELECT * FROM a) UNION ALL SELECT 3, true, EXISTS (SELECT * FROM c EXCEPT SELECT * FROM a)""",
+)
 def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.createDataFrame([], saved.RUNS_SCHEMA)
     question = saved.SavedQuestion("regions", ["SELECT r_name, count(*) AS n FROM loom_saved GROUP BY r_name"])

@@ -71,20 +71,35 @@ def induce_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.key_overlaps({t: table(spark, sf_dir, t) for t in STAR}, KEYS)
 
 
-@frame("induce_types", "SELECT * FROM (VALUES ('o_orderkey', 'number'), ('o_custkey', 'number'), ('o_orderstatus', 'enum'), ('o_totalprice', 'number'), ('o_orderdate', 'date'), ('o_orderpriority', 'enum')) t(column_name, kind)")
+def _kinds_sql(name: str, columns: str) -> str:
+    """(column_name, kind) of a table's columns, from their types and values."""
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, CASE WHEN any_value(typeof({c})) IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'number' WHEN any_value(typeof({c})) IN ('DATE', 'TIMESTAMP') OR count(*) FILTER (WHERE TRY_CAST({c} AS DATE) IS NOT NULL) >= 0.9 * count({c}) THEN 'date'
+    WHEN count(*) >= 20 AND count(DISTINCT {c}) BETWEEN 2 AND 12 THEN 'enum' ELSE 'string' END AS kind FROM {name}"""
+        for c in columns.split()
+    )
+
+
+@frame("induce_types", _kinds_sql("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"))
 def induce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = profile(table(spark, sf_dir, "orders")).collect()
     return spark.createDataFrame([(r["column_name"], ontology.property_kind(r)) for r in rows], "column_name string, kind string")
 
 
-@frame("induce_classes", "SELECT * FROM (VALUES ('class', 'nation', '', '', 1.0), ('property', 'n_nationkey', 'nation', 'number', 1.0), ('property', 'n_name', 'nation', 'string', 0.9), ('property', 'n_regionkey', 'nation', 'number', 0.9), ('class', 'region', '', '', 1.0), ('property', 'r_regionkey', 'region', 'number', 1.0), ('property', 'r_name', 'region', 'string', 0.9)) t(kind, name, owner, detail, confidence)")
+def _classes_sql(tables: dict[str, str]) -> str:
+    parts = [f"SELECT 'class' AS kind, '{t}' AS name, '' AS owner, '' AS detail, 1.0::DOUBLE AS confidence" for t in tables]
+    parts += [f"SELECT 'property', column_name, '{t}', kind, CASE WHEN column_name = '{KEYS[t]}' THEN 1.0 WHEN kind = 'enum' THEN 0.8 ELSE 0.9 END FROM ({_kinds_sql(t, f'{KEYS[t]} {columns}')}) k" for t, columns in tables.items()]
+    return " UNION ALL ".join(parts)
+
+
+@frame("induce_classes", _classes_sql({t: _COLUMNS[t] for t in ("nation", "region")}))
 def induce_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = {t: profile(table(spark, sf_dir, t)).collect() for t in ("nation", "region")}
     got = ontology.induce_classes(profiles, KEYS)
     return spark.createDataFrame([(c.kind, c.name, c.owner, c.detail, c.confidence) for c in got], "kind string, name string, owner string, detail string, confidence double")
 
 
-@frame("induce_relations", "SELECT * FROM (VALUES ('has_o_custkey', 'order', 'customer')) t(name, domain, range)")
+@frame("induce_relations", f"SELECT 'has_' || column_name AS name, 'order' AS domain, key_table AS range FROM ({_overlap_sql()}) x WHERE table_name = 'orders' AND column_name = 'o_custkey' AND key_table = 'customer'")
 def induce_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ontology.key_overlaps({t: table(spark, sf_dir, t) for t in ("customer", "orders")}, KEYS).where("table_name = 'orders' and column_name = 'o_custkey'").collect()
     return spark.createDataFrame([(c.name, c.owner, c.detail) for c in ontology.induce_relations(found)], "name string, domain string, range string")
@@ -152,7 +167,7 @@ def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.status(nodes, edges)
 
 
-@frame("graph_fingerprint", "SELECT true AS stable, true AS sees_change")
+@frame("graph_fingerprint", "SELECT (SELECT sum(hash(n)) FROM nation n) = (SELECT sum(hash(n)) FROM (SELECT * FROM nation ORDER BY n_name) n) AS stable, (SELECT sum(hash(n)) FROM nation n) != (SELECT sum(hash(n)) FROM nation n WHERE n_nationkey > 0) AS sees_change")
 def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation")
     one, two, three = (graph.fingerprint(x, "nation").first() for x in (df, df.repartition(4).orderBy("n_name"), df.where("n_nationkey > 0")))

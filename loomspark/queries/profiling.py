@@ -52,13 +52,13 @@ def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _warnings_sql() -> str:
-    """The warnings over all of orders, from the shares of each made column."""
-    odd = """(SELECT o_orderkey // 2 AS order_id, CAST(o_totalprice AS VARCHAR) AS amount, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS placed,
-      CAST(NULL AS VARCHAR) AS empty, CASE WHEN (o_orderkey // 2) % 4 = 0 AND o_orderkey % 3 = 0 THEN o_orderstatus END AS maybe FROM orders)"""
-    parts = [f"SELECT 'order_id' AS column_name, 'repeated key' AS what, NULL AS fix FROM {odd} t HAVING count(DISTINCT order_id) < count(order_id)"]
-    for c in ("order_id", "amount", "placed", "empty", "maybe"):
+    """The warnings over all of lineitem, from the shares of each made column."""
+    odd = """(SELECT l_partkey AS part_id, CAST(l_quantity AS VARCHAR) AS weight, CASE WHEN l_orderkey = (SELECT max(l_orderkey) FROM lineitem) THEN 'on hold' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS sent,
+      CAST(NULL AS VARCHAR) AS discarded, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS returned FROM lineitem)"""
+    parts = [f"SELECT 'part_id' AS column_name, 'repeated key' AS what, NULL AS fix FROM {odd} t HAVING count(DISTINCT part_id) < count(part_id)"]
+    for c in ("part_id", "weight", "sent", "discarded", "returned"):
         parts.append(f"SELECT '{c}', CASE WHEN count({c}) = 0 THEN 'all null' ELSE 'half or more null' END, NULL FROM {odd} t HAVING (count(*) - count({c})) * 2 >= count(*)")
-    for c in ("amount", "placed", "maybe"):
+    for c in ("weight", "sent", "returned"):
         number, date = (f"count(TRY_CAST({c} AS {k})) / nullif(count({c}), 0)" for k in ("DOUBLE", "DATE"))
         parts.append(f"SELECT '{c}', 'numbers as text', CASE WHEN {number} = 1 THEN 'DOUBLE' END FROM {odd} t HAVING {number} >= 0.9")
         parts.append(f"SELECT '{c}', 'dates as text', CASE WHEN {date} = 1 THEN 'DATE' END FROM {odd} t HAVING {number} < 0.9 AND {date} >= 0.9")
@@ -67,13 +67,12 @@ def _warnings_sql() -> str:
 
 @frame("profile_warnings", _warnings_sql())
 def profile_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
+    rows = table(spark, sf_dir, "lineitem")
     odd = rows.select(
-        F.floor(F.col("o_orderkey") / 2).alias("order_id"), F.col("o_totalprice").cast("string").alias("amount"),
-        F.when(F.col("o_orderkey") == rows.agg(F.min("o_orderkey")).first()[0], "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("placed"),
-        F.lit(None).cast("string").alias("empty"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("maybe"),
+        F.col("l_partkey").alias("part_id"), F.col("l_quantity").cast("string").alias("weight"),
+        F.when(F.col("l_orderkey") == rows.agg(F.max("l_orderkey")).first()[0], "on hold").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("sent"),
+        F.lit(None).cast("string").alias("discarded"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("returned"),
     )
-    odd = odd.withColumn("maybe", F.when(F.col("order_id") % 4 == 0, F.col("maybe")))
     got = p.warnings(p.profile(odd).collect())
     return spark.createDataFrame([(w.column, w.what, w.fix) for w in got], "column_name string, what string, fix string")
 
@@ -105,7 +104,11 @@ def strict_retype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.retype(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), p.parse_retypes("user_id=VARCHAR, ts=DATE"))
 
 
-@frame("text_candidates", "SELECT * FROM (VALUES ('text'), ('lang'), ('source')) t(column_name)")
+_DOCUMENTS = {"doc_id": "numeric", "text": "text", "lang": "text", "source": "text", "n_chars": "numeric"}
+
+
+@frame("text_candidates", f"""SELECT column_name FROM ({_profile_sql("documents", _DOCUMENTS)}) p WHERE kind = 'text' AND non_null * 2 >= n_rows AND distinct_values >= 2 AND coalesce(number_share, 0) < 0.9 AND coalesce(date_share, 0) < 0.9
+  AND distinct_values < n_rows AND column_name NOT LIKE '%id'""")
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p.profile(table(spark, sf_dir, "documents")).collect()
     return spark.createDataFrame([(c,) for c in p.text_candidates(rows)], "column_name string")

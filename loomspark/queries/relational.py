@@ -205,7 +205,7 @@ ORACLE_SQL["even_sample"] = (
 )
 
 
-@frame("seeded_sample", "SELECT 25 AS n")
+@frame("seeded_sample", "SELECT CAST(least(25, count(*)) AS INTEGER) AS n FROM documents")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.seeded_sample(table(spark, sf_dir, "documents"), "doc_id", 25, seed=7).agg(F.count("*").cast("int").alias("n"))
 
@@ -273,7 +273,7 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Catalog
-@frame("catalog_columns", "SELECT column_name, data_type FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) t(column_name, data_type)")
+@frame("catalog_columns", "SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type FROM (DESCRIBE orders)")
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(table(spark, sf_dir, "orders").dtypes, "column_name string, data_type string")
 

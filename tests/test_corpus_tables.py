@@ -112,3 +112,24 @@ def test_types_agree_as_one_by_one(spark):
     sets = [list(c) for n in (1, 2, 3) for c in itertools.combinations(kinds, n)]
     df = spark.createDataFrame([(s,) for s in sets], "k array<string>").select("k", embedded._agreed(F.col("k")).alias("a"))
     assert all(r.a == agreed(set(r.k)) for r in df.collect())
+
+
+@pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_asof_join_in_ranges(spark, monkeypatch, op, keyed):
+    """The same rows as by one window a key, and as by looking at all pairs."""
+    from loomspark.operators import relational
+
+    r = random.Random(7)
+    left = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, *range(40)])) for i in range(300)]
+    right = [(1000 + i, r.choice(["a", "a", "c", None]), r.choice([None, *range(0, 40, 3)])) for i in range(60)]
+    lefts, rights = spark.createDataFrame(left, "i long, k string, t int").repartition(3), spark.createDataFrame(right, "j long, k string, t int").repartition(2)
+    fits = {">=": lambda x, y: y <= x, ">": lambda x, y: y < x, "<=": lambda x, y: y >= x, "<": lambda x, y: y > x}[op]
+    want = {}
+    for i, k, t in left:
+        met = [(abs(t - u), -j) for j, m, u in right if t is not None and u is not None and fits(t, u) and (not keyed or (k is not None and k == m))]
+        want[i] = -min(met)[1] if met else None
+    for rows in (10, 4_000_000):
+        monkeypatch.setattr(relational, "ASOF_ROWS", rows)
+        got = relational.asof_join(lefts, rights, "a", "b", [("k", "k")] if keyed else [], "t", "t", op, "left")
+        assert {x.a.i: x.b and x.b.j for x in got.collect()} == want
