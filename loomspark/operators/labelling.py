@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import replace_table
 from .profile import is_id_name
 
 MOST_QUESTIONS, OPTIONS, KEY_LENGTH = 64, range(2, 27), 64
@@ -94,3 +95,8 @@ def pending(df: DataFrame, key: str, labels: DataFrame) -> DataFrame:
 def incremental(df: DataFrame, key: str, text: list[str], questions: list[Question], model: Callable[[list[str]], list[dict]], labels: DataFrame) -> DataFrame:
     """The labels with those of the rows that had none; labels that are there stay."""
     return labels.unionByName(label(pending(df, key, labels), key, text, questions, model))
+
+
+def relabel(df: DataFrame, key: str, text: list[str], questions: list[Question], model: Callable[[list[str]], list[dict]], path: str) -> None:
+    """Label every row again into a table beside the one at path, and swap it in when it is whole. A run that fails leaves the old labels, and nothing of its own."""
+    replace_table(label(df, key, text, questions, model), path)

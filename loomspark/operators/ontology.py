@@ -331,6 +331,47 @@ def drift(extracted: DataFrame, o: Ontology) -> DataFrame:
     return extracted.join(F.broadcast(there), ["kind", "name"], "left_anti").groupBy(F.col("kind").alias("what"), "name").agg(F.count("*").alias("n"))
 
 
+@dataclass
+class Validated:
+    """nodes: passage_id, class_id, label, normalized_label, properties; edges: passage_id, relation_id, source, target (normalised labels), properties; drift: what, name, n;
+    invalid: passage_id, n of edges without listed ends or that don't fit them."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    drift: DataFrame
+    invalid: DataFrame
+
+
+def validate_extraction(nodes: DataFrame, edges: DataFrame, o: Ontology) -> Validated:
+    """What extracted passages hold that the ontology has a place for.
+
+    nodes: passage_id, place (in the passage), class_id, label, properties; edges: passage_id, relation_id, source, target, properties. Classes and relations are taken in
+    lower case without blanks at the ends. Of nodes of one passage with one normalised label the first counts; blank labels don't. Unknown classes and relations are drift, and so never
+    reach the rest; an edge must join two kept nodes of its passage whose classes fit the relation. Passages are joined by id and label, the
+    ontology's kinds of edges are a small table, so a passage or label with very many edges is no group of its own.
+    """
+    spark, plain = nodes.sparkSession, lambda c: F.lower(F.trim(c))
+    named = nodes.where(F.col("label").isNotNull() & (F.trim("label") != "")).withColumn("class_id", plain("class_id"))
+    known = F.col("class_id").isin(ROOT, *o.classes)
+    normal = F.lower(F.trim(F.regexp_replace(F.col("label"), r"(?U)\s+", " ")))
+    kept = named.where(known).withColumn("normalized_label", normal).groupBy("passage_id", "normalized_label").agg(F.min_by(F.struct("class_id", F.trim("label").alias("label"), "properties"), "place").alias("x"))
+    kept = kept.select("passage_id", "x.class_id", "x.label", "normalized_label", "x.properties")
+    related = edges.withColumn("relation_id", plain("relation_id"))
+    fits = F.col("relation_id").isin(MENTIONS, *o.relations)
+    ends = lambda side: kept.select("passage_id", F.col("normalized_label").alias(side), F.col("class_id").alias(f"{side}_class"))
+    joined = related.where(fits)
+    for side in ("source", "target"):
+        joined = joined.withColumn(side, F.lower(F.trim(F.regexp_replace(F.col(side), r"(?U)\s+", " ")))).join(ends(side), ["passage_id", side], "left")
+    # Kinds of edges that passages speak of: as many as the ontology has relations and pairs of classes at most.
+    met = joined.where("source_class is not null and target_class is not null").select("relation_id", "source_class", "target_class").distinct().collect()
+    allowed = spark.createDataFrame([tuple(k) for k in met if o.edge_fits(*k)], "relation_id string, source_class string, target_class string")
+    judged = joined.join(F.broadcast(allowed.withColumn("ok", F.lit(True))), ["relation_id", "source_class", "target_class"], "left")
+    good = judged.where("ok").select("passage_id", "relation_id", "source", "target", "properties")
+    invalid = judged.where("ok is null").groupBy("passage_id").agg(F.count("*").alias("n"))
+    missed = named.where(~known).select(F.lit("class").alias("what"), F.col("class_id").alias("name")).unionByName(related.where(~fits).select(F.lit("relation").alias("what"), F.col("relation_id").alias("name")))
+    return Validated(kept, good, missed.groupBy("what", "name").agg(F.count("*").alias("n")), invalid)
+
+
 def counted_by(pairs: Iterable[tuple[str, str]]) -> dict[str, Counter]:
     out: dict[str, Counter] = defaultdict(Counter)
     for a, b in pairs:

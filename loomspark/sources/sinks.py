@@ -88,12 +88,16 @@ def write_folder(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Swap a stored table for df, which may read the old one: it is written beside it and renamed."""
+    """Swap a stored table for df, which may read the old one: it is written beside it and renamed. If writing fails, nothing of it stays and the old table does."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     staged, old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{uuid.uuid4().hex[:8]}", f"{path}.old", path))
-    df.write.parquet(staged.toString())
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(staged.toString())
+    except Exception:
+        fs.delete(staged, True)
+        raise
     fs.delete(old, True)
     if fs.exists(new):
         fs.rename(new, old)

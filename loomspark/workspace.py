@@ -335,23 +335,25 @@ def index_messages(messages: DataFrame, path: str) -> None:
 def message_search(messages: DataFrame, text: str, *, index: str | None = None, visible: DataFrame | None = None, limit: int = 50, around: int = 60) -> DataFrame:
     """Questions and answers that hold a text in any case, newest first: session_id, seq, role, created_at and snippet, the text around its first place.
 
-    messages: session_id, seq, role, content, created_at. index: postings of ``index_messages``, by which only messages that may hold the text are read.
+    messages: session_id, seq, role, content, created_at (or at); without roles all messages are searched, and without seq there is no index. index: postings of ``index_messages``, by which only messages that may hold the text are read.
     visible: the session_ids that may be found. Blanks around the text don't count; a blank text finds nothing; null contents hold nothing.
     """
     text = text.strip()
-    said = messages.where(F.col("role").isin("user", "assistant"))
+    said = messages.where(F.col("role").isin("user", "assistant")) if "role" in messages.columns else messages
+    when = "created_at" if "created_at" in messages.columns else "at"
     if visible is not None:
         said = said.join(visible.select("session_id").distinct(), "session_id", "left_semi")
-    said = said.withColumn("loom_id", F.struct("session_id", "seq"))
     if not text:
         said = said.limit(0)
     elif index is not None:
-        said = grams.holding(said, text, index, key="loom_id", text="content")
+        said = grams.holding(said.withColumn("loom_id", F.struct("session_id", "seq")), text, index, key="loom_id", text="content")
     wanted = F.lower(F.lit(text))
     at = F.instr(F.lower("content"), wanted)
     snippet = F.substring("content", F.greatest(F.lit(1), at - around), F.lit(len(text) + 2 * around))
     found = said.where(at > 0).withColumn("snippet", F.trim(F.regexp_replace(snippet, r"(?U)\s+", " ")))
-    return found.orderBy(F.desc("created_at"), F.desc("seq"), "session_id").limit(limit).select("session_id", "seq", "role", "created_at", "snippet")
+    places = [c for c in ("seq", "session_id") if c in messages.columns]
+    order = [F.desc(when), *(F.desc(c) if c == "seq" else F.col(c) for c in places)]
+    return found.orderBy(*order).limit(limit).select(*(c for c in ("session_id", "seq", "role", when) if c in messages.columns), "snippet")
 
 
 def newest(documents: DataFrame) -> DataFrame:

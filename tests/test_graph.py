@@ -134,3 +134,56 @@ def test_embeddings_stand_in_for_labels(spark, built):
     assert [r.label for r in graph.suggestions(nodes, "acm", most=2, **ask).collect()] == ["Acme", "PO1"]
     assert [r.label for r in graph.suggestions(nodes, "zzz", cls={"vendor"}, **ask).collect()] == ["Acme"] and graph.suggestions(nodes, "", **ask).isEmpty()
     assert graph.lookup(nodes, "x", vectors=vectors, vector_of=[0.0, 0.0]).isEmpty() and graph.lookup(nodes, "x", vectors=vectors, vector_of=[1.0]).isEmpty()
+
+
+def test_extraction_is_validated(spark):
+    """Against the rules one passage at a time."""
+    import random
+
+    o = Ontology({"a": Class("a"), "b": Class("b"), "sub": Class("sub", "a")}, {"r": Relation("r", "a", "b")})
+    r = random.Random(3)
+    nodes, edges = [], []
+    for p in range(40):
+        labels = [r.choice(["One", " one ", "TWO", "three  x", "Four", " ", None]) for _ in range(r.randint(0, 6))]
+        nodes += [(p, i, r.choice(["a", " B", "Sub ", "entity", "zz"]), t, {"k": str(i)}) for i, t in enumerate(labels)]
+        edges += [(p, r.choice(["R", "r ", "mentions", "qq"]), r.choice(["one", "two", "three x", "none"]), r.choice(["ONE", "two ", "Four"]), None) for _ in range(r.randint(0, 5))]
+    got = ontology.validate_extraction(spark.createDataFrame(nodes, "passage_id int, place int, class_id string, label string, properties map<string,string>").repartition(3), spark.createDataFrame(edges, "passage_id int, relation_id string, source string, target string, properties map<string,string>"), o)
+    kept, good, drift, invalid = {}, [], {}, {}
+    norm = lambda t: " ".join(t.split()).lower()
+    for p, _, c, t, props in nodes:
+        c = c.strip().lower()
+        if not (t or "").strip():
+            continue
+        if c not in ("a", "b", "sub", "entity"):
+            drift[("class", c)] = drift.get(("class", c), 0) + 1
+        elif (p, norm(t)) not in kept:
+            kept[(p, norm(t))] = (c, t.strip(), props)
+    for p, rel, s, t, _ in edges:
+        rel = rel.strip().lower()
+        if rel not in ("r", "mentions"):
+            drift[("relation", rel)] = drift.get(("relation", rel), 0) + 1
+            continue
+        ends = kept.get((p, norm(s))), kept.get((p, norm(t)))
+        if all(ends) and o.edge_fits(rel, ends[0][0], ends[1][0]):
+            good.append((p, rel, norm(s), norm(t)))
+        else:
+            invalid[p] = invalid.get(p, 0) + 1
+    assert {(x.passage_id, x.normalized_label): (x.class_id, x.label, x.properties) for x in got.nodes.collect()} == kept
+    assert sorted((x.passage_id, x.relation_id, x.source, x.target) for x in got.edges.collect()) == sorted(good) and good
+    assert {(x.what, x.name): x.n for x in got.drift.collect()} == drift and {x.passage_id: x.n for x in got.invalid.collect()} == invalid
+
+
+def test_relabel_swaps_whole_tables_only(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "id int, body string").repartition(3)
+    q, path = [labelling.Question("ok", "choice", ("y", "n"))], str(tmp_path / "labels")
+    answers = lambda a: lambda texts: [{"ok": a, "ok_p": 0.9, "ok_confidence": 0.8} for _ in texts]
+    labelling.relabel(df, "id", ["body"], q, answers("y"), path)
+
+    def failing(texts):
+        raise RuntimeError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        labelling.relabel(df, "id", ["body"], q, failing, path)
+    assert {r.ok for r in spark.read.parquet(path).collect()} == {"y"} and [p.name for p in tmp_path.iterdir()] == ["labels"]
+    labelling.relabel(df.where("id < 5"), "id", ["body"], q, answers("n"), path)
+    assert [(r.id, r.ok) for r in spark.read.parquet(path).orderBy("id").collect()] == [(i, "n") for i in range(5)]
