@@ -580,7 +580,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def encode_and_back(docs: DataFrame, model: str) -> DataFrame:
-    """One row per row of docs: doc_id, ids and round_trip (whether the ids decode to the text). One worker does both, so the model is held once."""
+    """One row per row of docs: doc_id, ids and round_trip (whether the ids decode to the text). One worker does both, so the model is held once.
+
+    Defined cases: as in encoding_digests; null and empty texts have no ids and make the round trip.
+    """
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,8 +32,6 @@ from .textkernels import U64, slices, word_hashes
 from .training import remainder
 
 ORDER = 5
-#: None keeps every context; a number keeps those with at least 1/CONTEXTS of the training positions.
-CONTEXTS: int | None = None
 FREQUENT = 1 << 20
 FREQUENT_GRAMS = 1 << 21
 ALPHA = 0.1
@@ -114,59 +112,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([_TEXT], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n"])
 
 
-class Ppm:
-    """The same model in memory, for small tries: a state for each context, its log10 probabilities, and its extensions to the left.
-
-    ``score`` doesn't use it; tests hold the tables against it.
-    """
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """levels[k]: (context, byte, count) of the contexts of k bytes; a context's lowest byte is the latest one."""
-        lower, base = np.full((1, 256), 1 / 256), 0
-        owners = np.zeros(0, U64)
-        self.tables, self.next = [], []
-        total = 0
-        for k, (context, symbol, count) in enumerate(levels):
-            own = np.unique(context)
-            if k:
-                parent = np.searchsorted(owners, own & U64((1 << 8 * (k - 1)) - 1))
-                step = np.full((len(owners), 256), -1, np.int32)
-                step[parent, (own >> U64(8 * (k - 1))).astype(np.int64)] = base + len(owners) + np.arange(len(own))
-                self.next.append(step)
-                base += len(owners)
-                lower = lower[parent]
-            elif not len(own):
-                own = np.zeros(1, U64)  # nothing to learn from
-            at = np.searchsorted(own, context)
-            c = np.zeros((len(own), 256), np.float32)
-            c[at, symbol] = count
-            n, q = c.sum(1, keepdims=True, dtype=np.float64), (c > 0).sum(1, keepdims=True)
-            rest = np.where(c > 0, 0, lower)
-            left = rest.sum(1, keepdims=True)
-            escape = np.where(left > 0, q, 0) if k or n.any() else np.ones((1, 1))
-            p = (c + escape * np.divide(rest, left, out=np.zeros_like(rest), where=left > 0)) / (n + escape)
-            self.tables.append(np.log10(p).astype(np.float32))
-            lower, owners = p, own
-            total += len(own)
-        self.first = np.cumsum([0, *map(len, self.tables)])
-        self.table = np.concatenate(self.tables)
-        self.tables = []
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        laid, places, first = _laid(data, offsets)
-        state = np.zeros(len(places), np.int32)
-        deep = np.arange(len(places))
-        for k, step in enumerate(self.next, 1):
-            if not step.shape[0]:
-                break
-            longer = step[state[deep] - self.first[k - 1], laid[places[deep] - k]]
-            ok = longer >= 0
-            deep = deep[ok]
-            state[deep] = longer[ok]
-        return np.add.reduceat(self.table[state, laid[places]].astype(np.float64), first) if len(first) else np.zeros(0)
-
-
 def train(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """(counts of keys by kind, (key, log, times) of every gram, number of texts to learn from) of all rows of docs (text, held_out).
 
@@ -179,7 +124,6 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]
     for k in range(ORDER - 1, -1, -1):
         level = tables[0].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
         tables.insert(0, scratch.write(level, "level"))
-    total = int(tables[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     below = None
     for k, table in enumerate(tables):
         if below is None:
@@ -192,7 +136,7 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]
         x = x.withColumn("context", F.shiftright("key", 8)).select(
             "*", F.sum("n").over(context).alias("m"), F.sum(seen.cast("int")).over(context).alias("q"), F.sum(F.when(seen, F.col("n_below")).otherwise(0)).over(context).alias("excluded")
         )
-        kept = F.col("m") > 0 if CONTEXTS is None else (F.col("m") > 0) & (F.col("m") * CONTEXTS >= total)
+        kept = F.col("m") > 0
         x = x.withColumn("escape", F.when(F.col("q") < 256, F.col("q")).otherwise(0)).withColumn("whole", F.col("m") + F.col("escape"))
         escaped = F.log10(F.col("escape") / F.col("whole")) + F.log10(F.col("whole_below") / (F.col("whole_below") - F.col("excluded"))) + F.col("log_below")
         log = F.when(kept & seen, F.log10(F.col("n") / F.col("whole"))).when(kept, escaped).otherwise(F.col("log_below"))
