@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import buckets_of
 from .similarity import EDGE
 from .strings import jaro_winkler
 
@@ -46,7 +47,7 @@ def _write(postings: DataFrame, path: str) -> None:
 
 def _asked(spark: SparkSession, grams: Sequence[str]) -> Column:
     """The condition on postings of some grams."""
-    places = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+    places = buckets_of(spark, list(grams), BUCKETS)
     return F.col("bucket").isin(places) & F.col("gram").isin(list(grams))
 
 

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import normalized_label
-from ..steps import Steps
+from ..steps import Steps, buckets_of
 from .grams import SUGGEST, candidates, scored
 from .ontology import MENTIONS, Mapping, Ontology
 from .strings import jaro_winkler_udf
 from .vectors import cosine
 
 MOST_NODES, MOST_HOPS, MOST_PATH = 200, 3, 6
+#: Folders of the adjacency.
+ADJACENT = 64
 PROPOSE, AUTO, MOST_PROPOSALS = 0.08, 0.02, 5
 #: Cosine distances within which a node's embedding stands for a text, and is worth suggesting.
 ENTRY_DISTANCE, SUGGEST_DISTANCE = 0.25, 0.5
@@ -167,38 +169,61 @@ def indexed_suggestions(spark: SparkSession, index: str, text: str, *, most: int
     return found.where(like).orderBy(F.desc("similarity"), F.length("label"), "label").limit(most)
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, start: str | Sequence[str], *, hops: int = 2, most: int = MOST_NODES, relations: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
+def _ways(edges: DataFrame) -> DataFrame:
+    """Each edge from either end: here, there, relation_id, id, src, dst."""
+    way = lambda here, there: edges.select(F.col(here).alias("here"), F.col(there).alias("there"), "relation_id", "id", "src", "dst")
+    return way("src", "dst").unionByName(way("dst", "src"))
+
+
+def write_adjacency(edges: DataFrame, path: str) -> None:
+    """Write edges from either end, in ADJACENT folders by hash of the node they start from and sorted by it, so that a hop reads row groups of its nodes only. A bucket
+    with a hot node is dealt over several files."""
+    dealt = _ways(edges).withColumn("bucket", F.pmod(F.xxhash64("here"), F.lit(ADJACENT)).cast("int"))
+    dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "here").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _from(edges: DataFrame, adjacency: str | None, frontier: Sequence[str]) -> DataFrame:
+    """The ways that start from nodes."""
+    if adjacency is None:
+        return _ways(edges).where(F.col("here").isin(list(frontier)))
+    spark = edges.sparkSession
+    return spark.read.parquet(adjacency).where(F.col("bucket").isin(buckets_of(spark, list(frontier), ADJACENT)) & F.col("here").isin(list(frontier)))
+
+
+def neighborhood(nodes: DataFrame, edges: DataFrame, start: str | Sequence[str], *, hops: int = 2, most: int = MOST_NODES, relations: Sequence[str] | None = None, adjacency: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes, edges among them, whether the cap was filled) within some hops of one node or several, edges taken either way, those of some
     relations only if ``relations`` names any. 0 hops count as 1; of more roots than the cap the first ones are taken.
 
-    The frontier is a few hundred ids at most, so each hop is one filter on the edges by a short list, and only as many
+    The frontier is a few hundred ids at most, so each hop is one filter by a short list, on what ``write_adjacency`` wrote to ``adjacency`` or else on all edges, and only as many
     ids as the cap allows come back, in the order of (relation_id, id) of their edges.
     """
     roots = list(dict.fromkeys([start] if isinstance(start, str) else start))[:most]
     visited, frontier = list(roots), list(roots)
-    edges = edges.where(F.col("relation_id").isin(list(relations))) if relations else edges
+    related = F.col("relation_id").isin(list(relations)) if relations else F.lit(True)
     for _ in range(min(max(1, hops), MOST_HOPS)):
         if not frontier or len(visited) >= most:
             break
-        touching = edges.where(F.col("src").isin(frontier) | F.col("dst").isin(frontier))
-        other = touching.select("relation_id", "id", F.explode(F.array("src", "dst")).alias("node")).where(~F.col("node").isin(visited))
+        other = _from(edges, adjacency, frontier).where(related).select("relation_id", "id", F.col("there").alias("node")).where(~F.col("node").isin(visited))
         order = other.groupBy("node").agg(F.min(F.struct("relation_id", "id", "node")).alias("o")).orderBy("o").limit(most - len(visited))
         frontier = [r["node"] for r in order.collect()]
         visited += frontier
-    return nodes.where(F.col("id").isin(visited)), edges.where(F.col("src").isin(visited) & F.col("dst").isin(visited)), len(visited) >= most
+    among = edges.where(F.col("src").isin(visited) & F.col("dst").isin(visited))
+    if adjacency is not None and visited:
+        among = _from(edges, adjacency, visited).where((F.col("here") == F.col("src")) & F.col("there").isin(visited)).select("id", "relation_id", "src", "dst").distinct()
+    return nodes.where(F.col("id").isin(visited)), among.where(related), len(visited) >= most
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, *, most_hops: int = MOST_PATH, most: int = 10_000) -> list[tuple[str, str, str]] | None:
-    """The shortest chain of edges (id, from, to) between two nodes, either way, the first by (relation_id, id) of equal ones; None beyond the bounds."""
+def shortest_path(edges: DataFrame, start: str, goal: str, *, most_hops: int = MOST_PATH, most: int = 10_000, adjacency: str | None = None) -> list[tuple[str, str, str]] | None:
+    """The shortest chain of edges (id, from, to) between two nodes, either way, the first by (relation_id, id) of equal ones; None beyond the bounds.
+
+    Each hop reads the edges at its frontier, from ``adjacency`` (``write_adjacency``) if given; the nodes that have been reached, ``most`` at most, are a list on the driver.
+    """
     parents: dict[str, tuple[str, str] | None] = {start: None}
     frontier = [start]
     for _ in range(min(most_hops, MOST_PATH)):
         if goal in parents or not frontier or len(parents) >= most:
             break
-        known = edges.sparkSession.createDataFrame([(n,) for n in frontier], "here string")
-        both = edges.select("relation_id", "id", F.col("src").alias("here"), F.col("dst").alias("there")).unionByName(edges.select("relation_id", "id", F.col("dst").alias("here"), F.col("src").alias("there")))
-        seen = edges.sparkSession.createDataFrame([(n,) for n in parents], "there string")
-        step = both.join(F.broadcast(known), "here").join(F.broadcast(seen), "there", "left_anti").groupBy("there").agg(F.min(F.struct("relation_id", "id", "here")).alias("p"))
+        step = _from(edges, adjacency, frontier).where(~F.col("there").isin(list(parents))).groupBy("there").agg(F.min(F.struct("relation_id", "id", "here")).alias("p"))
         got = step.select("there", "p.id", "p.here", "p.relation_id").orderBy("relation_id", "id", "there").limit(most - len(parents) + 1).collect()
         frontier = [r["there"] for r in got]
         parents |= {r["there"]: (r["id"], r["here"]) for r in got}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, induction, ontology, standing
 from ..operators.ontology import Class, Mapping, Ontology, Property, Relation
 from ..operators.profile import profile
+from ..steps import shared_folder
 from .common import STAR, table
 
 QUERIES: dict = {}
@@ -139,7 +142,9 @@ def graph_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges, _ = build(spark, sf_dir)
     start = graph.lookup(nodes, "1", cls={"region"}).first()["id"]
-    return graph.neighborhood(nodes, edges, start, hops=1)[0].select("class_id", "label")
+    adjacency = f"{shared_folder(spark)}/loomspark-{os.getpid()}/{uuid.uuid4().hex}"
+    graph.write_adjacency(edges, adjacency)
+    return graph.neighborhood(nodes, edges, start, hops=1, adjacency=adjacency)[0].select("class_id", "label")
 
 
 @frame("graph_path", "SELECT step, relation_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey, (VALUES (0, 'has_nation'), (1, 'has_region')) t(step, relation_id) WHERE c_custkey = 1")

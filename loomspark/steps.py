@@ -13,6 +13,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+try:
+    import xxhash
+except ImportError:
+    xxhash = None
 
 _OWN: dict[str, str] = {}
 
@@ -58,3 +64,12 @@ class Steps:
         with contextlib.suppress(Exception):  # the session may have gone
             for path, _ in self.paths.values():
                 delete(self.spark, path)
+
+
+def buckets_of(spark: SparkSession, texts: list[str], count: int) -> list[int]:
+    """The buckets that ``pmod(xxhash64(text), count)`` deals texts into, without a job where the xxHash library is there."""
+    if xxhash is None:
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.pmod(F.xxhash64("t"), F.lit(count)).alias("b")).distinct().collect()
+        return sorted(r["b"] for r in rows)
+    signed = (h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64(t.encode(), seed=42).intdigest() for t in texts))
+    return sorted({h % count for h in signed})

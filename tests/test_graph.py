@@ -187,3 +187,21 @@ def test_relabel_swaps_whole_tables_only(spark, tmp_path):
     assert {r.ok for r in spark.read.parquet(path).collect()} == {"y"} and [p.name for p in tmp_path.iterdir()] == ["labels"]
     labelling.relabel(df.where("id < 5"), "id", ["body"], q, answers("n"), path)
     assert [(r.id, r.ok) for r in spark.read.parquet(path).orderBy("id").collect()] == [(i, "n") for i in range(5)]
+
+
+def test_hops_through_the_adjacency(spark, tmp_path):
+    """The same neighbourhoods and paths as over all edges, also at a hot node."""
+    import random
+
+    r = random.Random(8)
+    pairs = {(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(90)} | {("hub", f"n{i}") for i in range(40)}
+    edges = spark.createDataFrame([(f"e{i}", f"r{i % 3}", a, b) for i, (a, b) in enumerate(sorted(pairs))], "id string, relation_id string, src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(60)] + [("hub",)], "id string")
+    path = str(tmp_path / "adjacency")
+    graph.write_adjacency(edges, path)
+    for start, options in (("n1", {}), (["n1", "n2"], {"hops": 3}), ("hub", {"most": 20}), ("n3", {"relations": ["r1"]}), ("nowhere", {})):
+        seen = [graph.neighborhood(nodes, edges, start, adjacency=a, **options) for a in (None, path)]
+        (n, e, full), (m, f, also) = seen
+        assert sorted(x.id for x in n.collect()) == sorted(x.id for x in m.collect()) and sorted(map(tuple, e.select("id", "src", "dst").collect())) == sorted(map(tuple, f.select("id", "src", "dst").collect())) and full == also
+    for goal in ("n9", "n33", "hub", "nowhere"):
+        assert graph.shortest_path(edges, "n1", goal) == graph.shortest_path(edges, "n1", goal, adjacency=path)
