@@ -10,7 +10,7 @@
    on the full sets. Pairs aren't listed bucket by bucket: star rounds link each bucket to one centre, confirmed
    links merge components, and only members of different components meet again. The last round tests all
    pairs of a bucket across components, so nothing is lost whatever the centres were. Where more than OUTSIDE members
-   are outside a bucket's largest component, as in a family of texts somewhat below the limit, they meet by rare shingles instead: two
+   are outside a bucket's largest component, as in a family of texts somewhat below the limit, they meet by rare shingles if that compares fewer pairs: two
    sets of similarity s share one of the rarest |A| - s|A| + 1 shingles of each, in one order of all shingles, which is exact.
 
 With 32 bands of 5 samples a pair of similarity 0.85 shares no band with probability 7e-9, one of 0.8 with 3e-6; a pair at
@@ -40,7 +40,7 @@ SIGMAS = 4.0
 #: Star rounds before all pairs across components are tested; more rounds only save work.
 STAR_ROUNDS = 3
 STAR_CENTRES = 2
-#: Members outside the largest component of a bucket that meet all of its members pair by pair in the last round.
+#: Members outside the largest component of a bucket that meet all of its members pair by pair in the last round; more of them may meet by rare shingles.
 OUTSIDE = 64
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
@@ -191,19 +191,24 @@ def _alike(similarity: float) -> Column:
     return ones <= most_differing_bits(F.col("u_n_shingles"), F.col("v_n_shingles"), similarity)
 
 
-def _rare_pairs(scratch: Scratch, nodes: DataFrame, outside: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """(u, v) of nodes (node, comp) of different components, one of them in outside (node), that share one of their rarest shingles, so many that no pair as similar as ``least_percent`` is missed."""
+def _rare(scratch: Scratch, nodes: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """(node, s, comp, outside): the rarest shingles of nodes (node, comp, outside), so many that no pair as similar as ``least_percent`` has none in common."""
     listed = sets.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     # Shingles of one set only come first in the order and meet nothing: they are counted, not listed.
     common = listed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     of_node = Window.partitionBy("node")
     placed = listed.join(common, "s").withColumn("r", F.row_number().over(of_node.orderBy("n", "s"))).withColumn("k", F.count("*").over(of_node))
-    rare = placed.where(F.col("r") <= F.col("k") - F.ceil(F.col("size") * least_percent / F.lit(100)) + 1).select("node", "s", "size")
-    rare = scratch.write(rare.join(nodes, "node"), "rare")
-    ours = rare.join(outside, "node", "left_semi").select("s", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
-    met = ours.join(rare.select("s", F.col("node").alias("v"), F.col("comp").alias("v_comp"), F.col("size").alias("v_size")), "s")
-    sizes = 100 * F.least("u_size", "v_size") >= least_percent * F.greatest("u_size", "v_size")
-    return met.where((F.col("u_comp") != F.col("v_comp")) & sizes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rare = placed.where(F.col("r") <= F.col("k") - F.ceil(F.col("size") * least_percent / F.lit(100)) + 1).select("node", "s")
+    return scratch.write(rare.join(nodes, "node"), "rare")
+
+
+def _rare_pairs(rare: DataFrame, marks: DataFrame, least_percent: int) -> DataFrame:
+    """(u, v) of different components, one of them outside, that share a rare shingle and whose sizes and sketches may belong to a pair as similar as ``least_percent``."""
+    side = lambda rows, x: rows.select("s", F.col("node").alias(x), F.col("comp").alias(f"{x}_comp")).join(_side(marks, x), x)
+    met = side(rare.where("outside"), "u").join(side(rare, "v"), "s")
+    n, m = F.col("u_n_shingles"), F.col("v_n_shingles")
+    near = (F.col("u_comp") != F.col("v_comp")) & (100 * F.least(n, m) >= least_percent * F.greatest(n, m)) & _alike(least_percent / 100)
+    return met.where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def _links(scratch: Scratch, buckets: DataFrame, marks: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
@@ -235,20 +240,27 @@ def _links(scratch: Scratch, buckets: DataFrame, marks: DataFrame, sets: DataFra
             # Everything outside the largest component of a bucket meets every member of other components; a pair
             # is taken in the first band that it shares.
             sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+            main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("members"))
             main, rows = scratch.write(main, "main"), scratch.write(rows, "open")
             apart = rows.join(main, "key").where("comp != main")
-            rest = apart.where(F.col("outside") <= OUTSIDE).select("key", "band", F.col("node").alias("u"), F.col("comp").alias("u_comp")).join(_side(marks, "u", "bands"), "u")
+            # Crowded buckets go by rare shingles where that compares fewer pairs.
+            crowded = F.col("outside") > OUTSIDE
+            rare, by_bucket = None, main.where(crowded).agg(F.sum(F.col("outside") * F.col("members"))).first()[0]
+            if by_bucket:
+                outside = apart.where(crowded).select("node").distinct().withColumn("outside", F.lit(True))
+                nodes = rows.join(main.where(crowded).select("key"), "key", "left_semi").select("node", "comp").distinct()
+                rare = _rare(scratch, nodes.join(outside, "node", "left").withColumn("outside", F.coalesce("outside", F.lit(False))), sets, least_percent)
+                by_shingle = rare.groupBy("s").agg((F.count("*") * F.count(F.when(F.col("outside"), 1))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                rare = rare if by_shingle < by_bucket else None
+            if rare is not None:
+                apart = apart.where(~crowded)
+            rest = apart.select("key", "band", F.col("node").alias("u"), F.col("comp").alias("u_comp")).join(_side(marks, "u", "bands"), "u")
             every = rows.select("key", F.col("node").alias("v"), F.col("comp").alias("v_comp")).join(_side(marks, "v", "bands"), "v")
             first_shared = F.array_position(F.zip_with("u_bands", "v_bands", lambda a, b: a == b), True) - 1
             pairs = rest.join(every, "key").where(F.col("u_comp") != F.col("v_comp")).where(_alike(least_percent / 100)).where(first_shared == F.col("band"))
             pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            crowded = main.where(F.col("outside") > OUTSIDE).select("key")
-            if not crowded.isEmpty():
-                nodes = rows.join(crowded, "key", "left_semi").select("node", "comp").distinct()
-                outside = apart.where(F.col("outside") > OUTSIDE).select("node").distinct()
-                rare = _rare_pairs(scratch, nodes, outside, sets, least_percent)
-                pairs = pairs.unionByName(rare.join(_side(marks, "u"), "u").join(_side(marks, "v"), "v").where(_alike(least_percent / 100)).select("u", "v"))
+            if rare is not None:
+                pairs = pairs.unionByName(_rare_pairs(rare, marks, least_percent))
             pairs = pairs.distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["u", "v"], "left_anti")
