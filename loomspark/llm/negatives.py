@@ -24,6 +24,8 @@ from .scratch import Scratch
 
 #: Anchors and rows of a tile, and dimensions of a panel.
 ANCHORS, ROWS, DIMENSIONS = 256, 1024, 32
+#: Counts of shards that are broadcast.
+SENT = 1 << 16
 _LEAST = np.iinfo(np.int64).min
 _TILE = "shard long, width int, i int, j int, chunk int, anchors array<bigint>, own array<bigint>, nodes array<bigint>, ids array<bigint>, labels array<bigint>, windows array<array<bigint>>, tile binary"
 
@@ -126,10 +128,15 @@ def _panels(rows: DataFrame, own: str, other: str, name: str, *extra: str) -> Da
     return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("shard", "width", F.col("block").alias(own), other, "chunk", name)
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """Partial tiles of all anchors by all rows of the same shard and width. The blocks of a side are numbered by its count in the shard, so none is much larger than ANCHORS or ROWS."""
+def _tiles(scratch: Scratch, anchors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Partial tiles of all anchors by all rows of the same shard and width. The blocks of a side are numbered by its count in the shard, so none is much larger than ANCHORS or ROWS.
+
+    The counts are a row for each ROWS rows about; up to SENT of them are broadcast, so that rows aren't shuffled by shard, of which one may hold a third of them.
+    """
     n, m = (side.groupBy("shard", "width").agg(F.count("*").alias(c)) for side, c in ((anchors, "n"), (rows, "m")))
     blocks = n.join(m, ["shard", "width"]).select("shard", "width", F.ceil(F.col("n") / ANCHORS).cast("int").alias("ni"), F.ceil(F.col("m") / ROWS).cast("int").alias("nj"))
+    blocks = scratch.write(blocks, "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= SENT else blocks
 
     def numbered(side: DataFrame, own: str, others: str) -> DataFrame:
         return side.join(blocks.select("shard", "width", F.col(own).alias("count"), F.col(others).alias("others")), ["shard", "width"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), "count").cast("int"))
@@ -160,11 +167,11 @@ def hard_negatives(vectors: DataFrame, *, scale: int = 256, every: int = 50, pos
 
     shard = F.pmod(F.xxhash64("label", F.lit(5)), F.lit(labels)).cast("long")
     no_windows = F.array().cast("array<bigint>").alias("windows")
-    found = _tiles(anchors.withColumn("shard", shard).withColumn("windows", no_windows), rows.withColumn("shard", shard)).groupBy("shard", "width", "i", "j").applyInArrow(_positives(positives), "anchor long, id long, score long")
+    found = _tiles(scratch, anchors.withColumn("shard", shard).withColumn("windows", no_windows), rows.withColumn("shard", shard)).groupBy("shard", "width", "i", "j").applyInArrow(_positives(positives), "anchor long, id long, score long")
     chosen = scratch.write(_ranked(found, ["anchor"], positives).groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("positives")), "positives")
 
     windowed = anchors.join(chosen, anchors.node == chosen.anchor).select(*anchors.columns, F.lit(0).cast("long").alias("shard"), F.col("positives.score").alias("windows"))
-    found = _tiles(windowed, rows.withColumn("shard", F.lit(0).cast("long"))).groupBy("shard", "width", "i", "j").applyInArrow(_negatives(negatives), "anchor long, positive_rank int, id long, score long")
+    found = _tiles(scratch, windowed, rows.withColumn("shard", F.lit(0).cast("long"))).groupBy("shard", "width", "i", "j").applyInArrow(_negatives(negatives), "anchor long, positive_rank int, id long, score long")
     best = _ranked(found, ["anchor", "positive_rank"], negatives)
     named = chosen.join(anchors.select(F.col("node").alias("anchor"), F.col("id").alias("anchor_id")), "anchor").select("anchor", "anchor_id", F.explode("positives").alias("p"))
     named = named.select("anchor", "anchor_id", F.col("p.rank").alias("positive_rank"), F.col("p.id").alias("positive_id"), F.col("p.score").alias("positive_score"))

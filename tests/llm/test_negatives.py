@@ -43,8 +43,9 @@ def test_against_brute_force(spark, kind):
     assert got(df) == brute(rows) and len(brute(rows)) > 60
 
 
-def test_many_tiles(spark, monkeypatch):
-    for name, value in (("ANCHORS", 3), ("ROWS", 50), ("DIMENSIONS", 24)):
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_many_tiles(spark, monkeypatch, sent):
+    for name, value in (("ANCHORS", 3), ("ROWS", 50), ("DIMENSIONS", 24), ("SENT", sent)):
         monkeypatch.setattr(n, name, value)
     rows = fixture()
     assert got(frame(spark, rows)) == brute(rows)
