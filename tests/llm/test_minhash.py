@@ -136,55 +136,3 @@ def test_bands_hold_pairs_at_the_limit(limit):
         _, bands, _ = minhash.signatures_of([a, b])
         met += bool((bands[0] == bands[1]).any())
     assert met >= 0.999 * len(pairs)
-
-
-def family(n, seed=77):
-    """Texts with a common core, about 0.58 alike, so that they share buckets but no link; and a few pairs that do link."""
-    core, rows = prose(seed, 220).split(), []
-    for i in range(n):
-        rows.append((i, " ".join([*core, *prose(10_000 + i, 78, vocabulary=20_000).split()])))
-    for i in range(0, n, 25):
-        words_ = rows[i][1].split()
-        rows.append((5000 + i, " ".join([*words_[:-4], "one", "two", "three", "four"])))
-    return rows
-
-
-@pytest.mark.parametrize(("percent", "sizes"), [(85, (75, 200))])
-def test_a_family_below_the_limit_makes_few_pairs(spark, monkeypatch, percent, sizes):
-    made = []
-
-    def counted(*args, plain=minhash._rare):
-        out = plain(*args)
-        made.append(sum(r["count"] * (r["count"] - 1) // 2 for r in out.groupBy("s").count().collect()))
-        return out
-
-    monkeypatch.setattr(minhash, "_rare", counted)
-    monkeypatch.setattr(minhash, "OUTSIDE", 8)
-    share = []
-    for n in sizes:
-        made.clear()
-        rows = family(n)
-        got = minhash.near_duplicates(docs(spark, rows), words=3, least_percent=percent).collect()
-        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, percent)
-        assert made
-        share.append(sum(made) / n)
-    # Shingles that pairs which do link have in common; the family itself adds none.
-    assert max(share) <= 10 and share[-1] <= 1.5 * share[0]
-
-
-def test_crowded_buckets_lose_nothing(spark, monkeypatch):
-    """All last rounds by rare shingles, and none of them, give the components of brute force."""
-    rows = odd_texts()
-    for g in range(4):
-        base = prose(50 + g, 120).split()
-        for c in range(14):
-            changed = list(base)
-            for p in range(c % 7 + 1):
-                changed[(p * 17 + c * 5) % 120] = f"w{g}x{c}x{p}"
-            rows.append((1000 + 100 * g + c, " ".join(changed)))
-    want = brute(rows, 3, 85)
-    for outside, rounds in ((0, 0), (0, 3), (10**6, 0)):
-        monkeypatch.setattr(minhash, "OUTSIDE", outside)
-        monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
-        got = minhash.near_duplicates(docs(spark, rows), words=3, least_percent=85).collect()
-        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
