@@ -4,7 +4,8 @@ Scores are inner products of integer vectors, so the scores of all anchors again
 worked through as tiles of ANCHORS anchors by ROWS rows. Rows and dimensions are both sharded: a panel holds a block of rows and DIMENSIONS of
 their components. Panels meet by an equi-join on (anchor block, row block, dimension chunk); each meeting gives a partial tile of exact
 integers; the shuffle brings the partial tiles of one (anchor block, row block) together, where they are added in 64 bits and
-reduced to the few best for each anchor. So a task holds a tile, whatever the numbers of rows, anchors, labels or dimensions are.
+reduced to the few best for each anchor. Vectors of one chunk give whole tiles, which are reduced where they are made. So a task holds a tile, whatever the
+numbers of rows, anchors, labels or dimensions are.
 
 Positives come first: their tiles hold one shard of labels only, so that rows of other labels hardly meet. The positives'
 scores are the windows that the tiles of all rows are then reduced by.
@@ -23,7 +24,7 @@ from .integers import finite, scaled
 from .scratch import Scratch
 
 #: Anchors and rows of a tile, and dimensions of a panel.
-ANCHORS, ROWS, DIMENSIONS = 256, 1024, 32
+ANCHORS, ROWS, DIMENSIONS = 256, 1024, 64
 #: Counts of shards that are broadcast.
 SENT = 1 << 16
 _LEAST = np.iinfo(np.int64).min
@@ -53,28 +54,49 @@ def _listed(values: pa.Array | None) -> pa.ListArray:
     return pa.array([None], pa.list_(pa.int64())) if values is None else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _partial_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of panels -> partial tiles. What names a tile's rows and columns goes with the first chunk only."""
+def _panel_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict, dict, np.ndarray]]:
+    """Each pair of panels that met: (its row, the columns of either side, the product of their components)."""
     for batch in batches:
         for n in range(batch.num_rows):
             row = batch.slice(n, 1)
             left, right = ({c.name: v for c, v in zip(side.type, side.flatten())} for side in (row.column("left").flatten(), row.column("right").flatten()))
             a, b = (side["part"].flatten().to_numpy(zero_copy_only=False).reshape(len(side["part"]), -1) for side in (left, right))
-            first = row.column("chunk")[0].as_py() == 0
-            named = [_listed(values if first else None) for values in (left["node"], left["label"], right["node"], right["id"], right["label"])]
-            windows = pa.ListArray.from_arrays(pa.array([0, len(left["windows"])], pa.int32()), left["windows"]) if first else pa.array([None], pa.list_(left["windows"].type))
-            keys = [row.column(c) for c in ("shard", "width", "i", "j", "chunk")]
-            yield pa.RecordBatch.from_arrays([*keys, *named, windows, pa.array([_narrow(_product(a, b))], pa.binary())], names=[f.split()[0] for f in _TILE.split(", ")])
+            yield row, left, right, _product(a, b)
+
+
+def _partial_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of panels -> partial tiles. What names a tile's rows and columns goes with the first chunk only."""
+    for row, left, right, tile in _panel_pairs(batches):
+        first = row.column("chunk")[0].as_py() == 0
+        named = [_listed(values if first else None) for values in (left["node"], left["label"], right["node"], right["id"], right["label"])]
+        windows = pa.ListArray.from_arrays(pa.array([0, len(left["windows"])], pa.int32()), left["windows"]) if first else pa.array([None], pa.list_(left["windows"].type))
+        keys = [row.column(c) for c in ("shard", "width", "i", "j", "chunk")]
+        yield pa.RecordBatch.from_arrays([*keys, *named, windows, pa.array([_narrow(tile)], pa.binary())], names=[f.split()[0] for f in _TILE.split(", ")])
+
+
+def _by_id(tile: np.ndarray, named: dict) -> tuple[np.ndarray, dict]:
+    """A whole tile with its columns in order of id, and what names its rows and columns."""
+    own = {c: np.array(named[c], np.int64) for c in ("anchors", "own")}
+    columns = {c: np.array(named[c], np.int64) for c in ("nodes", "ids", "labels")}
+    order = np.argsort(columns["ids"], kind="stable")
+    return tile.reshape(len(own["anchors"]), len(order))[:, order], own | {"windows": named["windows"]} | {c: x[order] for c, x in columns.items()}
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, dict]:
-    """The whole tile, with its columns in order of id, and what names its rows and columns."""
+    """The whole tile of the partial tiles of one (anchor block, row block)."""
     tile = sum((_wide(t.as_py()) for t in table["tile"]), np.int64(0))
-    named = next(r for r in table.drop_columns(["tile"]).to_pylist() if r["chunk"] == 0)
-    nodes, ids, labels = (np.array(named[c], np.int64) for c in ("nodes", "ids", "labels"))
-    order = np.argsort(ids, kind="stable")
-    tile = tile.reshape(len(named["anchors"]), len(ids))[:, order]
-    return tile, {"anchors": np.array(named["anchors"], np.int64), "own": np.array(named["own"], np.int64), "windows": named["windows"], "nodes": nodes[order], "ids": ids[order], "labels": labels[order]}
+    return _by_id(tile, next(r for r in table.drop_columns(["tile"]).to_pylist() if r["chunk"] == 0))
+
+
+def _of_one_chunk(reduce):
+    """Pairs of panels that hold all dimensions -> what their tiles are reduced to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, left, right, tile in _panel_pairs(batches):
+            named = {"anchors": left["node"], "own": left["label"], "windows": left["windows"].to_pylist(), "nodes": right["node"], "ids": right["id"], "labels": right["label"]}
+            yield from reduce(*_by_id(tile, named)).to_batches()
+
+    return run
 
 
 def _best(tile: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +106,8 @@ def _best(tile: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _positives(most: int):
-    def reduce(table: pa.Table) -> pa.Table:
-        """The partial tiles of one (anchor block, row block) -> each anchor's ``most`` best rows of its label there."""
-        tile, at = _summed(table)
+    def reduce(tile: np.ndarray, at: dict) -> pa.Table:
+        """The tile of one (anchor block, row block) -> each anchor's ``most`` best rows of its label there."""
         order, scores = _best(tile, (at["own"][:, None] == at["labels"]) & (at["anchors"][:, None] != at["nodes"]))
         row, rank = np.nonzero(scores[:, :most] != _LEAST)
         found = order[row, rank]
@@ -96,9 +117,8 @@ def _positives(most: int):
 
 
 def _negatives(most: int):
-    def reduce(table: pa.Table) -> pa.Table:
-        """The partial tiles of one (anchor block, row block) -> the ``most`` best rows of other labels within each window of each anchor."""
-        tile, at = _summed(table)
+    def reduce(tile: np.ndarray, at: dict) -> pa.Table:
+        """The tile of one (anchor block, row block) -> the ``most`` best rows of other labels within each window of each anchor."""
         order, scores = _best(tile, at["own"][:, None] != at["labels"])
         out = []
         for rank in range(max((len(w) for w in at["windows"]), default=0)):
@@ -128,14 +148,16 @@ def _panels(rows: DataFrame, own: str, other: str, name: str, *extra: str) -> Da
     return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("shard", "width", F.col("block").alias(own), other, "chunk", name)
 
 
-def _tiles(scratch: Scratch, anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """Partial tiles of all anchors by all rows of the same shard and width. The blocks of a side are numbered by its count in the shard, so none is much larger than ANCHORS or ROWS.
+def _reduced(scratch: Scratch, anchors: DataFrame, rows: DataFrame, reduce, schema: str) -> DataFrame:
+    """What ``reduce`` makes of the tiles of all anchors by all rows of the same shard and width. The blocks of a side are numbered by its count in the shard, so none is much larger than ANCHORS or ROWS.
 
     The counts are a row for each ROWS rows about; up to SENT of them are broadcast, so that rows aren't shuffled by shard, of which one may hold a third of them.
+    Panels are much larger than what Spark takes them for, as each is there once for every block of the other side, so the hint keeps them from being broadcast.
     """
     n, m = (side.groupBy("shard", "width").agg(F.count("*").alias(c)) for side, c in ((anchors, "n"), (rows, "m")))
     blocks = n.join(m, ["shard", "width"]).select("shard", "width", F.ceil(F.col("n") / ANCHORS).cast("int").alias("ni"), F.ceil(F.col("m") / ROWS).cast("int").alias("nj"))
     blocks = scratch.write(blocks, "blocks")
+    wide = not blocks.where(F.col("width") > DIMENSIONS).isEmpty()
     blocks = F.broadcast(blocks) if blocks.count() <= SENT else blocks
 
     def numbered(side: DataFrame, own: str, others: str) -> DataFrame:
@@ -143,7 +165,12 @@ def _tiles(scratch: Scratch, anchors: DataFrame, rows: DataFrame) -> DataFrame:
 
     left = _panels(numbered(anchors, "ni", "nj"), "i", "j", "left", "windows")
     right = _panels(numbered(rows, "nj", "ni"), "j", "i", "right")
-    return left.join(right, ["shard", "width", "i", "j", "chunk"]).mapInArrow(_partial_tiles, _TILE)
+    met = left.hint("merge").join(right, ["shard", "width", "i", "j", "chunk"])
+    whole = met.where(F.col("width") <= DIMENSIONS).mapInArrow(_of_one_chunk(reduce), schema)
+    if not wide:
+        return whole
+    partial = met.where(F.col("width") > DIMENSIONS).mapInArrow(_partial_tiles, _TILE)
+    return whole.unionByName(partial.groupBy("shard", "width", "i", "j").applyInArrow(lambda table: reduce(*_summed(table)), schema))
 
 
 def hard_negatives(vectors: DataFrame, *, scale: int = 256, every: int = 50, positives: int = 5, negatives: int = 3) -> DataFrame:
@@ -167,11 +194,11 @@ def hard_negatives(vectors: DataFrame, *, scale: int = 256, every: int = 50, pos
 
     shard = F.pmod(F.xxhash64("label", F.lit(5)), F.lit(labels)).cast("long")
     no_windows = F.array().cast("array<bigint>").alias("windows")
-    found = _tiles(scratch, anchors.withColumn("shard", shard).withColumn("windows", no_windows), rows.withColumn("shard", shard)).groupBy("shard", "width", "i", "j").applyInArrow(_positives(positives), "anchor long, id long, score long")
+    found = _reduced(scratch, anchors.withColumn("shard", shard).withColumn("windows", no_windows), rows.withColumn("shard", shard), _positives(positives), "anchor long, id long, score long")
     chosen = scratch.write(_ranked(found, ["anchor"], positives).groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("positives")), "positives")
 
     windowed = anchors.join(chosen, anchors.node == chosen.anchor).select(*anchors.columns, F.lit(0).cast("long").alias("shard"), F.col("positives.score").alias("windows"))
-    found = _tiles(scratch, windowed, rows.withColumn("shard", F.lit(0).cast("long"))).groupBy("shard", "width", "i", "j").applyInArrow(_negatives(negatives), "anchor long, positive_rank int, id long, score long")
+    found = _reduced(scratch, windowed, rows.withColumn("shard", F.lit(0).cast("long")), _negatives(negatives), "anchor long, positive_rank int, id long, score long")
     best = _ranked(found, ["anchor", "positive_rank"], negatives)
     named = chosen.join(anchors.select(F.col("node").alias("anchor"), F.col("id").alias("anchor_id")), "anchor").select("anchor", "anchor_id", F.explode("positives").alias("p"))
     named = named.select("anchor", "anchor_id", F.col("p.rank").alias("positive_rank"), F.col("p.id").alias("positive_id"), F.col("p.score").alias("positive_score"))

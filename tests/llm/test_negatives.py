@@ -77,3 +77,23 @@ def test_empty(spark):
 def test_outsized_components_are_refused(spark):
     with pytest.raises(Exception, match="too large"):
         got(frame(spark, [(50, [1e30] * 3, 1)]))
+
+
+def test_panels_are_never_broadcast(spark):
+    """However small a panel's rows look before they are repeated for each block of the other side."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1g")
+    try:
+        plan = n.hard_negatives(frame(spark, fixture()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    joins = [line for line in plan.splitlines() if "Join" in line and "chunk#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_tiles_of_one_chunk_and_of_several(spark):
+    """Vectors of both kinds in one table."""
+    wide = n.DIMENSIONS + 9
+    rows = fixture(150) + [(i + 5000, v, label) for i, v, label in fixture(150, wide) if i is not None]
+    assert got(frame(spark, rows)) == brute(rows)
