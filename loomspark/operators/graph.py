@@ -214,22 +214,42 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, start: str | Sequence[str],
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, *, most_hops: int = MOST_PATH, most: int = 10_000, adjacency: str | None = None) -> list[tuple[str, str, str]] | None:
-    """The shortest chain of edges (id, from, to) between two nodes, either way, the first by (relation_id, id) of equal ones; None beyond the bounds.
+    """The shortest chain of edges (id, from, to) between two nodes, either way, the first by (relation_id, id) of equal ones; None beyond ``most_hops``.
 
-    Each hop reads the edges at its frontier, from ``adjacency`` (``write_adjacency``) if given; the nodes that have been reached, ``most`` at most, are a list on the driver.
+    Each hop reads the edges at its frontier, from ``adjacency`` (``write_adjacency``) if given. Up to ``most`` reached nodes are a list on the driver; from the hop that
+    reaches more, hops are tables, joined with the edges, and the driver gets the path's own nodes only.
     """
     parents: dict[str, tuple[str, str] | None] = {start: None}
-    frontier = [start]
-    for _ in range(min(most_hops, MOST_PATH)):
-        if goal in parents or not frontier or len(parents) >= most:
-            break
-        step = _from(edges, adjacency, frontier).where(~F.col("there").isin(list(parents))).groupBy("there").agg(F.min(F.struct("relation_id", "id", "here")).alias("p"))
-        got = step.select("there", "p.id", "p.here", "p.relation_id").orderBy("relation_id", "id", "there").limit(most - len(parents) + 1).collect()
-        frontier = [r["there"] for r in got]
-        parents |= {r["there"]: (r["id"], r["here"]) for r in got}
-    if goal not in parents:
-        return None
+    frontier, hop, hops = [start], 0, min(most_hops, MOST_PATH)
+    steps, levels = Steps(edges.sparkSession), []
+    first = F.min(F.struct("relation_id", "id", "here")).alias("p")
+    while hop < hops and goal not in parents and frontier and not levels:
+        hop += 1
+        step = _from(edges, adjacency, frontier).where(~F.col("there").isin(list(parents))).groupBy("there").agg(first).select("there", "p.id", "p.here", "p.relation_id")
+        got = step.orderBy(F.col("there") != goal, "relation_id", "id", "there").limit(most - len(parents) + 1).collect()
+        if len(parents) + len(got) > most and not any(r["there"] == goal for r in got):
+            levels = [steps.write(step)]
+        else:
+            frontier = [r["there"] for r in got]
+            parents |= {r["there"]: (r["id"], r["here"]) for r in got}
+    if levels:
+        ways = _ways(edges) if adjacency is None else edges.sparkSession.read.parquet(adjacency)
+        reached = steps.write(edges.sparkSession.createDataFrame([(n,) for n in parents], "there string").unionByName(levels[0].select("there")))
+        while hop < hops and levels[-1].where(F.col("there") == goal).isEmpty():
+            hop += 1
+            level = steps.write(ways.join(levels[-1].select(F.col("there").alias("here")), "here").join(reached, "there", "left_anti").groupBy("there").agg(first).select("there", "p.id", "p.here", "p.relation_id"))
+            if level.isEmpty():
+                break
+            levels.append(level)
+            reached = reached.unionByName(level.select("there"))
     path, at = [], goal
+    for level in reversed(levels):
+        if r := level.where(F.col("there") == at).first():
+            path.append((r["id"], r["here"], at))
+            at = r["here"]
+    steps.drop(*levels)
+    if at not in parents:
+        return None
     while parents[at]:
         edge, before = parents[at]
         path.append((edge, before, at))

@@ -205,3 +205,19 @@ def test_hops_through_the_adjacency(spark, tmp_path):
         assert sorted(x.id for x in n.collect()) == sorted(x.id for x in m.collect()) and sorted(map(tuple, e.select("id", "src", "dst").collect())) == sorted(map(tuple, f.select("id", "src", "dst").collect())) and full == also
     for goal in ("n9", "n33", "hub", "nowhere"):
         assert graph.shortest_path(edges, "n1", goal) == graph.shortest_path(edges, "n1", goal, adjacency=path)
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_paths_beyond_what_the_driver_lists(spark, tmp_path, most):
+    """The same paths, however few nodes the driver may list, also when the goal comes last at a hot node."""
+    import random
+
+    r = random.Random(4)
+    pairs = {("hub", f"n{i:02}") for i in range(40)} | {("hub", "z0"), ("z0", "z1"), ("z1", "z2"), ("n07", "n50")} | {(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(20)}
+    edges = spark.createDataFrame([(f"e{i:03}", "z" if a[0] == "z" or b[0] == "z" else "r", a, b) for i, (a, b) in enumerate(sorted(pairs))], "id string, relation_id string, src string, dst string").cache()
+    path = str(tmp_path / "adjacency")
+    graph.write_adjacency(edges, path)
+    for start, goal, hops in (("hub", "z0", 1), ("n03", "z2", 4), ("n50", "z1", 4), ("n03", "nowhere", None)):
+        want = graph.shortest_path(edges, start, goal)
+        assert (len(want) if want else None) == hops
+        assert graph.shortest_path(edges, start, goal, most=most) == graph.shortest_path(edges, start, goal, most=most, adjacency=path) == want
