@@ -221,3 +221,11 @@ def test_paths_beyond_what_the_driver_lists(spark, tmp_path, most):
         want = graph.shortest_path(edges, start, goal)
         assert (len(want) if want else None) == hops
         assert graph.shortest_path(edges, start, goal, most=most) == graph.shortest_path(edges, start, goal, most=most, adjacency=path) == want
+
+
+def test_capped_read_counts_all_rows(spark, tmp_path):
+    """As the query's SQL does, also beyond the rows that counting otherwise stops at."""
+    from loomspark.queries.relational import QUERIES
+
+    spark.range(101_005).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    assert list(map(tuple, QUERIES["capped_read"](spark, str(tmp_path)).collect())) == [(1000, 101_005, True)]
