@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..steps import Steps
-from .retrieval import BUCKETS, Index, _counted, _languages
+from .retrieval import BUCKETS, Index, _counted, _languages, _listed, _tallied
 
 #: Segments of a tier that are merged, and terms of the smallest tier.
 MERGE, LEAST_TERMS = 8, 1 << 16
@@ -111,20 +111,18 @@ class SegmentedIndex:
         """
         version, rows = self._manifest()
         steps, name = Steps(self.spark), uuid.uuid4().hex
-        new = steps.write(chunks)
+        new = steps.write(_tallied(chunks, **self.options))  # texts are read and counted once
         total, distinct = new.agg(F.count("*"), F.count_distinct("chunk_id")).first()
         if total != distinct:
             raise ValueError("each chunk_id must be there once in an addition")
         if not total:
             return
-        counted = steps.write(_counted(new, **self.options))
-        lengths = counted.groupBy("chunk_id").agg(F.first("token_count").alias("token_count"))
-        with_counts = new.join(lengths, "chunk_id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0).cast("long")))
+        counted = _listed(new)
         removal = self._removal(rows, new)
-        n, terms = self._write_segment(name, with_counts, counted, counted.groupBy("term").agg(F.count("*").alias("df")))
+        n, terms = self._write_segment(name, new.drop("loom_terms"), counted, counted.groupBy("term").agg(F.count("*").alias("df")))
         languages = list(_languages(new, self.options["language"]))
         self._commit(version, [*rows, *removal, ("segment", name, name, n, terms, languages)])
-        steps.drop(new, counted)
+        steps.drop(new)
         self.merge()
 
     def remove(self, ids: DataFrame) -> None:
