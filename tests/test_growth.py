@@ -15,3 +15,34 @@ def test_terms_are_counted_where_the_text_is_read(spark):
     counted = r._counted(rows, "content", None, "lang")
     assert sorted(map(tuple, counted.collect())) == [(1, 5, "a", 1), (1, 5, "ab", 1), (1, 5, "b", 1), (1, 5, "run", 2), (3, 1, "runs", 1)]
     assert "Exchange" not in plan(counted) and "Aggregate" not in plan(counted)
+
+
+def test_trigrams_are_counted_where_the_text_is_read(spark, monkeypatch):
+    from loomspark.operators import languages
+
+    monkeypatch.setattr(languages, "AT_ONCE", 7)
+    rows = spark.createDataFrame([(1, "Aa aa 1 aa"), (1, "aa"), (2, None), (3, "\U00010400é東")], "id long, text string")
+    counted = languages._counted(rows, "id", "text")
+    assert "Generate" not in plan(counted) and "Exchange" not in plan(counted)
+    got = {}
+    for x in counted.collect():
+        gram = "".join(chr(x.gram >> s & 0x1FFFFF) for s in (42, 21, 0))
+        got[x.id, gram] = got.get((x.id, gram), 0) + x.n
+    assert got == {(1, " aa"): 4, (1, "aa "): 4, (1, "a a"): 2, (3, " \U00010428é"): 1, (3, "\U00010428é東"): 1, (3, "é東 "): 1}
+    from types import SimpleNamespace  # codes of groups and grams that don't fit one long
+
+    import numpy as np
+
+    big = SimpleNamespace(points=np.arange(1, 1001, dtype=np.uint32))
+    group, gram, n = languages._tally(np.array([0, 1 << 40]), np.array([500, 500]), big.points)
+    assert len(group) == 996 and set(n) == {1} and gram[0] == (1 << 42) | (2 << 21) | 3 and (group == 1 << 40).sum() == 498
+
+
+def test_a_task_sorts_few_postings(spark, monkeypatch):
+    from loomspark.operators import grams
+
+    monkeypatch.setattr(grams, "SORTED", 500)
+    rows = spark.range(4000).select(F.col("id"), F.lit("a").alias("x"), F.concat(F.lit("abc"), (F.col("id") % 7).cast("string")).alias("gram"))
+    # With the rebalance, tasks held as much as Spark's advisory size: here all of a bucket.
+    sizes = [x["count"] for x in grams._bucketed(rows, 4000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) <= 2000
