@@ -22,6 +22,8 @@ from .similarity import EDGE
 from .strings import jaro_winkler
 
 BUCKETS = 16
+#: Postings that a task sorts: they take about 100 bytes each there.
+SORTED = 1 << 21
 #: Lists of the rarest grams that a substring search intersects.
 LISTS = 3
 SUGGEST = 0.88
@@ -34,13 +36,17 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
 
 
-def _bucketed(postings: DataFrame) -> DataFrame:
-    return postings.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
+def _bucketed(postings: DataFrame, most: int) -> DataFrame:
+    """Postings, ``most`` at most, in order of gram within their buckets. Each bucket is dealt by id, so that a task sorts about SORTED postings however many there are."""
+    parts = max(1, -(-most // SORTED))
+    slices = -(-4 * parts // BUCKETS)
+    dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
+    return dealt.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(slices))).sortWithinPartitions("bucket", "gram")
 
 
-def _write(postings: DataFrame, path: str) -> None:
+def _write(postings: DataFrame, path: str, most: int) -> None:
     """Postings, and how many there are of each gram, counted from what was written."""
-    _bucketed(postings).write.partitionBy("bucket").parquet(f"{path}/postings")
+    _bucketed(postings, most).write.partitionBy("bucket").parquet(f"{path}/postings")
     counts = postings.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 
@@ -60,8 +66,9 @@ def _counts(spark: SparkSession, path: str, grams: Sequence[str]) -> dict[str, i
 
 def write_text_index(texts: DataFrame, path: str, *, key: str, text: str) -> None:
     """Write the trigram postings of texts below path. Null and shorter texts have none."""
-    listed = texts.select(F.col(key).alias("id"), F.explode(trigrams(F.lower(text))).alias("gram"))
-    _write(listed, path)
+    # An explode that isn't outer would be preceded by a filter that makes all trigrams once more.
+    listed = texts.select(F.col(key).alias("id"), F.explode_outer(trigrams(F.lower(text))).alias("gram")).where("gram is not null")
+    _write(listed, path, texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0])
 
 
 def holding(texts: DataFrame, wanted: str, path: str, *, key: str, text: str) -> DataFrame:
@@ -105,7 +112,8 @@ def write_label_index(nodes: DataFrame, path: str) -> None:
     lettered = rows.select(F.struct("*").alias("row"), F.col("normalized_label").alias("t")).mapInArrow(run, f"row {schema}, letters array<string>")
     marked = F.concat(F.transform("letters", lambda x: F.concat(F.lit("c"), x)), F.transform(trigrams(F.col("row.normalized_label")), lambda x: F.concat(F.lit("g"), x)), F.array(F.concat(F.lit("="), F.col("row.normalized_label"))))
     listed = lettered.select("row.*", F.length("row.normalized_label").alias("length"), F.explode(marked).alias("gram"))
-    _write(listed, path)
+    # A label has two postings for each of its characters and one for itself at most.
+    _write(listed, path, rows.agg(F.coalesce(F.sum(2 * F.length("normalized_label") + 1), F.lit(0))).first()[0])
 
 
 def needed(length: int, other: int, alike: float = SUGGEST) -> int:
