@@ -29,6 +29,8 @@ MOST_NODES, MOST_HOPS, MOST_PATH = 200, 3, 6
 #: Folders of the adjacency.
 ADJACENT = 64
 PROPOSE, AUTO, MOST_PROPOSALS = 0.08, 0.02, 5
+#: Pairs of the first band of admission, and how many times larger the next one is.
+BAND, BAND_GROWTH = 1 << 20, 8
 #: Cosine distances within which a node's embedding stands for a text, and is worth suggesting.
 ENTRY_DISTANCE, SUGGEST_DISTANCE = 0.25, 0.5
 
@@ -315,30 +317,53 @@ def admitted(pairs: DataFrame, *, most: int = MOST_PROPOSALS) -> tuple[DataFrame
 
     The rule is sequential: nearest first, then by a and b, a pair is admitted if neither node is in ``most`` admitted ones yet. It is
     worked out in rounds: a pair that is among the first open ones of both its nodes, as many as each has places left, is admitted, since even all
-    earlier ones would leave it a place; pairs of nodes without places go. Each round admits the nearest open pair at least. Spark
+    earlier ones would leave it a place; pairs of nodes without places go. Pairs are taken up in bands of growing distance, so that most are gone
+    before they are looked at; of a pair with several rows the nearest counts. Each round admits the nearest open pair at least. Spark
     keeps ``most`` pairs of a node in each task before it shuffles, so a node with very many pairs is no large group.
     """
     steps = Steps(pairs.sparkSession)
     order = Window.partitionBy("node").orderBy("distance", "a", "b")
-    open_, taken, rounds = steps.write(pairs.select("a", "b", "distance").where("a is not null and b is not null").dropDuplicates(["a", "b"])), [], 0
+    whole, taken, rounds = steps.write(pairs.select("a", "b", "distance").where("a is not null and b is not null")), [], 0
     places: DataFrame | None = None
-    while not open_.isEmpty():
-        rounds += 1
-        ends = open_.withColumn("node", F.explode(F.array("a", "b")))
-        first = ends.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    for band in _bands(whole):
+        # What earlier bands took, and the pairs of nodes without places, are gone before anything is grouped or sorted.
+        near = whole.where(band)
         if places is not None:
-            first = first.join(places, "node", "left").where(F.col("nth") <= most - F.coalesce("used", F.lit(0)))
-        now = steps.write(first.groupBy("a", "b").agg(F.first("distance").alias("distance"), F.count("*").alias("ends")).where("ends = 2").drop("ends"))
-        taken.append(now)
-        used = now.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
-        if places is not None:
-            used = used.unionByName(places).groupBy("node").agg(F.sum("used").alias("used"))
-        places = steps.write(used)
-        full = places.where(F.col("used") >= most).select("node")
-        left = open_.join(now.select("a", "b"), ["a", "b"], "left_anti").join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
-        before, open_ = open_, steps.write(left.select("a", "b", "distance"))
-        steps.drop(before)
-    return (functools.reduce(DataFrame.unionByName, taken) if taken else open_), rounds
+            near = _without(near, places.where(F.col("used") >= most).select("node"))
+            near = near.join(functools.reduce(DataFrame.unionByName, taken).select("a", "b"), ["a", "b"], "left_anti")
+        open_ = steps.write(near.groupBy("a", "b").agg(F.min("distance").alias("distance")))
+        while not open_.isEmpty():
+            rounds += 1
+            ends = open_.withColumn("node", F.explode(F.array("a", "b")))
+            first = ends.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+            if places is not None:
+                first = first.join(places, "node", "left").where(F.col("nth") <= most - F.coalesce("used", F.lit(0)))
+            now = steps.write(first.groupBy("a", "b").agg(F.first("distance").alias("distance"), F.count("*").alias("ends")).where("ends = 2").drop("ends"))
+            taken.append(now)
+            used = now.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+            if places is not None:
+                used = used.unionByName(places).groupBy("node").agg(F.sum("used").alias("used"))
+            places = steps.write(used)
+            left = _without(open_.join(now.select("a", "b"), ["a", "b"], "left_anti"), places.where(F.col("used") >= most).select("node"))
+            before, open_ = open_, steps.write(left.select("a", "b", "distance"))
+            steps.drop(before)
+    return (functools.reduce(DataFrame.unionByName, taken) if taken else whole.limit(0)), rounds
+
+
+def _without(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return pairs.join(nodes.withColumnRenamed("node", "a"), "a", "left_anti").join(nodes.withColumnRenamed("node", "b"), "b", "left_anti")
+
+
+def _bands(pairs: DataFrame) -> list[Column]:
+    """Conditions that cut pairs into bands of growing distance, BAND in the first and BAND_GROWTH times as many in each next one: the nearest pairs fill most nodes' places."""
+    total, shares, size = pairs.count(), [], BAND
+    while size < total:
+        shares.append(size / total)
+        size += size * BAND_GROWTH
+    cuts = sorted({c for c in pairs.agg(F.percentile_approx("distance", shares, 100_000)).first()[0] or []}) if shares else []
+    d, over = F.col("distance"), [F.lit(True), *(F.col("distance") > c for c in cuts)]
+    # Null distances come first in the order.
+    return [(low if i else F.lit(True)) & (d <= c if i else d.isNull() | (d <= c)) for i, (low, c) in enumerate(zip(over, cuts))] + [over[-1]]
 
 
 def proposals(pairs: DataFrame, nodes: DataFrame, *, most: int = MOST_PROPOSALS) -> DataFrame:

@@ -13,6 +13,8 @@ from .similarity import similar_pairs
 
 #: Names of the first batch, and how many times larger the next one is.
 BATCH, GROWTH = 4096, 8
+#: Classes of an entity up to which they are one list.
+LISTED = 128
 
 
 def snake(name: Column) -> Column:
@@ -126,8 +128,14 @@ def hierarchy(observed: DataFrame, *, share: float = 0.8) -> DataFrame:
     small = sizes.select(F.col("class").alias("child"), F.col("size").alias("own"), "entities")
     large = sizes.select(F.col("class").alias("parent"), "size")
     candidates = steps.write(met.join(small, "child").join(large, "parent").where("own < size"))
-    held = candidates.select("child", "parent").join(placed.where("classes > 1").select(F.col("class").alias("child"), "entity"), "child")
-    both = held.join(members.select(F.col("class").alias("parent"), "entity"), ["parent", "entity"], "left_semi").groupBy("child", "parent").agg(F.count("*").alias("shared"))
+    # Candidates are counted where the classes of an entity are together, so what is shuffled is the members once, and not each of them for each candidate of its class.
+    pair = candidates.select("child", "parent")
+    lists = placed.where((F.col("classes") > 1) & (F.col("classes") <= LISTED)).groupBy("entity").agg(F.collect_list("class").alias("held"))
+    few = lists.select(F.explode("held").alias("child"), "held").join(pair, "child").where(F.array_contains("held", F.col("parent"))).groupBy("child", "parent").agg(F.count("*").alias("shared"))
+    # Entities of more classes would make long lists: theirs are looked up one by one.
+    wide = pair.join(placed.where(F.col("classes") > LISTED).select(F.col("class").alias("child"), "entity"), "child")
+    many = wide.join(members.select(F.col("class").alias("parent"), "entity"), ["parent", "entity"], "left_semi").groupBy("child", "parent").agg(F.count("*").alias("shared"))
+    both = few.unionByName(many).groupBy("child", "parent").agg(F.sum("shared").alias("shared"))
     fit = candidates.join(both, ["child", "parent"]).where(F.col("shared") >= F.col("entities") * F.lit(share) - F.lit(1e-9))
     best = fit.groupBy("child").agg(F.min_by(F.struct("parent", "shared", "entities"), F.struct(-F.col("size"), F.col("parent"))).alias("x"))
     return best.select("child", "x.parent", "x.shared", "x.entities")

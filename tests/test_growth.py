@@ -46,3 +46,14 @@ def test_a_task_sorts_few_postings(spark, monkeypatch):
     # With the rebalance, tasks held as much as Spark's advisory size: here all of a bucket.
     sizes = [x["count"] for x in grams._bucketed(rows, 4000).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) <= 2000
+
+
+def test_classes_of_few_and_of_many_entities_together(spark, monkeypatch):
+    from loomspark.operators import induction
+
+    rows = [(f"e{i}", c) for i in range(40) for c in ("all", "half" if i < 20 else "rest", "tenth" if i < 4 else None, "most" if i < 33 else None) if c]
+    rows.append(("e0", "all"))
+    seen = spark.createDataFrame(rows, "entity string, class string")
+    want = {("half", "all", 20, 20), ("rest", "all", 20, 20), ("tenth", "all", 4, 4), ("most", "all", 33, 33)}
+    monkeypatch.setattr(induction, "LISTED", 2)  # most entities here are of three or four classes
+    assert {tuple(x) for x in induction.hierarchy(seen).select("child", "parent", "shared", "entities").collect()} == want
