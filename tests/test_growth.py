@@ -57,3 +57,17 @@ def test_classes_of_few_and_of_many_entities_together(spark, monkeypatch):
     want = {("half", "all", 20, 20), ("rest", "all", 20, 20), ("tenth", "all", 4, 4), ("most", "all", 33, 33)}
     monkeypatch.setattr(induction, "LISTED", 2)  # most entities here are of three or four classes
     assert {tuple(x) for x in induction.hierarchy(seen).select("child", "parent", "shared", "entities").collect()} == want
+
+
+def test_admission_by_bands_is_that_of_all_pairs(spark, monkeypatch):
+    from loomspark.operators import graph
+    from tests.test_induction import sequential_admission
+
+    monkeypatch.setattr(graph, "BAND", 40)
+    pairs = {(a, b): (a * 7 + b * 13) % 30 / 30 for a in range(20) for b in range(a + 1, 20)}
+    df = spark.createDataFrame([(a, b, d) for (a, b), d in pairs.items()], "a long, b long, distance double")
+    bands = graph._bands(df)
+    assert len(bands) >= 2 and sum(df.where(x).count() for x in bands) == len(pairs) and df.where(bands[0]).count() < 80
+    again = df.union(df.select("a", "b", F.col("distance") + 1))  # further rows of the same pairs are later than all
+    got = [(x.a, x.b) for x in graph.admitted(again, most=2)[0].collect()]
+    assert len(got) == len(set(got)) and set(got) == sequential_admission([(a, b, d) for (a, b), d in pairs.items()], 2)
