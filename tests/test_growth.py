@@ -71,3 +71,23 @@ def test_admission_by_bands_is_that_of_all_pairs(spark, monkeypatch):
     again = df.union(df.select("a", "b", F.col("distance") + 1))  # further rows of the same pairs are later than all
     got = [(x.a, x.b) for x in graph.admitted(again, most=2)[0].collect()]
     assert len(got) == len(set(got)) and set(got) == sequential_admission([(a, b, d) for (a, b), d in pairs.items()], 2)
+
+
+@pytest.fixture
+def counted_texts(spark):
+    """Chunks whose texts count how often they are read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        reads.add(1)
+        return f"of the house {i} running"
+
+    chunks = spark.range(20).select(F.col("id").alias("chunk_id"), text("id").alias("content"), F.lit("english").alias("lang"))
+    return chunks, reads
+
+
+def test_a_stemmed_search_reads_texts_once(counted_texts):
+    chunks, reads = counted_texts
+    assert len(r.keyword(r.index(chunks, language="lang"), "runs", top_k=3).collect()) == 3
+    assert reads.value == 20
