@@ -91,3 +91,9 @@ def test_a_stemmed_search_reads_texts_once(counted_texts):
     chunks, reads = counted_texts
     assert len(r.keyword(r.index(chunks, language="lang"), "runs", top_k=3).collect()) == 3
     assert reads.value == 20
+
+
+def test_a_phrase_is_looked_for_in_what_was_fetched(counted_texts):
+    chunks, reads = counted_texts
+    assert len(r.search(r.index(chunks), '"of the"', mode="keyword", top_k=1).collect()) == 1
+    assert reads.value <= 20 + 2 * r.fetch_size(1, ["of the"])
