@@ -97,3 +97,9 @@ def test_a_phrase_is_looked_for_in_what_was_fetched(counted_texts):
     chunks, reads = counted_texts
     assert len(r.search(r.index(chunks), '"of the"', mode="keyword", top_k=1).collect()) == 1
     assert reads.value <= 20 + 2 * r.fetch_size(1, ["of the"])
+
+
+def test_a_search_in_a_scope_reads_texts_once(spark, counted_texts):
+    chunks, reads = counted_texts
+    assert {x.chunk_id for x in r.keyword(r.index(chunks), "house", scope=spark.range(5, 7).toDF("chunk_id")).collect()} == {5, 6}
+    assert reads.value == 20
