@@ -103,3 +103,13 @@ def test_a_search_in_a_scope_reads_texts_once(spark, counted_texts):
     chunks, reads = counted_texts
     assert {x.chunk_id for x in r.keyword(r.index(chunks), "house", scope=spark.range(5, 7).toDF("chunk_id")).collect()} == {5, 6}
     assert reads.value == 20
+
+
+def test_a_search_reads_texts_once_and_rows_of_one_id_are_one_chunk(spark, counted_texts):
+    chunks, reads = counted_texts
+    assert len(r.keyword(r.index(chunks), "house 7").collect()) == 8
+    assert reads.value == 20
+    rows = [(1, "ring a"), (1, "ring"), (2, "b c")]
+    index = r.index(spark.createDataFrame(rows, "chunk_id long, content string"))
+    assert index.n == 2 and index.mean == 2.5
+    assert [(x.tf, x.df, x.token_count) for x in index.of(["ring"]).postings.collect()] == [(2, 1, 3)]
