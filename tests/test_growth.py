@@ -113,3 +113,10 @@ def test_a_search_reads_texts_once_and_rows_of_one_id_are_one_chunk(spark, count
     index = r.index(spark.createDataFrame(rows, "chunk_id long, content string"))
     assert index.n == 2 and index.mean == 2.5
     assert [(x.tf, x.df, x.token_count) for x in index.of(["ring"]).postings.collect()] == [(2, 1, 3)]
+
+
+def test_a_fused_search_reads_texts_once(spark, counted_texts):
+    chunks, reads = counted_texts
+    leg = spark.createDataFrame([(3, 0.9)], "chunk_id long, score double")
+    assert r.fuse([r.keyword(r.index(chunks), "house", top_k=2), leg]).first().chunk_id in (0, 3)
+    assert reads.value == 20
