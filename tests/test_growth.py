@@ -120,3 +120,9 @@ def test_a_fused_search_reads_texts_once(spark, counted_texts):
     leg = spark.createDataFrame([(3, 0.9)], "chunk_id long, score double")
     assert r.fuse([r.keyword(r.index(chunks), "house", top_k=2), leg]).first().chunk_id in (0, 3)
     assert reads.value == 20
+
+
+def test_a_batch_of_searches_reads_texts_once(counted_texts):
+    chunks, reads = counted_texts
+    assert len(r.keyword_batch(r.index(chunks), [(1, "house"), (2, "of 7")], top_k=2).collect()) == 4
+    assert reads.value == 20
