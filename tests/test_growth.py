@@ -126,3 +126,27 @@ def test_a_batch_of_searches_reads_texts_once(counted_texts):
     chunks, reads = counted_texts
     assert len(r.keyword_batch(r.index(chunks), [(1, "house"), (2, "of 7")], top_k=2).collect()) == 4
     assert reads.value == 20
+
+
+def test_ascii_texts_are_put_into_lower_case_whole(spark):
+    from loomspark.functions import terms
+
+    texts = ["POL-8841 The.end _a__b_ -x- I/O:2 .5", "", None, "Ünder-Été ΣΑΣ.İx K-9 Ⅷ", "日本語-A B_c", "a..b c-", "x" * 40 + "-" * 40 + "Y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for got in df.select(terms.lowered_terms(F.col("t")).alias("a"), F.transform(terms.cased_terms(F.col("t")), F.lower).alias("b"), terms.terms(F.col("t")).alias("c")).collect():
+        assert got.a == got.b and sorted(got.a) == sorted(got.c)
+
+
+def test_stems_of_several_languages_in_one_batch():
+    import pyarrow as pa
+
+    from loomspark.functions import terms
+    from loomspark.functions.stemmer import stem
+
+    words, spoken = [["runs", "running", "häuser", "x"], None, ["runs", "häuser"], [], ["runs"]], ["english", "de", "de", "english", None]
+    got = terms._tally(pa.array(words, pa.list_(pa.string())), pa.array(spoken), None).to_pylist()
+    for ws, lang, row in zip(words, spoken, got):
+        want = {}
+        for w in ws or []:
+            want[stem(w, lang)] = want.get(stem(w, lang), 0) + 1
+        assert {x["term"]: x["tf"] for x in row} == want
