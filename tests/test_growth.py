@@ -150,3 +150,12 @@ def test_stems_of_several_languages_in_one_batch():
         for w in ws or []:
             want[stem(w, lang)] = want.get(stem(w, lang), 0) + 1
         assert {x["term"]: x["tf"] for x in row} == want
+
+
+def test_few_terms_are_counted_in_their_row_and_many_are_summed(spark):
+    rows = spark.createDataFrame([(1, "the " * 500 + "END-end"), (2, None), (1, "The x")], "chunk_id long, content string")
+    index = r.index(rows)
+    assert [len(x.loom_terms) for x in index._rows(["the", "end"]).collect()] == [2, 0, 1]
+    many = ["the", "end", "endend", *(f"w{i}" for i in range(r.COUNTED))]
+    listed = lambda wanted: sorted((x.chunk_id, x.term, x.tf, x.token_count, x.df) for x in index.of(wanted).postings.collect())
+    assert listed(["the", "end", "endend"]) == listed(many) == [(1, "end", 2, 505, 1), (1, "endend", 1, 505, 1), (1, "the", 501, 505, 1)]
