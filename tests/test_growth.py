@@ -159,3 +159,11 @@ def test_few_terms_are_counted_in_their_row_and_many_are_summed(spark):
     many = ["the", "end", "endend", *(f"w{i}" for i in range(r.COUNTED))]
     listed = lambda wanted: sorted((x.chunk_id, x.term, x.tf, x.token_count, x.df) for x in index.of(wanted).postings.collect())
     assert listed(["the", "end", "endend"]) == listed(many) == [(1, "end", 2, 505, 1), (1, "endend", 1, 505, 1), (1, "the", 501, 505, 1)]
+
+
+def test_a_task_has_few_rows_of_a_search(spark, monkeypatch):
+    monkeypatch.setattr(r, "DEALT", 100)
+    chunks = spark.range(2000).select(F.col("id").alias("chunk_id"), F.lit("of the house").alias("content"))
+    # Shuffled by size, all rows were in one task.
+    found = r.index(chunks).of(["house"]).postings.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in found) == 2000 and len(found) == 20 and max(x["count"] for x in found) <= 200
