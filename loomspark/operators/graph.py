@@ -31,6 +31,10 @@ ADJACENT = 64
 PROPOSE, AUTO, MOST_PROPOSALS = 0.08, 0.02, 5
 #: Pairs of the first band of admission, and how many times larger the next one is.
 BAND, BAND_GROWTH = 1 << 20, 8
+#: Pairs a node of the first band where bands are compared one by one, and vectors by which its end is guessed.
+PER_NODE, SAMPLED = 16, 256
+#: Vectors of a block, and rows of a task, of the comparison.
+BLOCK, BLOCK_ROWS = 2048, 50_000
 #: Cosine distances within which a node's embedding stands for a text, and is worth suggesting.
 ENTRY_DISTANCE, SUGGEST_DISTANCE = 0.25, 0.5
 
@@ -268,15 +272,15 @@ def class_listing(nodes: DataFrame, o: Ontology, cls: str, *, limit: int = 100)
 # Merging
 
 
-def merge_candidates(vectors: DataFrame, *, distance: float = PROPOSE) -> DataFrame:
-    """(a, b, distance) of pairs of one class, not both keyed, whose embeddings are so near; a < b. vectors: id, class_id, embedding, keyed.
+def merge_candidates(vectors: DataFrame, *, distance: float = PROPOSE, above: float | None = None) -> DataFrame:
+    """(a, b, distance) of pairs of one class, not both keyed, whose embeddings are so near, and farther than ``above``; a < b. vectors: id, class_id, embedding, keyed.
 
     Pairs are compared as blocks: a class's vectors are dealt into blocks of bounded size, and each pair of blocks is a
-    task with one matrix product, so no task holds a whole class.
+    group of its own, so no task holds a whole class. Tasks are as many as their rows ask for, by number.
     """
-    block = 512
-    counts = vectors.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
-    dealt = vectors.where("embedding is not null").join(counts, "class_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    counts = vectors.groupBy("class_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"), F.count("*").alias("n"))
+    groups, rows = counts.agg(F.coalesce(F.sum(F.expr("g * (g + 1L) / 2")), F.lit(0)).cast("long"), F.coalesce(F.sum(F.col("g") * F.col("n")), F.lit(0))).first()
+    dealt = vectors.where("embedding is not null").join(counts.drop("n"), "class_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("i", F.least("part", "x")).withColumn("j", F.greatest("part", "x"))
     kind = dict(vectors.dtypes)["id"]
 
@@ -286,15 +290,20 @@ def merge_candidates(vectors: DataFrame, *, distance: float = PROPOSE) -> DataFr
         norm = np.sqrt((x * x).sum(1, keepdims=True))
         x = x / np.where(norm > 0, norm, np.nan)
         ids, keyed, part = pdf["id"].to_numpy(), pdf["keyed"].to_numpy(bool), pdf["part"].to_numpy()
-        d = 1 - x @ x.T
-        a, b = np.nonzero(d <= distance)
-        ok = (ids[a] < ids[b]) & ~(keyed[a] & keyed[b])
-        if key[1] != key[2]:
-            ok &= part[a] != part[b]
-        a, b = a[ok], b[ok]
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "distance": d[a, b]})
-
-    return dealt.select("id", "class_id", "embedding", "keyed", "part", "i", "j").groupBy("class_id", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
+        left, right = (np.flatnonzero(part == k) for k in key[1:3])
+        found = []
+        for start in range(0, len(left), 256):
+            rows = left[start : start + 256]
+            d = 1 - x[rows] @ x[right].T
+            a, b = np.nonzero(d <= distance if above is None else (d <= distance) & (d > above))
+            d, a, b = d[a, b], rows[a], right[b]
+            ok = ~(keyed[a] & keyed[b]) & ((ids[a] < ids[b]) if key[1] == key[2] else (ids[a] != ids[b]))
+            d, a, b = d[ok], ids[a[ok]], ids[b[ok]]
+            found.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "distance": d}))
+        return pd.concat(found) if found else pd.DataFrame({"a": ids[:0], "b": ids[:0], "distance": np.zeros(0)})
+
+    tasks = max(1, min(groups, 64), rows // BLOCK_ROWS)
+    return dealt.select("id", "class_id", "embedding", "keyed", "part", "i", "j").repartition(tasks, "class_id", "i", "j").groupBy("class_id", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
 
 
 _UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
@@ -322,14 +331,80 @@ def admitted(pairs: DataFrame, *, most: int = MOST_PROPOSALS) -> tuple[DataFrame
     keeps ``most`` pairs of a node in each task before it shuffles, so a node with very many pairs is no large group.
     """
     steps = Steps(pairs.sparkSession)
+    whole = steps.write(pairs.select("a", "b", "distance").where("a is not null and b is not null"))
+    bands = iter(_bands(whole))
+
+    def next_band(full: DataFrame | None) -> DataFrame | None:
+        band = next(bands, None)
+        near = None if band is None else whole.where(band)
+        return near if near is None or full is None else _without(near, full)
+
+    taken, rounds = _admit(steps, next_band, most)
+    return (functools.reduce(DataFrame.unionByName, taken) if taken else whole.limit(0)), rounds
+
+
+def admitted_near(vectors: DataFrame, *, distance: float, most: int = MOST_PROPOSALS, digits: int = 6) -> tuple[DataFrame, int]:
+    """What ``admitted`` admits of all ``merge_candidates`` with distances in so many digits, without a table of them. vectors: id, class_id, embedding, keyed.
+
+    Each band of growing distance is compared for itself and only between nodes with places left; the nearest pairs, PER_NODE a node, fill the
+    places of most. Where a band ends is guessed from the distances of some vectors to all: it decides how many pairs are there at once, not which.
+    """
+    steps = Steps(vectors.sparkSession)
+    low, size, margin = None, PER_NODE, 10.0**-digits
+
+    def next_band(full: DataFrame | None) -> DataFrame | None:
+        nonlocal low, size
+        if low is not None and low >= distance:
+            return None
+        open_ = steps.write(vectors if full is None else vectors.join(full.withColumnRenamed("node", "id"), "id", "left_anti"))
+        high = _cut(open_, low, distance, size, digits)
+        near = merge_candidates(open_, distance=min(distance, high + margin), above=None if low is None else low - margin).withColumn("distance", F.round("distance", digits))
+        # Where a band begins and ends is decided on the rounded distances, which are the order.
+        near = near.where((F.lit(True) if low is None else F.col("distance") > low) & (F.lit(True) if high >= distance else F.col("distance") <= high))
+        low, size = high, size * BAND_GROWTH
+        return near
+
+    taken, rounds = _admit(steps, next_band, most)
+    kind = dict(vectors.dtypes)["id"]
+    return (functools.reduce(DataFrame.unionByName, taken) if taken else vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, distance double")), rounds
+
+
+def _cut(vectors: DataFrame, low: float | None, distance: float, size: int, digits: int) -> float:
+    """A distance up to which there are about ``size`` pairs a node beyond low, BAND at least; ``distance`` if there are fewer in all."""
+    some = vectors.where("embedding is not null").orderBy(F.xxhash64("id")).limit(SAMPLED).collect()
+    classes = {c: np.array([np.asarray(r["embedding"], np.float64) for r in some if r["class_id"] == c]) for c in {r["class_id"] for r in some}}
+    edges = np.linspace(low or 0.0, distance, 2001)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, np.nan)
+        for pdf in batches:
+            for c, of in pdf[pdf["class_id"].isin(list(classes))].groupby("class_id"):
+                d = 1 - unit(np.array([np.asarray(v, np.float64) for v in of["embedding"]])) @ unit(classes[c]).T
+                bins = np.searchsorted(edges, d[(d <= distance) & (d > (-1 if low is None else low))])
+                n = np.bincount(bins, minlength=len(edges))
+                yield pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
+
+    seen = vectors.where("embedding is not null").select("class_id", "embedding").mapInPandas(look, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    m = vectors.count()
+    n = np.zeros(len(edges))
+    for r in seen:
+        n[r["bin"]] = r["n"]
+    pairs = np.cumsum(n) * m / (2 * max(len(some), 1))
+    enough = max(BAND, size * m)
+    if pairs[-1] <= enough:
+        return distance
+    high = round(float(edges[max(np.searchsorted(pairs, enough, "right") - 1, 1)]), digits)
+    return high if (low is None or high > low) and high < distance else distance
+
+
+def _admit(steps: Steps, next_band, most: int) -> tuple[list[DataFrame], int]:
+    """(tables of admitted pairs, rounds). next_band: (nodes without places, or None at first) -> the pairs of the next band that have none of them; None after the last."""
     order = Window.partitionBy("node").orderBy("distance", "a", "b")
-    whole, taken, rounds = steps.write(pairs.select("a", "b", "distance").where("a is not null and b is not null")), [], 0
+    taken, rounds = [], 0
     places: DataFrame | None = None
-    for band in _bands(whole):
+    while (near := next_band(None if places is None else places.where(F.col("used") >= most).select("node"))) is not None:
         # What earlier bands took, and the pairs of nodes without places, are gone before anything is grouped or sorted.
-        near = whole.where(band)
-        if places is not None:
-            near = _without(near, places.where(F.col("used") >= most).select("node"))
+        if taken:
             near = near.join(functools.reduce(DataFrame.unionByName, taken).select("a", "b"), ["a", "b"], "left_anti")
         open_ = steps.write(near.groupBy("a", "b").agg(F.min("distance").alias("distance")))
         while not open_.isEmpty():
@@ -347,7 +422,7 @@ def admitted(pairs: DataFrame, *, most: int = MOST_PROPOSALS) -> tuple[DataFrame
             left = _without(open_.join(now.select("a", "b"), ["a", "b"], "left_anti"), places.where(F.col("used") >= most).select("node"))
             before, open_ = open_, steps.write(left.select("a", "b", "distance"))
             steps.drop(before)
-    return (functools.reduce(DataFrame.unionByName, taken) if taken else whole.limit(0)), rounds
+    return taken, rounds
 
 
 def _without(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -368,8 +443,16 @@ def _bands(pairs: DataFrame) -> list[Column]:
 
 def proposals(pairs: DataFrame, nodes: DataFrame, *, most: int = MOST_PROPOSALS) -> DataFrame:
     """(a, b, distance) of admitted pairs whose labels share a token; others use up their places, but aren't proposed. nodes: id, label."""
+    return _sharing(admitted(pairs, most=most)[0], nodes)
+
+
+def near_proposals(vectors: DataFrame, nodes: DataFrame, *, distance: float = PROPOSE, most: int = MOST_PROPOSALS, digits: int = 6) -> DataFrame:
+    """``proposals`` of the ``merge_candidates`` of vectors, with distances in so many digits."""
+    return _sharing(admitted_near(vectors, distance=distance, most=most, digits=digits)[0], nodes)
+
+
+def _sharing(chosen: DataFrame, nodes: DataFrame) -> DataFrame:
     label = nodes.select("id", "label")
-    chosen, _ = admitted(pairs, most=most)
     named = chosen.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
     return named.where(shares_token(F.col("la"), F.col("lb"))).select("a", "b", "distance")
 

@@ -248,9 +248,8 @@ SELECT a, b, distance FROM r WHERE ok AND a % 4 = b % 4""")
 def merge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of near vectors of one label, the pairs that are worth a look, three for each vector; labels share a token in one case of four."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("class_id"), "embedding", F.lit(False).alias("keyed"))
-    near = graph.merge_candidates(e, distance=0.8).withColumn("distance", F.round("distance", 6))
     kinds = F.element_at(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), (F.col("id") % 4 + 1).cast("int"))
-    return graph.proposals(near, e.select("id", F.concat(kinds, F.lit(" "), "id").alias("label")), most=3)
+    return graph.near_proposals(e, e.select("id", F.concat(kinds, F.lit(" "), "id").alias("label")), distance=0.8, most=3)
 
 
 _CHANGES = """e AS (SELECT event_id AS t, 'u' || user_id AS id, event_type AS act, 'k' || (json_extract(props, '$.k')::INTEGER % 7) AS key, value::VARCHAR AS v FROM events WHERE event_type != 'signup' OR value >= 1),

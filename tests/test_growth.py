@@ -73,6 +73,36 @@ def test_admission_by_bands_is_that_of_all_pairs(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == sequential_admission([(a, b, d) for (a, b), d in pairs.items()], 2)
 
 
+def test_near_pairs_are_admitted_without_a_table_of_them(spark, monkeypatch):
+    import numpy as np
+
+    from loomspark.operators import graph
+    from tests.test_induction import sequential_admission
+
+    for name, value in (("BAND", 50), ("PER_NODE", 2), ("BAND_GROWTH", 4), ("SAMPLED", 32), ("BLOCK", 64), ("BLOCK_ROWS", 100)):
+        monkeypatch.setattr(graph, name, value)
+    x = np.random.default_rng(5).normal(size=(240, 6))
+    x[200:220] = x[:20]  # ties
+    rows = [(i, None if i == 7 else "ab"[i % 3 == 0], None if i == 8 else [float(v) for v in x[i]], i % 5 == 0) for i in range(240)]
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    d = np.round(1 - u @ u.T, 6)
+    near = [(a, b, d[a, b] + 0.0) for a in range(240) for b in range(a + 1, 240) if d[a, b] <= 0.6 and not {7, 8} & {a, b} and rows[a][1] == rows[b][1] and not (rows[a][3] and rows[b][3])]
+    compared, candidates = [], graph.merge_candidates
+
+    def spied(*args, **options):
+        compared.append(candidates(*args, **options))
+        return compared[-1]
+
+    monkeypatch.setattr(graph, "merge_candidates", spied)
+    vectors = spark.createDataFrame(rows, "id long, class_id string, embedding array<double>, keyed boolean").repartition(3)
+    got = [(r.a, r.b) for r in graph.admitted_near(vectors, distance=0.6, most=2)[0].collect()]
+    assert len(got) == len(set(got)) and set(got) == sequential_admission(near, 2)
+    sizes = [c.count() for c in compared]
+    assert len(sizes) >= 2 and sum(sizes) < len(near) / 2
+    assert graph.admitted_near(vectors.limit(0), distance=0.6)[0].collect() == []
+    assert sorted((r.a, r.b) for r in candidates(vectors, distance=0.6).collect()) == sorted((a, b) for a, b, _ in near)
+
+
 @pytest.fixture
 def counted_texts(spark):
     """Chunks whose texts count how often they are read."""
