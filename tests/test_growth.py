@@ -197,3 +197,47 @@ def test_a_task_has_few_rows_of_a_search(spark, monkeypatch):
     # Shuffled by size, all rows were in one task.
     found = r.index(chunks).of(["house"]).postings.groupBy(F.spark_partition_id()).count().collect()
     assert sum(x["count"] for x in found) == 2000 and len(found) == 20 and max(x["count"] for x in found) <= 200
+
+
+@pytest.fixture
+def no_words(monkeypatch):
+    """Texts that are taken apart into words raise an error, as a list of all words costs far more than the search."""
+    monkeypatch.setattr(r, "lowered_terms", lambda text: F.split(F.raise_error(F.concat(F.lit("taken apart: "), text)).cast("string"), " "))
+
+
+HOUSES = [(1, "Of the house, of THE-m"), (2, "of the\n café"), (3, "nothing"), (4, None), (5, "the of")]
+
+
+def test_a_phrase_search_makes_no_list_of_words(spark, no_words):
+    chunks = spark.createDataFrame(HOUSES, "chunk_id long, content string")
+    assert {x.chunk_id for x in r.search(r.index(chunks), '"of the"', mode="keyword").collect()} == {1, 2}
+
+
+def test_wanted_terms_found_in_bytes_are_those_of_the_lists(spark, monkeypatch):
+    from loomspark.functions import terms as t
+
+    texts = [x for _, x in HOUSES] + ["", "-", "a", "a-", "-b", "POL-8841 v1.2 a_b:c/d", "aé a a²b aʯ", "aʰ b", "İ a-İ-b", "東京 a", "a\u2019b", "A\U00010400 a", "K k", "x-a--b", "AB a.-b", "it's 3.5"]
+    texts += [f"a{chr(c)}b a-{chr(c)} {chr(c)}" for c in range(0x80, 0x300)]
+    wanted = ["a", "ab", "b", "the", "them", "k", "v12", "8841"]
+    monkeypatch.setattr(t, "SLICE", 16)
+    find = t.found_terms(wanted)
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").repartition(2).select("x", find("x").alias("f"), t.lowered_terms(F.col("x")).alias("w")).collect()
+    for row in rows:
+        if any(ord(c) >= 0x280 for c in row.x or ""):
+            assert row.f is None
+        else:
+            assert (row.f.n, {y.term: y.tf for y in row.f.terms}) == (len(row.w), {w: row.w.count(w) for w in wanted if w in row.w}), row.x
+    # Bytes that aren't UTF-8 are left to the lists.
+    bad = spark.sql("select cast(x as string) x from values (unhex('61C3')), (unhex('61A9')), (unhex('C3C3A9')), (unhex('C3A9A9')), (unhex('C061')), (unhex('C3A961')) t(x)")
+    assert [y.f is None for y in bad.coalesce(1).select(find("x").alias("f")).collect()] == [True] * 5 + [False]
+
+
+def test_a_search_in_flight_equals_a_written_one_in_any_script(spark, tmp_path):
+    rows = [*HOUSES, (6, "東京 the"), (7, "ﬁ the the-m"), (8, "thé the")]
+    chunks = spark.createDataFrame([(*x, h) for x, h in zip(rows, ["the", None, "house", "of", "東京", "m", "-the", "x"])], "chunk_id long, content string, heading string")
+    for heading in (None, "heading"):
+        r.write_index(chunks, str(tmp_path / str(heading)), heading=heading)
+        stored, flying = r.read_index(spark, str(tmp_path / str(heading))), r.index(chunks, heading=heading)
+        for query in ("the of house", "them 東京", "nothing"):
+            a, b = ([(x.chunk_id, round(x.score, 9)) for x in r.keyword(i, query).collect()] for i in (stored, flying))
+            assert a == b and a
