@@ -213,6 +213,11 @@ def test_a_phrase_search_makes_no_list_of_words(spark, no_words):
     assert {x.chunk_id for x in r.search(r.index(chunks), '"of the"', mode="keyword").collect()} == {1, 2}
 
 
+def test_a_search_in_a_scope_makes_no_list_of_words(spark, no_words):
+    chunks = spark.createDataFrame(HOUSES, "chunk_id long, content string")
+    assert [x.chunk_id for x in r.keyword(r.index(chunks), "of the", scope=spark.range(2, 6).toDF("chunk_id")).collect()] == [5, 2]
+
+
 def test_wanted_terms_found_in_bytes_are_those_of_the_lists(spark, monkeypatch):
     from loomspark.functions import terms as t
 
