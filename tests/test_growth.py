@@ -218,6 +218,12 @@ def test_a_search_in_a_scope_makes_no_list_of_words(spark, no_words):
     assert [x.chunk_id for x in r.keyword(r.index(chunks), "of the", scope=spark.range(2, 6).toDF("chunk_id")).collect()] == [5, 2]
 
 
+def test_a_hybrid_search_makes_no_list_of_words(spark, no_words):
+    chunks = spark.createDataFrame([(*x, [1.0, 0.1 * x[0]]) for x in HOUSES], "chunk_id long, content string, embedding array<double>")
+    # By BM25 5, 1, 2 (twice 1.187, 1.038 and 1.032 times the same idf), by vectors 5, 4, 3, 2, 1.
+    assert [x.chunk_id for x in r.search(r.index(chunks), "of the", vector_of=[1.0, 0.5]).collect()] == [5, 1, 2, 4, 3]
+
+
 def test_wanted_terms_found_in_bytes_are_those_of_the_lists(spark, monkeypatch):
     from loomspark.functions import terms as t
 
